@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from larder.functions.scalars import col, finite, one_row
+from larder.functions.scalars import col, finite
 
 SKETCH_GROUPS = 64  # sketches are merged in this many tasks, not in one
 SLICES = 512  # slices of the narrowed range, each ordered by a task of its own
@@ -19,43 +19,53 @@ def exact_percentiles(
 ) -> DataFrame:
     """One row with the linearly interpolated percentile of each target ``name -> (column, fraction)``.
 
-    Pass 1 brackets each wanted rank: the sketch error is at most 1/accuracy of the rows, and the bracket is two
-    errors wide on either side. Taking the lowest and highest bracket over groups of partitions keeps it valid
-    however rows are spread. Up to 100 * accuracy rows the bracket is the whole range. Pass 2 counts the values
-    inside the bracket, with everything below it folded into one counter on the map side. Nulls, NaN and
-    infinities are ignored; a column without values gives null.
+    Runs one job when called. It counts the values and brackets each wanted rank: the sketch error is at most
+    1/accuracy of the rows, and the bracket is two errors wide on either side. Taking the lowest and highest
+    bracket over groups of partitions keeps it valid however rows are spread. Up to 100 * accuracy values Spark's
+    own ``percentile`` is exact in one task and takes over; beyond that only values inside the bracket are ordered.
+    Nulls, NaN and infinities are ignored; a column without values gives null.
     """
     values = df.select(*[finite(c).alias(name) for name, (c, _) in targets.items()])
-    margin = 2.0 / accuracy
+    bounds = _brackets(values, {name: p for name, (_, p) in targets.items()}, accuracy)
+    if all((bounds[f"n_{name}"] or 0) <= 100 * accuracy for name in targets):
+        return values.agg(*[F.percentile(name, F.lit(p)).alias(name) for name, (_, p) in targets.items()])
+    return _pick_ranks(values, {name: p for name, (_, p) in targets.items()}, bounds)
+
 
-    sketches, bracket = [], []
-    for name, (_, p) in targets.items():
-        low, high = max(0.0, p - margin), min(1.0, p + margin)
+def _brackets(values: DataFrame, fractions: dict[str, float], accuracy: int):
+    """One row: number of values, lowest and highest value around each rank."""
+    margin = 2.0 / accuracy
+    sketches, merged = [], []
+    for name, p in fractions.items():
+        ends = [max(0.0, p - margin), min(1.0, p + margin)]
         sketches += [
             F.count(name).alias(f"n_{name}"),
-            F.min(name).alias(f"min_{name}"),
-            F.max(name).alias(f"max_{name}"),
-            F.percentile_approx(name, [low, high], accuracy).alias(f"q_{name}"),
+            F.percentile_approx(name, ends, accuracy).alias(f"q_{name}"),
         ]
-        n = F.sum(f"n_{name}")
-        small = n <= 100 * accuracy
-        bracket += [
-            n.alias(f"n_{name}"),
-            F.when(small, F.min(f"min_{name}")).otherwise(F.min(F.col(f"q_{name}")[0])).alias(f"lo_{name}"),
-            F.when(small, F.max(f"max_{name}")).otherwise(F.max(F.col(f"q_{name}")[1])).alias(f"hi_{name}"),
+        merged += [
+            F.sum(f"n_{name}").alias(f"n_{name}"),
+            F.min(F.col(f"q_{name}")[0]).alias(f"lo_{name}"),
+            F.max(F.col(f"q_{name}")[1]).alias(f"hi_{name}"),
         ]
     group = F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS))
-    bounds = one_row(values.groupBy(group.alias("g")).agg(*sketches).agg(*bracket))
+    return values.groupBy(group.alias("g")).agg(*sketches).agg(*merged).first()
+
+
+def _pick_ranks(values: DataFrame, fractions: dict[str, float], bounds) -> DataFrame:
+    """The values at the wanted ranks; everything below a bracket is folded into one counter on the map side.
 
-    below = F.lit(float("-inf"))
+    The bracket is cut into SLICES equal parts. Their totals show which part holds the rank, and only that part is
+    ordered value by value.
+    """
     cells = [
         F.struct(
             F.lit(name).alias("target"),
-            F.when(F.col(name) < bounds[f"lo_{name}"], below)
+            F.when(F.col(name) < bounds[f"lo_{name}"], F.lit(float("-inf")))
             .when(F.col(name) <= bounds[f"hi_{name}"], F.col(name))
             .alias("v"),
         )
-        for name in targets
+        for name in fractions
+        if bounds[f"n_{name}"]
     ]
     counts = (
         values.select(F.inline(F.array(*cells)))
@@ -64,22 +74,28 @@ def exact_percentiles(
         .agg(F.count(F.lit(1)).alias("n"))
     )
 
-    def of_target(pick) -> Column:
-        return F.coalesce(*[F.when(F.col("target") == name, pick(name)) for name in targets])
+    def constant(of) -> Column:
+        return F.coalesce(*[F.when(F.col("target") == t, F.lit(float(of(t)))) for t in fractions if bounds[f"n_{t}"]])
 
-    low, high = of_target(lambda t: bounds[f"lo_{t}"]), of_target(lambda t: bounds[f"hi_{t}"])
+    low, high = constant(lambda t: bounds[f"lo_{t}"]), constant(lambda t: bounds[f"hi_{t}"])
     slice_no = (
         F.when(F.col("v") < low, -1)
         .when(high == low, 0)
         .otherwise(F.floor(F.lit(SLICES) * ((F.col("v") - low) / (high - low))).cast("int"))
     )
-    position = of_target(lambda t: F.lit(targets[t][1]) * (bounds[f"n_{t}"] - 1))
-    sliced = counts.withColumns({"slice": slice_no, "at": position})
-    seen = _wanted_slices(sliced)
-    run = Window.partitionBy("target", "slice").orderBy("v")
+    at = constant(lambda t: fractions[t] * (bounds[f"n_{t}"] - 1))
+    sliced = counts.withColumns({"slice": slice_no, "at": at})
+    totals = sliced.groupBy("target", "slice", "at").agg(F.sum("n").alias("rows"))
+    upto = Window.partitionBy("target").orderBy("slice")  # at most SLICES + 2 rows per target
+    wanted = (
+        totals.withColumn("before", F.sum("rows").over(upto) - F.col("rows"))
+        .where((F.floor("at") < F.col("before") + F.col("rows")) & (F.ceil("at") >= F.col("before")))
+        .select("target", "slice", "before")
+    )
+    inside = Window.partitionBy("target", "slice").orderBy("v")
     ranked = (
-        sliced.join(seen, ["target", "slice"])
-        .withColumn("end", F.col("before") + F.sum("n").over(run))
+        sliced.join(wanted, ["target", "slice"])
+        .withColumn("end", F.col("before") + F.sum("n").over(inside))
         .withColumn("start", F.col("end") - F.col("n"))
     )
 
@@ -89,37 +105,25 @@ def exact_percentiles(
         )
 
     picked = ranked.agg(
-        *[value_at(name, F.floor("at")).alias(f"a_{name}") for name in targets],
-        *[value_at(name, F.ceil("at")).alias(f"b_{name}") for name in targets],
+        *[value_at(name, F.floor("at")).alias(f"a_{name}") for name in fractions],
+        *[value_at(name, F.ceil("at")).alias(f"b_{name}") for name in fractions],
     )
     result = []
-    for name, (_, p) in targets.items():
+    for name, p in fractions.items():
+        if not bounds[f"n_{name}"]:
+            result.append(F.lit(None).cast("double").alias(name))
+            continue
         a, b = F.col(f"a_{name}"), F.col(f"b_{name}")
-        exact = F.lit(p) * (bounds[f"n_{name}"] - 1)
-        lost = (bounds[f"n_{name}"] > 0) & (a.isNull() | b.isNull())
-        value = a + (b - a) * (exact - F.floor(exact))
+        part = p * (bounds[f"n_{name}"] - 1) % 1.0
+        lost = a.isNull() | b.isNull() | (a == float("-inf"))
         result.append(
-            F.when(lost, F.raise_error(F.lit(f"rank of {name} left its bracket")).cast("double"))
-            .otherwise(value)
+            F.when(lost, F.raise_error(F.lit(f"the rank of {name} is outside its bracket")).cast("double"))
+            .otherwise(a + (b - a) * part)
             .alias(name)
         )
     return picked.select(*result)
 
 
-def _wanted_slices(sliced: DataFrame) -> DataFrame:
-    """Per target the one or two slices that hold the wanted ranks, with the rows counted before them.
-
-    There are at most SLICES + 2 slice totals per target, so the running sum stays small.
-    """
-    totals = sliced.groupBy("target", "slice", "at").agg(F.sum("n").alias("rows"))
-    run = Window.partitionBy("target").orderBy("slice")
-    return (
-        totals.withColumn("before", F.sum("rows").over(run) - F.col("rows"))
-        .where((F.floor("at") < F.col("before") + F.col("rows")) & (F.ceil("at") >= F.col("before")))
-        .select("target", "slice", "before")
-    )
-
-
 def percentile_of(df: DataFrame, column: Column | str, percentile: float = 50.0, name: str = "value") -> DataFrame:
     """One row with the interpolated percentile (0..100) of a column."""
     return exact_percentiles(df, {name: (column, percentile / 100)})
@@ -129,24 +133,22 @@ def percent_ranks(df: DataFrame, column: str, name: str, pieces: int = 256) -> D
     """``df`` with the percent rank (0..1) of a column, ties sharing the lowest rank; null stays null.
 
     Distinct values are counted, cut into pieces at sketched split points, and ordered piece by piece. Only the
-    piece totals (at most ``pieces``) meet in one task.
+    piece totals (at most ``pieces``) meet in one task. The split points are worked out when called.
     """
     value = col(column)
     counts = df.where(value.isNotNull()).groupBy(value.alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    splits = counts.agg(
-        F.percentile_approx("v", [i / pieces for i in range(1, pieces)], 10 * pieces).alias("splits")
-    ).scalar()
+    shape = counts.agg(
+        F.percentile_approx("v", [i / pieces for i in range(1, pieces)], 10 * pieces).alias("splits"),
+        F.sum("n").alias("n"),
+    ).first()
+    splits = F.array(*[F.lit(s) for s in sorted(set(shape["splits"] or []))])
+    others = F.lit((shape["n"] or 0) - 1)
     cut = counts.withColumn("piece", F.size(F.filter(splits, lambda s: s < F.col("v"))))
     totals = cut.groupBy("piece").agg(F.sum("n").alias("rows"))
-    offsets = totals.select(
-        "piece", (F.sum("rows").over(Window.partitionBy(F.lit(0)).orderBy("piece")) - F.col("rows")).alias("before")
-    )
-    total = counts.agg(F.sum("n").alias("n")).scalar()
-    inside = Window.partitionBy("piece").orderBy("v")
+    upto = Window.partitionBy(F.lit(0)).orderBy("piece")
+    offsets = totals.select("piece", (F.sum("rows").over(upto) - F.col("rows")).alias("before"))
+    below = F.col("before") + F.sum("n").over(Window.partitionBy("piece").orderBy("v")) - F.col("n")
     ranks = cut.join(offsets, "piece").select(
-        F.col("v").alias(column),
-        F.coalesce(
-            F.try_divide(F.col("before") + F.sum("n").over(inside) - F.col("n"), total - 1), F.lit(0.0)
-        ).alias(name),
+        F.col("v").alias(column), F.coalesce(F.try_divide(below, others), F.lit(0.0)).alias(name)
     )
     return df.join(ranks, column, "left")

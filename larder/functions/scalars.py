@@ -79,9 +79,11 @@ def flatten_record(df: DataFrame, sep: str = "_") -> DataFrame:
     return df.select(*leaves(df.schema, ()))
 
 
-def one_row(df: DataFrame) -> Column:
-    """The only row of ``df`` as a struct column: a scalar subquery, run once and inlined as a constant."""
-    return df.select(F.struct(*df.columns).alias("row")).scalar()
+def attach(df: DataFrame, **singles: DataFrame) -> DataFrame:
+    """``df`` with one struct column per one-row frame: scalar subqueries, each run once and inlined as a constant."""
+    return df.withColumns(
+        {name: single.select(F.struct(*single.columns).alias(name)).scalar() for name, single in singles.items()}
+    )
 
 
 def require_columns(df: DataFrame, names: list[str], label: str = "table") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from larder.functions import labels as L
 from larder.functions.calendar import order_calendar
 from larder.functions.ranks import exact_percentiles
-from larder.functions.scalars import lookup, one_row
+from larder.functions.scalars import attach, lookup
 
 
 def line_totals(order_items: DataFrame) -> DataFrame:
@@ -82,25 +82,22 @@ def temporal_insights(facts: DataFrame, orders: DataFrame) -> DataFrame:
 
     Ties go to the earliest hour and to the earliest day of the week.
     """
-    hours = hourly_pattern(facts)
-    peak_hour = hours.agg(F.max_by("hour", F.struct("num_orders", -F.col("hour"))).alias("h")).scalar()
     rank = lookup("day_name", {d: i for i, d in enumerate(L.DAY_NAMES)})
-    peak_day = weekday_pattern(facts).agg(F.max_by("day_name", F.struct(F.col("num_orders"), -rank))).scalar()
+    hour = hourly_pattern(facts).agg(F.max_by("hour", F.struct(F.col("num_orders"), -F.col("hour"))).alias("peak"))
+    day = weekday_pattern(facts).agg(F.max_by("day_name", F.struct(F.col("num_orders"), -rank)).alias("peak"))
     split = facts.where("order_date IS NOT NULL").agg(
         F.countDistinct(F.when(F.col("is_weekend") == 1, F.col("order_id"))).alias("weekend"),
         F.countDistinct(F.when(F.col("is_weekend") == 0, F.col("order_id"))).alias("weekday"),
     )
-    days = one_row(
-        order_calendar(orders).agg(
-            F.countDistinct("id").alias("orders"), F.countDistinct("order_date").alias("days")
-        )
+    active = order_calendar(orders).agg(
+        F.countDistinct("id").cast("double").alias("orders"), F.countDistinct("order_date").alias("days")
     )
-    return split.select(
-        peak_hour.alias("peak_hour"),
-        F.format_string("%02d:00", peak_hour).alias("peak_hour_label"),
-        peak_day.alias("peak_day"),
+    return attach(split, hour=hour, day=day, active=active).select(
+        F.col("hour.peak").alias("peak_hour"),
+        F.format_string("%02d:00", "hour.peak").alias("peak_hour_label"),
+        F.col("day.peak").alias("peak_day"),
         F.bround(F.try_divide(F.col("weekend") * 100.0, F.col("weekend") + F.col("weekday")), 1).alias("weekend_pct"),
-        F.bround(F.try_divide(days["orders"].cast("double"), days["days"]), 1).alias("avg_orders_per_day"),
+        F.bround(F.try_divide("active.orders", "active.days"), 1).alias("avg_orders_per_day"),
     )
 
 

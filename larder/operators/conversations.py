@@ -73,9 +73,8 @@ def token_usage(calls: DataFrame) -> DataFrame:
 def question_intent(questions: DataFrame, text: str = "text") -> DataFrame:
     """Questions with intent and confidence by the first rule whose keywords occur anywhere in the text."""
     lowered = F.lower(text)
-    intent, confidence = F, F
-    for name, words, score in L.QUESTION_RULES:
+    intent, confidence = map(F.lit, L.QUESTION_DEFAULT)
+    for name, words, score in reversed(L.QUESTION_RULES):
         hit = lowered.rlike("|".join(words))
-        intent, confidence = intent.when(hit, name), confidence.when(hit, score)
-    name, score = L.QUESTION_DEFAULT
-    return questions.withColumns({"intent": intent.otherwise(name), "confidence": confidence.otherwise(score)})
+        intent, confidence = F.when(hit, name).otherwise(intent), F.when(hit, score).otherwise(confidence)
+    return questions.withColumns({"intent": intent, "confidence": confidence})

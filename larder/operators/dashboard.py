@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from larder.functions.calendar import order_calendar
 from larder.functions.ranks import exact_percentiles
-from larder.functions.scalars import event_time, hour_label, number, one_row
+from larder.functions.scalars import attach, event_time, hour_label, number
 from larder.operators.behavior import line_totals
 
 
@@ -76,25 +76,27 @@ def dashboard_summary(
     model_metrics: DataFrame | None = None,
 ) -> DataFrame:
     """One row with all headline figures; model scores only when there are any."""
-    value, lines = one_row(order_value_stats(orders)), one_row(lines_per_order(order_items))
-    peak, alerts = one_row(peak_by_mode(orders)), one_row(alert_counts)
-    columns = [
-        F.col("total_orders"),
-        order_items.agg(F.count(F.lit(1))).scalar().alias("total_order_items"),
-        F.col("restaurants"),
-        dim_items.agg(F.count(F.lit(1))).scalar().alias("menu_items"),
-        *[peak[c].alias(c) for c in ("peak_hour", "peak_hour_label", "peak_day", "weekend_pct")],
-        orders_per_day(orders).scalar().alias("avg_orders_per_day"),
-        *[lines[c].alias(c) for c in ("avg_items_per_order", "avg_quantity_per_order")],
-        *[value[c].alias(c) for c in ("avg_order_value", "median_order_value")],
-        *[alerts[c].alias(c) for c in ("critical_items", "low_stock_items", "excess_items")],
-    ]
+    totals = orders.agg(F.count(F.lit(1)).alias("total_orders"), F.countDistinct("place_id").alias("restaurants"))
+    parts = {
+        "sizes": _sizes(order_items, dim_items),
+        "peak": peak_by_mode(orders),
+        "rate": orders_per_day(orders),
+        "lines": lines_per_order(order_items),
+        "amount": order_value_stats(orders),
+        "alerts": alert_counts,
+    }
+    columns = ["total_orders", "sizes.total_order_items", "restaurants", "sizes.menu_items"]
+    columns += [f"{name}.*" for name in ("peak", "rate", "lines", "amount", "alerts")]
     if model_metrics is not None:
-        scores = one_row(model_metrics)
-        columns += [scores[c].alias(f"model_{c}") for c in ("r2", "mae", "rmse")]
-    return orders.agg(
-        F.count(F.lit(1)).alias("total_orders"), F.countDistinct("place_id").alias("restaurants")
-    ).select(*columns)
+        parts["model"] = model_metrics
+        columns += [F.col(f"model.{c}").alias(f"model_{c}") for c in ("r2", "mae", "rmse")]
+    return attach(totals, **parts).select(*columns)
+
+
+def _sizes(order_items: DataFrame, dim_items: DataFrame) -> DataFrame:
+    return order_items.agg(F.count(F.lit(1)).alias("total_order_items")).withColumn(
+        "menu_items", dim_items.agg(F.count(F.lit(1))).scalar()
+    )
 
 
 def inventory_summary(
@@ -113,14 +115,8 @@ def inventory_summary(
         "inventory_alerts": alert_counts,
         **({"model_performance": model_metrics} if model_metrics is not None else {}),
     }
-    overview = orders.agg(
-        F.count(F.lit(1)).alias("total_orders"), F.countDistinct("place_id").alias("restaurants")
-    ).select(
-        F.struct(
-            "total_orders",
-            order_items.agg(F.count(F.lit(1))).scalar().alias("total_order_items"),
-            "restaurants",
-            dim_items.agg(F.count(F.lit(1))).scalar().alias("menu_items"),
-        ).alias("data_overview")
+    totals = orders.agg(F.count(F.lit(1)).alias("total_orders"), F.countDistinct("place_id").alias("restaurants"))
+    overview = attach(totals, sizes=_sizes(order_items, dim_items)).select(
+        F.struct("total_orders", "sizes.total_order_items", "restaurants", "sizes.menu_items").alias("data_overview")
     )
-    return overview.select("data_overview", *[one_row(df).alias(name) for name, df in parts.items()])
+    return attach(overview, **parts)

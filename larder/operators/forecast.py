@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from larder.functions.calendar import calendar_fields, order_calendar
 from larder.functions.ranks import exact_percentiles
-from larder.functions.scalars import finite, one_row
+from larder.functions.scalars import finite
 
 FEATURES = [
     "day_of_week",
@@ -155,8 +155,8 @@ def feature_matrix(demand: DataFrame, target: str = "quantity_demanded") -> Data
     holes = [c for c in names if gaps[c]]
     keys = [c for c in ("place_id", "item_id", "date") if c in demand.columns]
     if holes:
-        median = one_row(exact_percentiles(demand, {c: (c, 0.5) for c in holes}))
-        clean.update({c: F.coalesce(clean[c], median[c]) for c in holes})
+        medians = exact_percentiles(demand, {c: (c, 0.5) for c in holes}).first()
+        clean.update({c: F.coalesce(clean[c], F.lit(medians[c])) for c in holes if medians[c] is not None})
     return demand.select(*keys, *[v.alias(c) for c, v in clean.items()], F.col(target).cast("double").alias("label"))
 
 

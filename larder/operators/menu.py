@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from larder.functions import labels as L
 from larder.functions.ranks import exact_percentiles, percent_ranks
-from larder.functions.scalars import finite, lookup, one_row
+from larder.functions.scalars import attach, finite, lookup
 
 
 def _per_item(rows: DataFrame) -> DataFrame:
@@ -73,11 +73,17 @@ def category_of(orders: Column, price: Column, popularity: Column, profitability
 
 
 def menu_matrix(items: DataFrame, thresholds: DataFrame | None = None) -> DataFrame:
-    """Items with their category, by the given thresholds or the medians of the items themselves."""
-    edge = one_row(menu_thresholds(items) if thresholds is None else thresholds)
-    return items.withColumn(
-        "category", category_of(finite("order_count"), finite("price"), edge["popularity"], edge["profitability"])
-    )
+    """Items with their category, by the given thresholds or the medians of the items themselves.
+
+    The two thresholds are fetched when called and become constants of the plan.
+    """
+    edge = _edges(menu_thresholds(items) if thresholds is None else thresholds)
+    return items.withColumn("category", category_of(finite("order_count"), finite("price"), *edge))
+
+
+def _edges(thresholds: DataFrame) -> tuple[Column, Column]:
+    row = thresholds.first()
+    return F.lit(row["popularity"]).cast("double"), F.lit(row["profitability"]).cast("double")
 
 
 def _categories(spark: SparkSession) -> DataFrame:
@@ -212,10 +218,9 @@ def recommendations_by_category(classified: DataFrame, category: str | None = No
 
 def classify_new_items(predicted: DataFrame, thresholds: DataFrame, days: int = 730) -> DataFrame:
     """Category of items (item_id, price, daily_demand) by stored thresholds, demand scaled to their time span."""
-    edge = one_row(thresholds)
     orders = F.coalesce(F.col("daily_demand"), F.lit(0.0)) * days
     return predicted.withColumn("estimated_orders", orders).withColumn(
-        "category", category_of(F.col("estimated_orders"), F.col("price"), edge["popularity"], edge["profitability"])
+        "category", category_of(F.col("estimated_orders"), F.col("price"), *_edges(thresholds))
     )
 
 
@@ -259,35 +264,36 @@ def menu_summary(
 
 def price_stats(items: DataFrame, column: str = "price") -> DataFrame:
     """count, mean, std, min, quartiles and max of a price column."""
-    q = one_row(exact_percentiles(items, {"p25": (column, 0.25), "p50": (column, 0.5), "p75": (column, 0.75)}))
+    quartiles = exact_percentiles(items, {"p25": (column, 0.25), "p50": (column, 0.5), "p75": (column, 0.75)})
     v = finite(column)
-    return items.agg(
+    rest = items.agg(
         F.count(v).alias("count"),
         F.avg(v).alias("mean"),
         F.stddev_samp(v).alias("std"),
         F.min(v).alias("min"),
         F.max(v).alias("max"),
-    ).select("count", "mean", "std", "min", *[q[p].alias(p) for p in ("p25", "p50", "p75")], "max")
+    )
+    return attach(rest, q=quartiles).select("count", "mean", "std", "min", "q.p25", "q.p50", "q.p75", "max")
 
 
 def price_histogram(items: DataFrame, column: str = "price", bins: int = 50) -> DataFrame:
     """Equal-width bins between the smallest and the largest price; the largest belongs to the last bin.
 
-    When all prices are equal the range is one unit wide around them.
+    When all prices are equal the range is one unit wide around them. The range is fetched when called.
     """
     v = items.select(finite(column).alias("v")).where("v IS NOT NULL")
-    span = one_row(v.agg(F.min("v").alias("low"), F.max("v").alias("high")))
-    flat = span["low"] == span["high"]
-    low = F.when(flat, span["low"] - 0.5).otherwise(span["low"])
-    high = F.when(flat, span["high"] + 0.5).otherwise(span["high"])
+    span = v.agg(F.min("v").alias("low"), F.max("v").alias("high")).first()
+    low, high = span["low"] or 0.0, span["high"] or 0.0
+    if low == high:
+        low, high = low - 0.5, high + 0.5
     slot = F.least(F.floor(F.lit(float(bins)) * (F.col("v") - low) / (high - low)), F.lit(bins - 1))
     counts = v.groupBy(slot.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("items"))
     every = items.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
     width = (high - low) / bins
     return every.join(counts, "bin", "left").select(
         "bin",
-        (low + F.col("bin") * width).alias("bin_start"),
-        (low + (F.col("bin") + 1) * width).alias("bin_end"),
+        (F.lit(low) + F.col("bin") * width).alias("bin_start"),
+        (F.lit(low) + (F.col("bin") + 1) * width).alias("bin_end"),
         F.coalesce("items", F.lit(0)).alias("items"),
     )
 

@@ -1,0 +1 @@
+"""The chains of operators behind the usual reports."""

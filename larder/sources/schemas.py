@@ -39,20 +39,30 @@ _TABLES = {
     "most_ordered": "place_id long, item_id long, item_name string, order_count long",
 }
 
-CATALOG: dict[str, T.StructType] = {name: T.StructType.fromDDL(ddl) for name, ddl in _TABLES.items()}
+_TYPES = {
+    "long": T.LongType(),
+    "int": T.IntegerType(),
+    "double": T.DoubleType(),
+    "string": T.StringType(),
+    "timestamp": T.TimestampType(),
+}
 
-RESTAURANTS = T.StructType.fromDDL("id long, name string, location string")
-LIVE_MENU_ITEMS = T.StructType.fromDDL(
-    "id long, restaurant_id long, name string, price double, category string, description string"
-)
-LIVE_ORDERS = T.StructType.fromDDL("id string, restaurant_id long, timestamp timestamp, total_amount double")
-LIVE_ORDER_ITEMS = T.StructType.fromDDL(
-    "order_id string, line_no int, menu_item_id long, quantity long, price_at_time double"
-)
-ORDER_MESSAGE = T.StructType.fromDDL(
-    "order_id string, restaurant_id long, total_amount double, "
-    "items array<struct<menu_item_id: bigint, quantity: bigint, price: double>>"
-)
-INVENTORY_REPORT = T.StructType.fromDDL(
+
+def struct(columns: str) -> T.StructType:
+    """``"name type, name type"`` as a struct; needs no running session."""
+    fields = (column.split() for column in columns.split(","))
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in fields])
+
+
+CATALOG: dict[str, T.StructType] = {name: struct(columns) for name, columns in _TABLES.items()}
+
+RESTAURANTS = struct("id long, name string, location string")
+LIVE_MENU_ITEMS = struct("id long, restaurant_id long, name string, price double, category string, description string")
+LIVE_ORDERS = struct("id string, restaurant_id long, timestamp timestamp, total_amount double")
+LIVE_ORDER_ITEMS = struct("order_id string, line_no int, menu_item_id long, quantity long, price_at_time double")
+INVENTORY_REPORT = struct(
     "date timestamp, item_id long, current_stock double, reorder_point double, safety_stock double"
 )
+ORDER_MESSAGE = struct("order_id string, restaurant_id long, total_amount double").add(
+    "items", T.ArrayType(struct("menu_item_id long, quantity long, price double"))
+)
