@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from larder.functions.calendar import calendar_fields, order_calendar
 from larder.functions.ranks import exact_percentiles
 from larder.functions.scalars import finite
+from larder.session import shared_dir
 
 FEATURES = [
     "day_of_week",
@@ -200,6 +201,7 @@ def train_forecaster(
     local disk; a lost executor recomputes its share.
     """
     features = [c for c in FEATURES if c in matrix.columns]
+    shared_dir(matrix.sparkSession)  # boosting cuts its lineage there
     if kind == "gradient_boosting":
         learner = GBTRegressor(
             maxIter=trees or 200,

@@ -54,7 +54,7 @@ def stock_report(
     if with_forecaster:
         demand = forecast.demand_lags(
             forecast.enriched_demand(daily, forecast.item_stats(lines), forecast.place_stats(lines))
-        )
+        ).persist(keep)
         fitted = forecast.train_forecaster(forecast.feature_matrix(demand))
         results["metrics"] = forecast.forecaster_metrics(fitted, demand)
         results["importance"] = forecast.feature_importance(fitted.model, fitted.features, demand)

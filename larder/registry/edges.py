@@ -86,14 +86,15 @@ COLUMNS = [
 
 @query(
     "dq1_quality_report",
-    "WITH f AS (SELECT order_id, item_id, quantity, cost FROM fct_order_items),"
-    " d AS (SELECT count(*) AS total_rows, CAST((SELECT sum(n - 1) FROM (SELECT count(*) AS n FROM f GROUP BY ALL)) AS BIGINT)"
-    " AS duplicate_rows FROM f) "
+    """WITH f AS (SELECT order_id, item_id, quantity, cost FROM fct_order_items),
+            d AS (SELECT CAST(sum(n) AS BIGINT) AS total_rows, CAST(sum(n - 1) AS BIGINT) AS duplicate_rows
+                  FROM (SELECT count(*) AS n FROM f GROUP BY order_id, item_id, quantity, cost))
+    """
     + " UNION ALL ".join(
-        f"SELECT total_rows, duplicate_rows, '{c}' AS column_name, '{ty}' AS data_type,"
-        f" (SELECT count(*) FROM f WHERE {c} IS NULL) AS null_count FROM d"
-        for c, ty in COLUMNS
-    ).replace("GROUP BY ALL", "GROUP BY order_id, item_id, quantity, cost"),
+        f"""SELECT total_rows, duplicate_rows, '{c}' AS column_name, '{kind}' AS data_type,
+                   (SELECT count(*) FROM f WHERE {c} IS NULL) AS null_count FROM d"""
+        for c, kind in COLUMNS
+    ),
 )
 def dq1(t):
     return quality.quality_report(t.order_items.select(*[c for c, _ in COLUMNS]))

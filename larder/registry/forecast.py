@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from larder.functions.calendar import order_calendar
 from larder.operators import forecast
 from larder.registry.base import query, r, rounded
+from larder.session import written
 
 AS_OF = dt.date(2001, 8, 1)
 
@@ -143,7 +144,7 @@ def fc7(t):
         FROM lagged""",
 )
 def fc8(t):
-    demand = forecast.demand_features(lines(t)).withColumn("avg_price", F.col("avg_cost"))
+    demand = written(forecast.demand_features(lines(t)), "demand").withColumn("avg_price", F.col("avg_cost"))
     return rounded(
         forecast.feature_matrix(demand),
         avg_price=4,

@@ -10,6 +10,7 @@ from larder.operators import forecast, inventory, weekly
 from larder.plans import stock
 from larder.registry.base import query, r, rounded
 from larder.registry.menu import classified
+from larder.session import written
 
 FRIDAY = dt.date(2024, 1, 5)
 
@@ -186,7 +187,7 @@ def in16(t):
 
 @query("in17_weekly_capped_actions", "SELECT * FROM capped_actions")
 def in17(t):
-    return weekly.weekly_capped_actions(stock_actions(t))
+    return weekly.weekly_capped_actions(written(stock_actions(t), "actions"))
 
 
 @query("in18_weekly_menu_actions", "SELECT * FROM named_menu_actions")
@@ -196,7 +197,7 @@ def in18(t):
 
 @query("in19_weekly_actions_from_alerts", "SELECT * FROM alert_actions")
 def in19(t):
-    found = alerts(t)
+    found = inventory.stock_alerts(written(analysis(t), "analysis"))
     return weekly.weekly_actions_from_alerts(found, inventory.alert_counts(found))
 
 
@@ -207,7 +208,7 @@ def in19(t):
               'Weekend peak expected. Ensure adequate staffing and stock levels for high-demand items.', 'Medium'""",
 )
 def in20(t):
-    actions = weekly.weekly_capped_actions(stock_actions(t))
+    actions = weekly.weekly_capped_actions(written(stock_actions(t), "actions"))
     return weekly.weekly_recommendations(actions, weekly.weekly_menu_actions(classified(t)), FRIDAY)
 
 

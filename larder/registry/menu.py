@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from larder.operators import menu
 from larder.registry.base import query, r, rounded
+from larder.session import written
 from larder.sources.orders import split_orders
 from pyspark.sql import functions as F
 
@@ -18,7 +19,7 @@ def live(t):
 
 
 def classified(t):
-    return menu.menu_matrix(performance(t))
+    return menu.menu_matrix(written(performance(t), "performance"))
 
 
 ITEM = "item_id, item_name, order_count"
@@ -31,22 +32,22 @@ def me1(t):
 
 @query(
     "me2_live_item_performance",
-    f"SELECT {ITEM}, {r('revenue', 2)}, {r('price', 4)}, category, description, restaurant_id FROM live_performance",
+    f"SELECT {ITEM}, {r('revenue', 4)}, {r('price', 4)}, category, description, restaurant_id FROM live_performance",
 )
 def me2(t):
-    return rounded(live(t), price=4, revenue=2)
+    return rounded(live(t), price=4, revenue=4)
 
 
 @query(
     "me3_combined_item_performance",
     f"""SELECT item_id, item_name, CAST(sum(order_count) AS BIGINT) AS order_count, {r('avg(price)', 4, 'price')},
-               {r('sum(revenue)', 2, 'revenue')}
+               {r('sum(revenue)', 4, 'revenue')}
         FROM (SELECT item_id, item_name, order_count, price, revenue FROM item_performance
               UNION ALL SELECT item_id, item_name, order_count, price, revenue FROM live_performance)
         WHERE item_name IS NOT NULL GROUP BY item_id, item_name""",
 )
 def me3(t):
-    return rounded(menu.combined_item_performance(performance(t), live(t)), price=4, revenue=2)
+    return rounded(menu.combined_item_performance(performance(t), live(t)), price=4, revenue=4)
 
 
 @query("me4_menu_thresholds", f"SELECT {r('popularity', 4)}, {r('profitability', 4)} FROM thresholds")
@@ -251,11 +252,12 @@ def me20_bubbles(t):
     return rounded(menu.bubble_sizes(classified(t)).select("item_id", "category", "bubble_size"), bubble_size=4)
 
 
+# Mean prices differ in their last bits with the order of rows; rounding them first keeps equal prices equal.
 @query(
     "me21_item_scores",
     f"""SELECT item_id, category, {r('percent_rank() OVER (ORDER BY order_count) * 100', 4, 'popularity_score')},
-               {r('percent_rank() OVER (ORDER BY price) * 100', 4, 'profitability_score')} FROM classified""",
+               {r('percent_rank() OVER (ORDER BY round_even(price, 4)) * 100', 4, 'profitability_score')} FROM classified""",
 )
 def me21(t):
-    df = menu.item_scores(classified(t)).select("item_id", "category", "popularity_score", "profitability_score")
+    df = menu.item_scores(rounded(classified(t), price=4)).select("item_id", "category", "popularity_score", "profitability_score")
     return rounded(df, popularity_score=4, profitability_score=4)

@@ -10,20 +10,22 @@ from larder.operators import clusters, forecast, menu, prediction
 from larder.registry.base import query, r, rounded
 from larder.registry.forecast import AS_OF, lines
 from larder.registry.menu import performance
+from larder.session import written
 from larder.sources.standins import Standins
 
-# Trees per model in these queries; the library's own default is 200.
+# Trees per model in these queries; the library's own defaults are 200 for the forecast and 100 for the prediction.
 TREES = 20
 
 
 @lru_cache(maxsize=4)
 def _predictors(application: str, sf_dir: str):
-    return prediction.train_predictors(_tables(sf_dir).menu_items)
+    return prediction.train_predictors(_tables(sf_dir).menu_items, trees=TREES)
 
 
 @lru_cache(maxsize=4)
 def _forecaster(application: str, sf_dir: str):
-    matrix = forecast.feature_matrix(forecast.demand_features(lines(_tables(sf_dir))))
+    demand = written(forecast.demand_features(lines(_tables(sf_dir))), "demand")
+    matrix = forecast.feature_matrix(demand)
     return forecast.train_forecaster(matrix, trees=TREES)
 
 
@@ -131,7 +133,7 @@ def pr1(t):
 @query("pr2_price_quintile", f"WITH {USABLE} SELECT id, {BUCKET} AS price_bucket FROM usable, edges")
 def pr2(t):
     rows = prediction.usable_items(t.menu_items)
-    edges = prediction.price_edges(rows).scalar()
+    edges = prediction.price_edges(rows)
     return rows.select("id", prediction.price_bucket("price", edges).alias("price_bucket"))
 
 
@@ -176,7 +178,7 @@ REQUESTS = """
                {r('rating * votes', 2, 'rating_score')}, {r('ln(1 + price)', 6, 'log_price')} FROM known, edges""",
 )
 def pr6_features(t):
-    edges = prediction.price_edges(prediction.usable_items(t.menu_items)).scalar()
+    edges = prediction.price_edges(prediction.usable_items(t.menu_items))
     df = prediction.request_features(requests(t), t.menu_items, edges)
     return rounded(df, rating=4, votes=4, rating_score=2, log_price=6)
 

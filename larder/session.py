@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from multiprocessing.pool import ThreadPool
 
-from pyspark.sql import SparkSession
+from pyspark import inheritable_thread_target
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings the operators rely on. All of them can be changed on a live session.
 RUNTIME_CONF = {
@@ -43,16 +46,37 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only a local master, where driver and executors are one process, may fall back to a folder of its own.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
+        if context.getCheckpointDir() is None:
+            context.setCheckpointDir(configured)
         return configured
-    if not spark.sparkContext.master.startswith("local"):
+    if context.getCheckpointDir():
+        return context.getCheckpointDir()
+    if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     path = tempfile.mkdtemp(prefix="larder-")
-    spark.sparkContext.setCheckpointDir(path)
-    return spark.sparkContext.getCheckpointDir()
+    context.setCheckpointDir(path)
+    return context.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, label: str = "table") -> DataFrame:
+    """``df`` computed once and read back from the shared folder, for a result several plans build on."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def fit_together(fits: list[Callable[[], object]], at_once: int = 4) -> list:
+    """Run independent model fits side by side, so that the short jobs of one fill the gaps of another."""
+    pool = ThreadPool(min(at_once, len(fits)))
+    try:
+        return pool.map(lambda fit: fit(), [inheritable_thread_target(f) for f in fits])
+    finally:
+        pool.close()
