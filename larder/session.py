@@ -73,10 +73,10 @@ def written(df: DataFrame, label: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def fit_together(fits: list[Callable[[], object]], at_once: int = 4) -> list:
+def fit_together(spark: SparkSession, fits: list[Callable[[], object]], at_once: int = 4) -> list:
     """Run independent model fits side by side, so that the short jobs of one fill the gaps of another."""
     pool = ThreadPool(min(at_once, len(fits)))
     try:
-        return pool.map(lambda fit: fit(), [inheritable_thread_target(f) for f in fits])
+        return pool.map(lambda fit: fit(), [inheritable_thread_target(spark)(f) for f in fits])
     finally:
         pool.close()
