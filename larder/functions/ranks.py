@@ -6,122 +6,145 @@ not hold, so the rank is first narrowed with a mergeable sketch and only the val
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from larder.functions.scalars import col, finite
 
 SKETCH_GROUPS = 64  # sketches are merged in this many tasks, not in one
-SLICES = 512  # slices of the narrowed range, each ordered by a task of its own
+SLICES = 512  # slices of a narrowed range, each ordered by a task of its own
 
 
 def exact_percentiles(
-    df: DataFrame, targets: dict[str, tuple[Column | str, float]], accuracy: int = 10_000
+    df: DataFrame, targets: dict[str, tuple[Column | str, float]], accuracy: int = 1_000
 ) -> DataFrame:
     """One row with the linearly interpolated percentile of each target ``name -> (column, fraction)``.
 
     Runs one job when called. It counts the values and brackets each wanted rank: the sketch error is at most
     1/accuracy of the rows, and the bracket is two errors wide on either side. Taking the lowest and highest
     bracket over groups of partitions keeps it valid however rows are spread. Up to 100 * accuracy values Spark's
-    own ``percentile`` is exact in one task and takes over; beyond that only values inside the bracket are ordered.
+    own ``percentile`` is exact in one task and takes over; beyond that only values inside a bracket are ordered.
     Nulls, NaN and infinities are ignored; a column without values gives null.
     """
-    values = df.select(*[finite(c).alias(name) for name, (c, _) in targets.items()])
-    bounds = _brackets(values, {name: p for name, (_, p) in targets.items()}, accuracy)
-    if all((bounds[f"n_{name}"] or 0) <= 100 * accuracy for name in targets):
-        return values.agg(*[F.percentile(name, F.lit(p)).alias(name) for name, (_, p) in targets.items()])
-    return _pick_ranks(values, {name: p for name, (_, p) in targets.items()}, bounds)
-
-
-def _brackets(values: DataFrame, fractions: dict[str, float], accuracy: int):
-    """One row: number of values, lowest and highest value around each rank."""
+    columns: dict[object, str] = {}  # one sketch per column, however many percentiles are wanted of it
+    wanted: dict[str, list[tuple[str, float]]] = {}
+    picked = []
+    for name, (c, p) in targets.items():
+        key = c if isinstance(c, str) else id(c)
+        if key not in columns:
+            columns[key] = f"v{len(columns)}"
+            wanted[columns[key]] = []
+            picked.append(finite(c).alias(columns[key]))
+        wanted[columns[key]].append((name, p))
+    values = df.select(*picked)
+    counts, brackets = _brackets(values, wanted, accuracy)
+    if all(n <= 100 * accuracy for n in counts.values()):
+        parts = [F.percentile(v, F.lit(p)).alias(name) for v, targets_ in wanted.items() for name, p in targets_]
+        return values.agg(*parts).select(*targets)
+    return _pick_ranks(values, wanted, counts, brackets).select(*targets)
+
+
+def _brackets(values: DataFrame, wanted: dict[str, list[tuple[str, float]]], accuracy: int):
+    """Number of values per column, and the merged value ranges that hold the wanted ranks."""
     margin = 2.0 / accuracy
     sketches, merged = [], []
-    for name, p in fractions.items():
-        ends = [max(0.0, p - margin), min(1.0, p + margin)]
-        sketches += [
-            F.count(name).alias(f"n_{name}"),
-            F.percentile_approx(name, ends, accuracy).alias(f"q_{name}"),
-        ]
-        merged += [
-            F.sum(f"n_{name}").alias(f"n_{name}"),
-            F.min(F.col(f"q_{name}")[0]).alias(f"lo_{name}"),
-            F.max(F.col(f"q_{name}")[1]).alias(f"hi_{name}"),
-        ]
+    for v, targets in wanted.items():
+        ends = [e for _, p in targets for e in (max(0.0, p - margin), min(1.0, p + margin))]
+        sketches += [F.count(v).alias(f"n_{v}"), F.percentile_approx(v, ends, accuracy).alias(f"q_{v}")]
+        merged.append(F.sum(f"n_{v}").alias(f"n_{v}"))
+        for k in range(len(targets)):
+            merged.append(F.min(F.col(f"q_{v}")[2 * k]).alias(f"lo_{v}_{k}"))
+            merged.append(F.max(F.col(f"q_{v}")[2 * k + 1]).alias(f"hi_{v}_{k}"))
     group = F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS))
-    return values.groupBy(group.alias("g")).agg(*sketches).agg(*merged).first()
-
-
-def _pick_ranks(values: DataFrame, fractions: dict[str, float], bounds) -> DataFrame:
-    """The values at the wanted ranks; everything below a bracket is folded into one counter on the map side.
-
-    The bracket is cut into SLICES equal parts. Their totals show which part holds the rank, and only that part is
-    ordered value by value.
+    row = values.groupBy(group.alias("g")).agg(*sketches).agg(*merged).first()
+    counts = {v: row[f"n_{v}"] or 0 for v in wanted}
+    ranges = {}
+    for v, targets in wanted.items():
+        ends = sorted((row[f"lo_{v}_{k}"], row[f"hi_{v}_{k}"]) for k in range(len(targets)) if counts[v])
+        joined: list[tuple[float, float]] = []
+        for low, high in ends:
+            if joined and low <= joined[-1][1]:
+                joined[-1] = (joined[-1][0], max(high, joined[-1][1]))
+            else:
+                joined.append((low, high))
+        ranges[v] = joined
+    return counts, ranges
+
+
+def _zone(v: str, ranges: list[tuple[float, float]]) -> Column:
+    """(zone, value): odd zones are the ranges, with their values; even ones the gaps below them, without."""
+    value = F.col(v)
+    zone, kept = F.lit(None).cast("int"), F.lit(None).cast("double")
+    for k, (low, high) in reversed(list(enumerate(ranges))):
+        zone = F.when(value < low, 2 * k).when(value <= high, 2 * k + 1).otherwise(zone)
+        kept = F.when(value < low, F.lit(None)).when(value <= high, value).otherwise(kept)
+    return F.struct(F.lit(v).alias("name"), zone.alias("zone"), kept.alias("v"))
+
+
+def _pick_ranks(values: DataFrame, wanted, counts, ranges) -> DataFrame:
+    """The values at the wanted ranks.
+
+    A gap below a range is one counter, combined on the map side. A range is cut into SLICES equal parts; their
+    totals show which parts hold a rank, and only those are ordered value by value.
     """
-    cells = [
-        F.struct(
-            F.lit(name).alias("target"),
-            F.when(F.col(name) < bounds[f"lo_{name}"], F.lit(float("-inf")))
-            .when(F.col(name) <= bounds[f"hi_{name}"], F.col(name))
-            .alias("v"),
-        )
-        for name in fractions
-        if bounds[f"n_{name}"]
-    ]
-    counts = (
-        values.select(F.inline(F.array(*cells)))
-        .where(F.col("v").isNotNull())
-        .groupBy("target", "v")
+    present = {v: targets for v, targets in wanted.items() if counts[v]}
+    cells = (
+        values.select(F.inline(F.array(*[_zone(v, ranges[v]) for v in present])))
+        .where(F.col("zone").isNotNull())
+        .groupBy("name", "zone", "v")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-
-    def constant(of) -> Column:
-        return F.coalesce(*[F.when(F.col("target") == t, F.lit(float(of(t)))) for t in fractions if bounds[f"n_{t}"]])
-
-    low, high = constant(lambda t: bounds[f"lo_{t}"]), constant(lambda t: bounds[f"hi_{t}"])
-    slice_no = (
-        F.when(F.col("v") < low, -1)
-        .when(high == low, 0)
-        .otherwise(F.floor(F.lit(SLICES) * ((F.col("v") - low) / (high - low))).cast("int"))
-    )
-    at = constant(lambda t: fractions[t] * (bounds[f"n_{t}"] - 1))
-    sliced = counts.withColumns({"slice": slice_no, "at": at})
-    totals = sliced.groupBy("target", "slice", "at").agg(F.sum("n").alias("rows"))
-    upto = Window.partitionBy("target").orderBy("slice")  # at most SLICES + 2 rows per target
-    wanted = (
+    slice_no = F.lit(0)
+    for v in present:
+        for k, (low, high) in enumerate(ranges[v]):
+            if low < high:
+                inside = F.floor(F.lit(SLICES) * ((F.col("v") - low) / (high - low))).cast("int")
+                slice_no = F.when((F.col("name") == v) & (F.col("zone") == 2 * k + 1), inside).otherwise(slice_no)
+    sliced = cells.withColumn("slice", slice_no)
+
+    def ranks_of(v: str) -> list[int]:
+        exact = [p * (counts[v] - 1) for _, p in present[v]]
+        return sorted({r for x in exact for r in (math.floor(x), math.ceil(x))})
+
+    upto = Window.partitionBy("name").orderBy("zone", "slice")  # a few times SLICES rows per column
+    totals = sliced.groupBy("name", "zone", "slice").agg(F.sum("n").alias("rows"))
+    holds = F.lit(False)
+    for v in present:
+        for rank in ranks_of(v):
+            here = (F.col("before") <= rank) & (F.col("before") + F.col("rows") > rank)
+            holds = holds | ((F.col("name") == v) & here)
+    hit = (
         totals.withColumn("before", F.sum("rows").over(upto) - F.col("rows"))
-        .where((F.floor("at") < F.col("before") + F.col("rows")) & (F.ceil("at") >= F.col("before")))
-        .select("target", "slice", "before")
+        .where(holds)
+        .select("name", "zone", "slice", "before")
     )
-    inside = Window.partitionBy("target", "slice").orderBy("v")
+    run = Window.partitionBy("name", "zone", "slice").orderBy("v")
     ranked = (
-        sliced.join(wanted, ["target", "slice"])
-        .withColumn("end", F.col("before") + F.sum("n").over(inside))
+        sliced.join(hit, ["name", "zone", "slice"])
+        .withColumn("end", F.col("before") + F.sum("n").over(run))
         .withColumn("start", F.col("end") - F.col("n"))
     )
 
-    def value_at(name: str, rank: Column) -> Column:
-        return F.max(
-            F.when((F.col("target") == name) & (F.col("start") <= rank) & (rank < F.col("end")), F.col("v"))
-        )
+    def value_at(v: str, rank: int) -> Column:
+        return F.max(F.when((F.col("name") == v) & (F.col("start") <= rank) & (F.col("end") > rank), F.col("v")))
 
-    picked = ranked.agg(
-        *[value_at(name, F.floor("at")).alias(f"a_{name}") for name in fractions],
-        *[value_at(name, F.ceil("at")).alias(f"b_{name}") for name in fractions],
-    )
+    at_rank = ranked.agg(*[value_at(v, rank).alias(f"{v}_{rank}") for v in present for rank in ranks_of(v)])
     result = []
-    for name, p in fractions.items():
-        if not bounds[f"n_{name}"]:
-            result.append(F.lit(None).cast("double").alias(name))
-            continue
-        a, b = F.col(f"a_{name}"), F.col(f"b_{name}")
-        part = p * (bounds[f"n_{name}"] - 1) % 1.0
-        lost = a.isNull() | b.isNull() | (a == float("-inf"))
-        result.append(
-            F.when(lost, F.raise_error(F.lit(f"the rank of {name} is outside its bracket")).cast("double"))
-            .otherwise(a + (b - a) * part)
-            .alias(name)
-        )
-    return picked.select(*result)
+    for v, targets in wanted.items():
+        for name, p in targets:
+            if v not in present:
+                result.append(F.lit(None).cast("double").alias(name))
+                continue
+            exact = p * (counts[v] - 1)
+            low, high = F.col(f"{v}_{math.floor(exact)}"), F.col(f"{v}_{math.ceil(exact)}")
+            lost = F.raise_error(F.lit(f"the rank of {name} is outside its bracket")).cast("double")
+            result.append(
+                F.when(low.isNull() | high.isNull(), lost)
+                .otherwise(low + (high - low) * (exact - math.floor(exact)))
+                .alias(name)
+            )
+    return at_rank.select(*result)
 
 
 def percentile_of(df: DataFrame, column: Column | str, percentile: float = 50.0, name: str = "value") -> DataFrame:
@@ -129,7 +152,7 @@ def percentile_of(df: DataFrame, column: Column | str, percentile: float = 50.0,
     return exact_percentiles(df, {name: (column, percentile / 100)})
 
 
-def percent_ranks(df: DataFrame, column: str, name: str, pieces: int = 256) -> DataFrame:
+def percent_ranks(df: DataFrame, column: str, name: str, pieces: int = 64) -> DataFrame:
     """``df`` with the percent rank (0..1) of a column, ties sharing the lowest rank; null stays null.
 
     Distinct values are counted, cut into pieces at sketched split points, and ordered piece by piece. Only the

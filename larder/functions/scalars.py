@@ -26,7 +26,7 @@ def number(c: Column | str) -> Column:
 
 def event_time(c: Column | str) -> Column:
     """Epoch seconds to timestamp, null where the value is no usable epoch."""
-    seconds = number(c).try_cast("bigint")
+    seconds = F.coalesce(col(c).try_cast("bigint"), col(c).try_cast("double").try_cast("bigint"))
     return F.when(seconds.between(-MAX_EPOCH, MAX_EPOCH), F.timestamp_seconds(seconds))
 
 

@@ -196,17 +196,37 @@ def co_purchased_items(
     )
 
 
-def restaurant_performance(lines: DataFrame) -> DataFrame:
-    """Per place: orders, quantity, price sum, distinct items, commonest hour of a line, and ratios; busiest first."""
-    return (
-        lines.where("place_id IS NOT NULL")
+def restaurant_performance(order_items: DataFrame, orders: DataFrame) -> DataFrame:
+    """Per place: orders, quantity, price sum, distinct items, commonest hour of a line, and ratios; busiest first.
+
+    Each figure is summed at its own grain (order, hour, item) and meets the others as one row per place.
+    """
+    facts = order_facts(order_items, orders).where("place_id IS NOT NULL")
+    totals = facts.groupBy("place_id").agg(
+        F.countDistinct("order_id").alias("total_orders"),
+        F.sum("quantity").alias("total_quantity"),
+        F.sum("price_sum").alias("total_revenue"),
+    )
+    hours = facts.where("hour IS NOT NULL").groupBy("place_id", "hour").agg(F.sum("lines").alias("lines"))
+    peak = hours.groupBy("place_id").agg(
+        F.max_by("hour", F.struct(F.col("lines"), -F.col("hour"))).alias("peak_hour")
+    )
+    sold = order_items.where("item_id IS NOT NULL").select("order_id", "item_id")
+    variety = (
+        sold.join(orders.where("place_id IS NOT NULL").select(F.col("id").alias("order_id"), "place_id"), "order_id")
         .groupBy("place_id")
-        .agg(
-            F.countDistinct("order_id").alias("total_orders"),
-            F.coalesce(F.sum("quantity"), F.lit(0.0)).alias("total_quantity"),
-            F.coalesce(F.sum("price"), F.lit(0.0)).alias("total_revenue"),
-            F.countDistinct("item_id").alias("unique_items_sold"),
-            F.mode("hour", True).alias("peak_hour"),
+        .agg(F.countDistinct("item_id").alias("unique_items_sold"))
+    )
+    return (
+        totals.join(variety, "place_id", "left")
+        .join(peak, "place_id", "left")
+        .select(
+            "place_id",
+            "total_orders",
+            "total_quantity",
+            "total_revenue",
+            F.coalesce("unique_items_sold", F.lit(0)).alias("unique_items_sold"),
+            "peak_hour",
         )
         .withColumns(
             {

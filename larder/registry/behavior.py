@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from larder.functions.scalars import flatten_record
-from larder.operators import behavior, dashboard, forecast, inventory
+from larder.operators import behavior, dashboard, inventory
 from larder.plans import stock
 from larder.registry.base import query, r, rounded
 
@@ -117,7 +117,7 @@ def cb8(t):
         FROM h JOIN m ON h.place_id = m.place_id AND rn = 1 GROUP BY h.place_id""",
 )
 def cb9(t):
-    return rounded(behavior.restaurant_performance(forecast.order_lines(t.order_items, t.orders)), total_revenue=2)
+    return rounded(behavior.restaurant_performance(t.order_items, t.orders), total_revenue=2)
 
 
 @query(

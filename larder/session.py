@@ -17,6 +17,10 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Broadcasts planned from file sizes stay well below those planned from sizes measured while running: files are
+    # compressed, measured sizes are not guesses.
+    "spark.sql.autoBroadcastJoinThreshold": "4MB",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "16MB",
     # A hot join key is split even where that costs one more shuffle afterwards.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # Sessions of one hot user are merged on the map side first.
