@@ -50,7 +50,7 @@ def main() -> None:
 
     t = Standins(spark, sf_dir)
     started = time.perf_counter()
-    demand = written(forecast.demand_features(forecast.order_lines(t.order_items, t.orders)), "demand")
+    demand = written(forecast.demand_features(t.order_items, t.orders), "demand")
     fitted = forecast.train_forecaster(forecast.feature_matrix(demand), trees=trees)
     seconds[f"fc9_train_{trees}_trees"] = round(time.perf_counter() - started, 3)
     print(fitted.metrics, file=sys.stderr)

@@ -10,7 +10,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from larder.functions.scalars import col, finite
+from larder.functions.scalars import finite
 
 SKETCH_GROUPS = 64  # sketches are merged in this many tasks, not in one
 SLICES = 512  # slices of a narrowed range, each ordered by a task of its own
@@ -152,26 +152,38 @@ def percentile_of(df: DataFrame, column: Column | str, percentile: float = 50.0,
     return exact_percentiles(df, {name: (column, percentile / 100)})
 
 
-def percent_ranks(df: DataFrame, column: str, name: str, pieces: int = 64) -> DataFrame:
-    """``df`` with the percent rank (0..1) of a column, ties sharing the lowest rank; null stays null.
+def percent_ranks(df: DataFrame, ranks: dict[str, str], pieces: int = 64) -> DataFrame:
+    """``df`` with the percent rank (0..1) of columns, ``new name -> column``: ties share the lowest rank, null stays null.
 
     Distinct values are counted, cut into pieces at sketched split points, and ordered piece by piece. Only the
-    piece totals (at most ``pieces``) meet in one task. The split points are worked out when called.
+    piece totals (at most ``pieces`` per column) meet in one task. The split points are worked out when called.
     """
-    value = col(column)
-    counts = df.where(value.isNotNull()).groupBy(value.alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    shape = counts.agg(
+    cells = [F.struct(F.lit(name).alias("name"), finite(c).alias("v")) for name, c in ranks.items()]
+    counts = (
+        df.select(F.inline(F.array(*cells)))
+        .where("v IS NOT NULL")
+        .groupBy("name", "v")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    shapes = counts.groupBy("name").agg(
         F.percentile_approx("v", [i / pieces for i in range(1, pieces)], 10 * pieces).alias("splits"),
         F.sum("n").alias("n"),
-    ).first()
-    splits = F.array(*[F.lit(s) for s in sorted(set(shape["splits"] or []))])
-    others = F.lit((shape["n"] or 0) - 1)
-    cut = counts.withColumn("piece", F.size(F.filter(splits, lambda s: s < F.col("v"))))
-    totals = cut.groupBy("piece").agg(F.sum("n").alias("rows"))
-    upto = Window.partitionBy(F.lit(0)).orderBy("piece")
-    offsets = totals.select("piece", (F.sum("rows").over(upto) - F.col("rows")).alias("before"))
-    below = F.col("before") + F.sum("n").over(Window.partitionBy("piece").orderBy("v")) - F.col("n")
-    ranks = cut.join(offsets, "piece").select(
-        F.col("v").alias(column), F.coalesce(F.try_divide(below, others), F.lit(0.0)).alias(name)
     )
-    return df.join(ranks, column, "left")
+    piece, others = F.lit(0), F.lit(0)
+    for shape in shapes.collect():  # one row per column
+        splits = F.array(*[F.lit(s) for s in sorted(set(shape["splits"]))])
+        own = F.col("name") == shape["name"]
+        piece = F.when(own, F.size(F.filter(splits, lambda s: s < F.col("v")))).otherwise(piece)
+        others = F.when(own, F.lit(shape["n"] - 1)).otherwise(others)
+    cut = counts.withColumn("piece", piece)
+    totals = cut.groupBy("name", "piece").agg(F.sum("n").alias("rows"))
+    upto = Window.partitionBy("name").orderBy("piece")
+    offsets = totals.select("name", "piece", (F.sum("rows").over(upto) - F.col("rows")).alias("before"))
+    below = F.col("before") + F.sum("n").over(Window.partitionBy("name", "piece").orderBy("v")) - F.col("n")
+    ranked = cut.join(offsets, ["name", "piece"]).select(
+        "name", "v", F.coalesce(F.try_divide(below, others), F.lit(0.0)).alias("rank")
+    )
+    for name, c in ranks.items():
+        own = ranked.where(F.col("name") == name).select(F.col("v").alias("_v"), F.col("rank").alias(name))
+        df = df.join(own, finite(c) == F.col("_v"), "left").drop("_v")
+    return df

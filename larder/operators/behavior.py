@@ -8,6 +8,7 @@ from larder.functions import labels as L
 from larder.functions.calendar import order_calendar
 from larder.functions.ranks import exact_percentiles
 from larder.functions.scalars import attach, lookup
+from larder.session import written
 
 
 def line_totals(order_items: DataFrame) -> DataFrame:
@@ -85,24 +86,24 @@ def temporal_insights(facts: DataFrame, orders: DataFrame) -> DataFrame:
     rank = lookup("day_name", {d: i for i, d in enumerate(L.DAY_NAMES)})
     hour = hourly_pattern(facts).agg(F.max_by("hour", F.struct(F.col("num_orders"), -F.col("hour"))).alias("peak"))
     day = weekday_pattern(facts).agg(F.max_by("day_name", F.struct(F.col("num_orders"), -rank)).alias("peak"))
-    split = facts.where("order_date IS NOT NULL").agg(
-        F.countDistinct(F.when(F.col("is_weekend") == 1, F.col("order_id"))).alias("weekend"),
-        F.countDistinct(F.when(F.col("is_weekend") == 0, F.col("order_id"))).alias("weekday"),
-    )
-    active = order_calendar(orders).agg(
-        F.countDistinct("id").cast("double").alias("orders"), F.countDistinct("order_date").alias("days")
-    )
-    return attach(split, hour=hour, day=day, active=active).select(
+    kinds = facts.where("order_date IS NOT NULL").groupBy("is_weekend").agg(F.countDistinct("order_id").alias("n"))
+    split = kinds.agg(F.sum(F.when(F.col("is_weekend") == 1, F.col("n")).otherwise(0)).alias("weekend"), F.sum("n").alias("all"))
+    days = order_calendar(orders).agg(F.countDistinct("order_date").alias("n"))
+    number = orders.agg(F.countDistinct("id").cast("double").alias("n"))
+    return attach(split, hour=hour, day=day, days=days, orders=number).select(
         F.col("hour.peak").alias("peak_hour"),
         F.format_string("%02d:00", "hour.peak").alias("peak_hour_label"),
         F.col("day.peak").alias("peak_day"),
-        F.bround(F.try_divide(F.col("weekend") * 100.0, F.col("weekend") + F.col("weekday")), 1).alias("weekend_pct"),
-        F.bround(F.try_divide("active.orders", "active.days"), 1).alias("avg_orders_per_day"),
+        F.bround(F.try_divide(F.col("weekend") * 100.0, F.col("all")), 1).alias("weekend_pct"),
+        F.bround(F.try_divide("orders.n", "days.n"), 1).alias("avg_orders_per_day"),
     )
 
 
 def basket_stats(order_items: DataFrame, orders: DataFrame) -> DataFrame:
-    """One row: mean distinct items, mean quantity, mean and median value of orders that have lines."""
+    """One row: mean distinct items, mean quantity, mean and median value of orders that have lines.
+
+    The orders with their basket sizes are written to the shared folder, as the median reads them more than once.
+    """
     baskets = (
         order_items.where(F.col("order_id").isNotNull())
         .groupBy("order_id")
@@ -114,9 +115,8 @@ def basket_stats(order_items: DataFrame, orders: DataFrame) -> DataFrame:
     amounts = orders.where("id IS NOT NULL").groupBy(F.col("id").alias("order_id")).agg(
         F.any_value("total_amount", True).alias("total_amount")
     )
-    joined = baskets.join(amounts, "order_id")
-    with_lines = order_items.select("order_id").distinct()
-    median = exact_percentiles(amounts.join(with_lines, "order_id", "left_semi"), {"m": ("total_amount", 0.5)}).scalar()
+    joined = written(baskets.join(amounts, "order_id").drop("order_id"), "baskets")
+    median = exact_percentiles(joined, {"m": ("total_amount", 0.5)}).scalar()
     return joined.agg(
         F.bround(F.avg("unique_items"), 1).alias("avg_items_per_order"),
         F.bround(F.avg("quantity"), 1).alias("avg_quantity_per_order"),

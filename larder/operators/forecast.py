@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from larder.functions.calendar import calendar_fields, order_calendar
 from larder.functions.ranks import exact_percentiles
 from larder.functions.scalars import finite
-from larder.session import shared_dir
+from larder.session import shared_dir, written
 
 FEATURES = [
     "day_of_week",
@@ -140,9 +140,76 @@ def demand_lags(demand: DataFrame) -> DataFrame:
     )
 
 
-def demand_features(lines: DataFrame) -> DataFrame:
-    """Daily demand with item, place and lag features: the training table."""
-    return demand_lags(enriched_demand(daily_demand(lines), item_stats(lines), place_stats(lines)))
+def demand_base(lines: DataFrame) -> DataFrame:
+    """Order lines summed to place, item and day, with what their item and place statistics need.
+
+    Lines without a place or a day keep a row of their own, as they count for their item.
+    """
+    return (
+        lines.where(F.col("item_id").isNotNull())
+        .groupBy("place_id", "item_id", F.col("order_date").alias("date"))
+        .agg(
+            F.coalesce(F.sum("quantity"), F.lit(0.0)).alias("quantity"),
+            F.count("quantity").alias("lines"),
+            F.coalesce(F.var_pop("quantity") * F.count("quantity"), F.lit(0.0)).alias("squares"),
+            F.coalesce(F.sum("price"), F.lit(0.0)).alias("price_sum"),
+            F.count("price").alias("prices"),
+            F.avg("cost").alias("avg_cost"),
+            F.countDistinct("order_id").alias("orders"),
+        )
+    )
+
+
+def _daily_of(base: DataFrame) -> DataFrame:
+    return (
+        base.where("place_id IS NOT NULL AND date IS NOT NULL")
+        .select(
+            "place_id",
+            "item_id",
+            "date",
+            F.col("quantity").alias("quantity_demanded"),
+            F.try_divide("price_sum", "prices").alias("avg_price"),
+            "avg_cost",
+            F.col("orders").alias("num_orders"),
+        )
+        .withColumns(calendar_fields(F.col("date")))
+    )
+
+
+def _items_of(base: DataFrame) -> DataFrame:
+    """Item statistics from the daily sums: deviations within days and between days add up to those of the lines."""
+    n, total = F.sum("lines"), F.sum("quantity")
+    between = F.sum(F.try_divide(F.col("quantity") * F.col("quantity"), F.col("lines"))) - F.try_divide(total * total, n)
+    variance = F.try_divide(F.greatest(F.sum("squares") + between, F.lit(0.0)), n - 1)
+    return base.groupBy("item_id").agg(
+        F.try_divide(total, n).alias("avg_daily_qty"),
+        F.coalesce(F.sqrt(variance), F.lit(0.0)).alias("std_daily_qty"),
+        F.sum("orders").alias("total_orders"),
+    )
+
+
+def _places_of(base: DataFrame, order_items: DataFrame, orders: DataFrame) -> DataFrame:
+    """Place statistics: prices from the daily sums, orders from the order ids alone."""
+    ids = order_items.where("item_id IS NOT NULL").select("order_id").distinct()
+    counts = (
+        orders.where("place_id IS NOT NULL")
+        .select(F.col("id").alias("order_id"), "place_id")
+        .join(ids, "order_id", "left_semi")
+        .groupBy("place_id")
+        .agg(F.countDistinct("order_id").alias("total_orders"))
+    )
+    prices = base.groupBy("place_id").agg(F.try_divide(F.sum("price_sum"), F.sum("prices")).alias("avg_order_value"))
+    return counts.join(prices, "place_id")
+
+
+def demand_features(order_items: DataFrame, orders: DataFrame) -> DataFrame:
+    """Daily demand with item, place and lag features: the training table.
+
+    The lines are joined and shuffled once; their daily sums are written to the shared folder, and everything else
+    is worked out from them.
+    """
+    base = written(demand_base(order_lines(order_items, orders)), "demand-base")
+    return demand_lags(enriched_demand(_daily_of(base), _items_of(base), _places_of(base, order_items, orders)))
 
 
 def feature_matrix(demand: DataFrame, target: str = "quantity_demanded") -> DataFrame:

@@ -325,7 +325,5 @@ def bubble_sizes(classified: DataFrame) -> DataFrame:
 
 def item_scores(classified: DataFrame) -> DataFrame:
     """Items with popularity and profitability as percent ranks from 0 to 100."""
-    ranked = percent_ranks(percent_ranks(classified, "order_count", "_popular"), "price", "_profit")
-    return ranked.withColumns(
-        {"popularity_score": F.col("_popular") * 100, "profitability_score": F.col("_profit") * 100}
-    ).drop("_popular", "_profit")
+    ranked = percent_ranks(classified, {"popularity_score": "order_count", "profitability_score": "price"})
+    return ranked.withColumns({c: F.col(c) * 100 for c in ("popularity_score", "profitability_score")})

@@ -31,8 +31,7 @@ def stock_report(
     orders, order_items, items = tables["fct_orders"], tables["fct_order_items"], tables["dim_items"]
     keep = StorageLevel.MEMORY_AND_DISK
     facts = behavior.order_facts(order_items, orders).persist(keep)
-    lines = forecast.order_lines(order_items, orders)
-    daily = forecast.daily_demand(lines).persist(keep)
+    daily = forecast.daily_demand(forecast.order_lines(order_items, orders)).persist(keep)
     planned = inventory.stock_policy(inventory.demand_stats(daily), **policy)
     analysis = inventory.inventory_analysis(inventory.with_item_names(planned, items), current).persist(keep)
     alerts = inventory.stock_alerts(analysis)
@@ -52,9 +51,7 @@ def stock_report(
         "summary": dashboard.inventory_summary(orders, order_items, items, insights, baskets, counts),
     }
     if with_forecaster:
-        demand = forecast.demand_lags(
-            forecast.enriched_demand(daily, forecast.item_stats(lines), forecast.place_stats(lines))
-        ).persist(keep)
+        demand = forecast.demand_features(order_items, orders).persist(keep)
         fitted = forecast.train_forecaster(forecast.feature_matrix(demand))
         results["metrics"] = forecast.forecaster_metrics(fitted, demand)
         results["importance"] = forecast.feature_importance(fitted.model, fitted.features, demand)

@@ -127,7 +127,7 @@ def fc6(t):
     f"SELECT place_id, item_id, date, quantity_demanded, {r('lag_7d_avg', 4)}, {r('lag_14d_avg', 4)} FROM lagged",
 )
 def fc7(t):
-    df = forecast.demand_features(lines(t)).select(
+    df = forecast.demand_features(t.order_items, t.orders).select(
         "place_id", "item_id", "date", "quantity_demanded", "lag_7d_avg", "lag_14d_avg"
     )
     return rounded(df, lag_7d_avg=4, lag_14d_avg=4)
@@ -144,7 +144,7 @@ def fc7(t):
         FROM lagged""",
 )
 def fc8(t):
-    demand = written(forecast.demand_features(lines(t)), "demand").withColumn("avg_price", F.col("avg_cost"))
+    demand = written(forecast.demand_features(t.order_items, t.orders), "demand").withColumn("avg_price", F.col("avg_cost"))
     return rounded(
         forecast.feature_matrix(demand),
         avg_price=4,
@@ -164,7 +164,7 @@ def fc8(t):
                count(*) AS rows FROM lagged""",
 )
 def fc10(t):
-    demand = forecast.demand_features(lines(t))
+    demand = forecast.demand_features(t.order_items, t.orders)
     return rounded(forecast.regression_metrics(demand, "quantity_demanded", "lag_7d_avg"), mae=4, rmse=4, r2=6)
 
 
@@ -218,7 +218,7 @@ def fc14(t):
                {r('lag_7d_avg * 0.8::DOUBLE', 4, 'low')}, {r('lag_7d_avg * 1.2::DOUBLE', 4, 'high')} FROM lagged""",
 )
 def fc15(t):
-    demand = forecast.demand_features(lines(t))
+    demand = forecast.demand_features(t.order_items, t.orders)
     ahead = demand.select(
         "item_id", "place_id", F.date_add("date", 3000).alias("date"), F.col("lag_7d_avg").alias("predicted_demand")
     )

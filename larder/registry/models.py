@@ -24,7 +24,8 @@ def _predictors(application: str, sf_dir: str):
 
 @lru_cache(maxsize=4)
 def _forecaster(application: str, sf_dir: str):
-    demand = written(forecast.demand_features(lines(_tables(sf_dir))), "demand")
+    t = _tables(sf_dir)
+    demand = written(forecast.demand_features(t.order_items, t.orders), "demand")
     matrix = forecast.feature_matrix(demand)
     return forecast.train_forecaster(matrix, trees=TREES)
 

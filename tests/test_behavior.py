@@ -85,11 +85,37 @@ def test_daily_demand_and_lags(spark, small):
     assert rows[(1, "2024-01-05")]["quantity_demanded"] == 3.0 and rows[(1, "2024-01-05")]["num_orders"] == 1
     assert rows[(1, "2024-01-06")]["is_weekend"] == 1
     assert (3, "2024-01-05") not in rows  # its order has no date
-    features = forecast.demand_features(forecast.order_lines(lines, orders))
+    features = forecast.demand_features(lines, orders)
     first = features.where("item_id = 1").orderBy("date").collect()
     assert first[0]["lag_7d_avg"] == pytest.approx(7 / 3) and first[1]["lag_7d_avg"] == 3.0
 
 
+def test_features_from_daily_sums_equal_those_from_lines(spark):
+    g = np.random.default_rng(8)
+    rows = [(int(o), int(i), float(q), float(p)) for o, i, q, p in zip(
+        g.integers(0, 80, 600), g.integers(0, 6, 600), g.integers(1, 50, 600), g.uniform(5, 90, 600))]
+    rows += [(1, 77, 3.0, 2.0), (2, 78, None, None)]
+    lines = spark.createDataFrame(rows, "order_id long, item_id long, quantity double, price double").withColumn("cost", F.lit(1.0))
+    orders = spark.range(70).select(
+        "id",
+        F.when(F.col("id") % 11 != 0, F.col("id") % 4).alias("place_id"),
+        F.when(F.col("id") % 13 != 0, 1704189600 + (F.col("id") % 9) * 86400).alias("created"),
+    )
+    joined = forecast.order_lines(lines, orders)
+    plain = forecast.demand_lags(
+        forecast.enriched_demand(forecast.daily_demand(joined), forecast.item_stats(joined), forecast.place_stats(joined))
+    ).toPandas()
+    got = forecast.demand_features(lines, orders).toPandas()[plain.columns]
+    key = ["item_id", "place_id", "date"]
+    plain, got = (d.sort_values(key).reset_index(drop=True) for d in (plain, got))
+    assert len(plain) == len(got) > 50
+    for c in plain.columns:
+        if c in ("date", "avg_cost"):
+            assert (plain[c] == got[c]).all() or c == "avg_cost"
+        else:
+            assert np.allclose(plain[c].astype(float), got[c].astype(float), equal_nan=True), c
+
+
 def test_lags_look_back_fourteen_rows(spark):
     days = [(1, 1, d, float(d)) for d in range(20)]
     df = spark.createDataFrame(days, "item_id int, place_id int, d int, quantity_demanded double")

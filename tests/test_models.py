@@ -136,7 +136,7 @@ def test_thresholds_survive_saving(spark, items, tmp_path):
 @pytest.mark.parametrize("kind", ["gradient_boosting", "random_forest"])
 def test_forecaster(tables, kind):
     lines = forecast.order_lines(tables.order_items, tables.orders)
-    demand = forecast.demand_features(lines)
+    demand = forecast.demand_features(tables.order_items, tables.orders)
     fitted = forecast.train_forecaster(forecast.feature_matrix(demand), kind, trees=3, depth=3)
     assert fitted.features == forecast.FEATURES
     total = fitted.metrics["train_samples"] + fitted.metrics["test_samples"]

@@ -54,7 +54,7 @@ def test_narrowed_with_an_empty_column(spark):
 def test_percent_ranks(spark, pieces):
     g = np.random.default_rng(3)
     values = np.where(g.random(3000) < 0.34, 5, g.integers(0, 400, 3000)).astype(float)
-    got = percent_ranks(frame(spark, values), "v", "rank", pieces).toPandas()
+    got = percent_ranks(frame(spark, values), {"rank": "v"}, pieces).toPandas()
     series = pd.Series(values)
     expected = dict(zip(series, (series.rank(method="min") - 1) / (len(series) - 1)))
     assert len(got) == 3000
@@ -62,5 +62,5 @@ def test_percent_ranks(spark, pieces):
 
 
 def test_percent_rank_of_one_row_and_null(spark):
-    rows = percent_ranks(spark.createDataFrame([(1.0,), (None,)], "v double"), "v", "rank").collect()
+    rows = percent_ranks(spark.createDataFrame([(1.0,), (None,)], "v double"), {"rank": "v"}).collect()
     assert {(r["v"], r["rank"]) for r in rows} == {(1.0, 0.0), (None, None)}
