@@ -1,4 +1,14 @@
 """One entry per operator: the Spark query over the test tables and, where SQL can express it, its check in SQL."""
 
-from larder.registry import behavior, edges, forecast, inventory, menu, models, profiles, streams  # noqa: F401
+from larder.registry import (  # noqa: F401
+    behavior,
+    edges,
+    forecast,
+    inventory,
+    menu,
+    models,
+    profiles,
+    roundtrips,
+    streams,
+)
 from larder.registry.base import ENTRIES  # noqa: F401
