@@ -118,7 +118,7 @@ USABLE = f"""
     usable AS (SELECT id, price, rating, votes::DOUBLE AS votes, purchases::DOUBLE AS purchases, index::DOUBLE AS index
                FROM dim_menu_items WHERE purchases > 0 AND price > 0 AND price < 10000),
     edges AS (SELECT list_sort(list_distinct([{EDGE_LIST}])) AS e FROM usable)"""
-BUCKET = "CAST(greatest(len(list_filter(e, x -> x < least(greatest(price, 1), 1000))) - 1, 0) AS INTEGER)"
+BUCKET = "CAST(greatest(len([x FOR x IN e IF x < least(greatest(price, 1), 1000)]) - 1, 0) AS INTEGER)"
 
 
 @query(

@@ -31,10 +31,14 @@ def test_no_cross_join_and_no_python_in_plans(spark, name):
 
 @pytest.fixture
 def no_broadcast(spark):
-    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    """Joins as they are between two large tables."""
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    old = {n: spark.conf.get(n) for n in names}
+    for n in names:
+        spark.conf.set(n, "-1")
     yield
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    for n in names:
+        spark.conf.set(n, old[n])
 
 
 def big_tables(spark):
