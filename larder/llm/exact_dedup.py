@@ -15,8 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -136,29 +135,25 @@ class CuckooIndex:
         if doc_id is not None and (self.ids[place] is None or doc_id > self.ids[place]):
             self.ids[place] = doc_id
 
-    def entries(self) -> pd.DataFrame:
+    def entries(self) -> pa.RecordBatch:
         live = [p for p, d in enumerate(self.digests) if d is not None]
-        return pd.DataFrame(
-            {
-                "digest": [self.digests[p] for p in live],
-                "keep_id": pd.array([self.ids[p] for p in live], dtype="Int64"),
-                "group_size": np.array([self.counts[p] for p in live], dtype="int64"),
-            }
-        )
+        columns = ((self.digests, pa.binary()), (self.ids, pa.int64()), (self.counts, pa.int64()))
+        return pa.RecordBatch.from_arrays([pa.array([c[p] for p in live], k) for c, k in columns], names=_NAMES)
 
 
+_NAMES = ["digest", "keep_id", "group_size"]
 _ENTRY = "digest binary, keep_id long, group_size long"
 
 
-def _ids(values: pd.Series) -> list:
-    return [None if pd.isna(v) else int(v) for v in values]
+def _rows(batch: pa.RecordBatch | pa.Table, *names: str) -> Iterator[tuple]:
+    return zip(*(batch.column(n).to_pylist() for n in names))
 
 
 def _fold_tasks(limit: int):
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = CuckooIndex()
         for batch in batches:
-            for digest, doc_id in zip(batch["digest"], _ids(batch["doc_id"])):
+            for digest, doc_id in _rows(batch, "digest", "doc_id"):
                 index.fold(digest, doc_id, 1)
                 if len(index) >= limit:
                     yield index.entries()
@@ -168,20 +163,17 @@ def _fold_tasks(limit: int):
     return fold
 
 
-def _fold_buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _fold_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by bucket: one bucket's index is held at a time."""
     index, current = CuckooIndex(), None
     for batch in batches:
-        for bucket, digest, doc_id, count in zip(
-            batch["bucket"], batch["digest"], _ids(batch["keep_id"]), batch["group_size"]
-        ):
+        for bucket, digest, doc_id, count in _rows(batch, "bucket", *_NAMES):
             if bucket != current:
                 if len(index):
                     yield index.entries()
                 index, current = CuckooIndex(), bucket
-            index.fold(digest, doc_id, int(count))
-    if len(index):
-        yield index.entries()
+            index.fold(digest, doc_id, count)
+    yield index.entries()
 
 
 def _bucket(buckets: int):
@@ -193,13 +185,13 @@ def digest_groups(digests: DataFrame, digests_per_bucket: int = 50_000) -> DataF
 
     keep_id is the largest id of the group (null if no row has one). Runs one job that writes the per-task folds.
     """
-    partial = written(digests.select("digest", "doc_id").mapInPandas(_fold_tasks(digests_per_bucket), _ENTRY), "folds")
+    partial = written(digests.select("digest", "doc_id").mapInArrow(_fold_tasks(digests_per_bucket), _ENTRY), "folds")
     buckets = 1 + partial.count() // digests_per_bucket
     return (
         partial.withColumn("bucket", _bucket(buckets))
         .repartition("bucket")
         .sortWithinPartitions("bucket")
-        .mapInPandas(_fold_buckets, _ENTRY)
+        .mapInArrow(_fold_buckets, _ENTRY)
     )
 
 
@@ -211,11 +203,11 @@ def change_index(index: DataFrame, changes: DataFrame, buckets: int) -> DataFram
     keep_id turns null and the caller folds that group again. Removals of digests that are not live change nothing.
     """
 
-    def apply(_, old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
+    def apply(old: pa.Table, new: pa.Table) -> pa.Table:
         live = CuckooIndex()
-        for digest, keep, count in zip(old["digest"], _ids(old["keep_id"]), old["group_size"]):
-            live.insert(digest, keep, int(count))
-        for digest, doc_id, added in zip(new["digest"], _ids(new["doc_id"]), new["added"]):
+        for digest, keep, count in _rows(old, *_NAMES):
+            live.insert(digest, keep, count)
+        for digest, doc_id, added in _rows(new, "digest", "doc_id", "added"):
             if added:
                 live.fold(digest, doc_id, 1)
                 continue
@@ -227,14 +219,14 @@ def change_index(index: DataFrame, changes: DataFrame, buckets: int) -> DataFram
                 live.delete(digest)
             elif live.ids[place] == doc_id:
                 live.ids[place] = None
-        return live.entries()
+        return pa.Table.from_batches([live.entries()])
 
     with_bucket = lambda df: df.withColumn("bucket", _bucket(buckets))
     return (
         with_bucket(index.select("digest", "keep_id", "group_size"))
         .groupBy("bucket")
         .cogroup(with_bucket(changes.select("digest", "doc_id", "added")).groupBy("bucket"))
-        .applyInPandas(apply, _ENTRY)
+        .applyInArrow(apply, _ENTRY)
     )
 
 
