@@ -1,5 +1,5 @@
 """The corpus queries: one per operator of ``larder.llm``."""
 
-from larder.llm import bpe, chat, decontamination, exact_dedup, language, near_dedup, sharding  # noqa: F401
+from larder.llm import bpe, chat, decontamination, exact_dedup, language, near_dedup, quality, sharding  # noqa: F401
 from larder.llm.registered import ORACLE_SQL as ORACLES  # noqa: F401
 from larder.llm.registered import QUERIES  # noqa: F401
