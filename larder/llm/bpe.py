@@ -309,19 +309,31 @@ def _mapped(docs: DataFrame, column: str, added: str, kind: T.DataType, work) ->
     return kept.mapInArrow(run, schema)
 
 
-def encode(docs: DataFrame, ranks_path: str, text_col: str = "text", ids_col: str = "ids", pattern: str = _PLAIN) -> DataFrame:
+def encode(
+    docs: DataFrame,
+    ranks_path: str,
+    text_col: str = "text",
+    ids_col: str = "ids",
+    pattern: str = _PLAIN,
+    verify: bool = False,
+) -> DataFrame:
     """``docs`` with ``ids_col``: the text's token ids as little-endian unsigned 32-bit integers (binary).
 
     No special tokens. A null or empty text has no ids (an empty value). Every row is encoded whole and for itself, so
     repeated rows and ids do not matter; other columns pass through, but one named ``ids_col`` is replaced. The rank
-    file must be at ``ranks_path`` on every machine.
+    file must be at ``ranks_path`` on every machine. With ``verify`` the ids are decoded again in the same task, and a text
+    that does not come back byte for byte is an error.
     """
     needs(docs, text_col)
 
     def work(values: pa.Array) -> list[bytes]:
-        tool, texts = tokenizer(ranks_path, pattern), _texts(values)
-        groups = _grouped([len(t) for t in texts])
-        return [ids.astype("<u4").tobytes() for a, b in groups for ids in tool.encode(texts[a:b])]
+        tool, texts, made = tokenizer(ranks_path, pattern), _texts(values), []
+        for a, b in _grouped([len(t) for t in texts]):
+            tokens = tool.encode(texts[a:b])
+            if verify and tool.decode(tokens) != texts[a:b]:
+                raise ValueError("a text does not survive encoding and decoding")
+            made += [ids.astype("<u4").tobytes() for ids in tokens]
+        return made
 
     return _mapped(docs, text_col, ids_col, T.BinaryType(), work)
 

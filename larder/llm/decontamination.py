@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from larder.llm.columns import load, needs
+from larder.llm.columns import load, needs, own_name
 from larder.llm.registered import query
 from larder.session import written
 
@@ -155,6 +155,19 @@ def decontaminate(
     )
 
 
+def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", **settings) -> DataFrame:
+    """The rows of ``docs`` whose text holds no window of any item; all columns unchanged.
+
+    Whether a text is contaminated depends on the text alone, so rows are told apart by a digest of it, not by their ids.
+    """
+    needs(docs, text_col)
+    key = own_name(docs, "key")
+    keyed = docs.withColumn(key, F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
+    found = decontaminate(keyed.select(key, text_col), items, id_col=key, text_col=text_col, **settings)
+    bad = written(found.where("contaminated").select(F.col(key).alias("bad")).distinct(), "contaminated")
+    return keyed.join(bad, F.col(key) == F.col("bad"), "left_anti").drop(key)
+
+
 OP2_SQL = r"""
 WITH dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 iw AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
