@@ -119,9 +119,12 @@ def fit(
         labelled.where(F.col(text_col).rlike(r"\p{L}") & F.col(lang_col).isNotNull())
         .select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"))
     )
-    # Only hash and language are ranked; a limit on row_number cuts every partition before its rows are dealt.
-    keys = rows.select("lang", "h")
-    chosen = keys.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("n") <= per_language)
+    # Only hash and language are ranked; a limit on row_number cuts every partition before its rows are dealt. A language
+    # is ranked in 64 parts first, so that what meets in one task does not grow with the number of partitions.
+    part, whole = Window.partitionBy("lang", "salt").orderBy("h"), Window.partitionBy("lang").orderBy("h")
+    chosen = rows.select("lang", "h", F.pmod("h", F.lit(64)).alias("salt"))
+    for window in (part, whole):
+        chosen = chosen.withColumn("n", F.row_number().over(window)).where(F.col("n") <= per_language)
     least = {r["lang"]: r["top"] for r in chosen.groupBy("lang").agg(F.max("h").alias("top")).collect()}
     if not least:
         raise ValueError("no labelled texts to learn from")

@@ -85,7 +85,7 @@ def judge_captures(
     """
     needs(captures, url_col, day_col)
     keep = [c for c in captures.columns if c.lower() not in ("rule", "allowed")]
-    site, when = own_name(captures, "site"), own_name(captures, "when")
+    site, when, at, on, rule, ok = (own_name(captures, label) for label in ("site", "when", "at", "on", "rule", "ok"))
     # All keys of a URL follow from host and path: one row per (host and path, day) is judged.
     place = F.concat(host_of(F.col(url_col)), path_of(F.col(url_col)))
     full = captures.select(
@@ -108,11 +108,13 @@ def judge_captures(
         asked.join(active, ["key", "seen"])
         .groupBy("site", "seen")
         .agg(F.min(F.struct("depth", "key", "verdict")).alias("first"))
-        .select("site", "seen", F.col("first.key").alias("rule"), (F.col("first.verdict") != "block").alias("ok")),
+        .select(
+            F.col("site").alias(at), F.col("seen").alias(on), F.col("first.key").alias(rule), (F.col("first.verdict") != "block").alias(ok)
+        ),
         "verdicts",
     )
-    return full.join(verdicts, (F.col(site) == F.col("site")) & (F.col(when) == F.col("seen")), "left").select(
-        *[f"`{c}`" for c in keep], "rule", F.coalesce("ok", F.lit(True)).alias("allowed")
+    return full.join(verdicts, (F.col(site) == F.col(at)) & (F.col(when) == F.col(on)), "left").select(
+        *[f"`{c}`" for c in keep], F.col(rule).alias("rule"), F.coalesce(ok, F.lit(True)).alias("allowed")
     )
 
 
