@@ -341,23 +341,28 @@ def feature_importance(model: PipelineModel, features: list[str], like: DataFram
 
 
 def forecast_requests(
-    items: DataFrame, places: DataFrame, as_of: dt.date, days: int = 7, top_items: int | None = 100, max_places: int = 50
+    pairs: DataFrame,
+    items: DataFrame,
+    as_of: dt.date,
+    days: int = 7,
+    top_items: int | None = None,
+    max_places: int | None = None,
 ) -> DataFrame:
-    """(item, place, date) for the top items by quantity, the first places and the days after ``as_of``.
+    """(item, place, date) for every (item_id, place_id) seen in ``pairs`` and the days after ``as_of``.
 
-    The places are at most ``max_places`` and become an array constant, so items are fanned out in place and
-    nothing is joined.
+    All pairs by default. ``top_items`` keeps the items of ``items`` with the largest quantity, ``max_places`` the first
+    places by id; both are optional limits of the caller.
     """
-    chosen = items.select("item_id", "total_qty")
-    if top_items:
-        chosen = chosen.orderBy(F.desc("total_qty"), "item_id").limit(top_items)
-    first = places.select("place_id").orderBy("place_id").limit(max_places)
-    place_list = first.agg(F.sort_array(F.collect_list("place_id"))).scalar()
+    chosen = pairs.select("item_id", "place_id").where("item_id IS NOT NULL AND place_id IS NOT NULL").distinct()
+    if top_items is not None:
+        top = items.orderBy(F.desc("total_qty"), "item_id").limit(top_items).select("item_id")
+        chosen = chosen.join(top, "item_id", "left_semi")
+    if max_places is not None:
+        first = chosen.select("place_id").distinct().orderBy("place_id").limit(max_places)
+        chosen = chosen.join(first, "place_id", "left_semi")
     first_day = F.lit(as_of + dt.timedelta(days=1)).cast("date")
     last_day = F.lit(as_of + dt.timedelta(days=days)).cast("date")
-    return chosen.select("item_id", F.explode(place_list).alias("place_id")).select(
-        "item_id", "place_id", F.explode(F.sequence(first_day, last_day)).alias("date")
-    )
+    return chosen.select("item_id", "place_id", F.explode(F.sequence(first_day, last_day)).alias("date"))
 
 
 def request_features(requests: DataFrame, items: DataFrame, places: DataFrame) -> DataFrame:
@@ -391,15 +396,17 @@ def predict_demand(fitted: FittedForecaster, requests: DataFrame, items: DataFra
 
 def forecast_all(
     fitted: FittedForecaster,
+    pairs: DataFrame,
     items: DataFrame,
     places: DataFrame,
     as_of: dt.date,
     days: int = 7,
-    top_items: int | None = 100,
-    max_places: int = 50,
+    top_items: int | None = None,
+    max_places: int | None = None,
 ) -> DataFrame:
-    """Predictions for the whole request grid in one job."""
-    return predict_demand(fitted, forecast_requests(items, places, as_of, days, top_items, max_places), items, places)
+    """Predictions for all requests in one job; every observed (item, place) pair unless the caller limits them."""
+    asked = forecast_requests(pairs, items, as_of, days, top_items, max_places)
+    return predict_demand(fitted, asked, items, places)
 
 
 def training_summary(demand: DataFrame) -> DataFrame:

@@ -183,11 +183,13 @@ def browse_items(
     limit: int = 100,
     place_items: DataFrame | None = None,
     place_id: int | None = None,
+    after: int | None = None,
 ) -> DataFrame:
-    """Items by category and minimum orders, at most 1000; with ``place_items`` only what a place sells."""
-    if limit > 1000:
-        raise ValueError("limit is at most 1000")
-    df = classified
+    """A page of ``limit`` items by category and minimum orders; with ``place_items`` only what a place sells.
+
+    ``after`` is the last item of the page before: the next page starts behind it, without counting rows again.
+    """
+    df = classified if after is None else classified.where(F.col("item_id") > after)
     if category:
         df = df.where(F.col("category") == L.CATEGORY_BY_NAME.get(category.lower(), category))
     if min_orders > 0:

@@ -75,8 +75,11 @@ def _counts_of(df: DataFrame, sections: dict[str, tuple[str, int | None]]) -> li
     return [value_counts(df, present)] if present else []
 
 
-def profile_orders(orders: DataFrame) -> DataFrame:
-    """Date range, months, order values, and the commonest types, payments, sources, statuses and places."""
+def profile_orders(orders: DataFrame, listed: int | None = 6, statuses: int | None = 8, places: int | None = 10) -> DataFrame:
+    """Date range, months, order values, and the commonest types, payments, sources, statuses and places.
+
+    ``listed`` (of types, payments and sources), ``statuses`` and ``places`` limit the lists; None lists all values.
+    """
     amount, at = number("total_amount"), event_time("created")
     span = orders.agg(
         F.count(F.lit(1)).alias("rows"),
@@ -99,11 +102,11 @@ def profile_orders(orders: DataFrame) -> DataFrame:
         .agg(F.min("count").alias("smallest_month"), F.max("count").alias("largest_month"))
     )
     sections = {
-        "type": ("type", 6),
-        "payment_method": ("payment_method", 6),
-        "source": ("source", 6),
-        "status": ("status", 8),
-        "place": ("place_id", 10),
+        "type": ("type", listed),
+        "payment_method": ("payment_method", listed),
+        "source": ("source", listed),
+        "status": ("status", statuses),
+        "place": ("place_id", places),
     }
     return _all([metric_rows(span), metric_rows(quantiles), metric_rows(months), *_counts_of(orders, sections)])
 
@@ -129,8 +132,11 @@ def profile_order_items(order_items: DataFrame) -> DataFrame:
     return _all([metric_rows(totals), metric_rows(exact_percentiles(order_items, {"price_median": (price, 0.5)}))])
 
 
-def profile_popularity(most_ordered: DataFrame) -> DataFrame:
-    """Orders per item name over all places: top 25 and bottom 10; the five places with most item orders."""
+def profile_popularity(most_ordered: DataFrame, top: int | None = 25, bottom: int | None = 10, places: int | None = 5) -> DataFrame:
+    """Orders per item name over all places, the most and the least ordered; the places with most item orders.
+
+    The limits are the caller's; None lists all.
+    """
 
     def per(column: str, section: str) -> DataFrame:
         return (
@@ -142,15 +148,17 @@ def profile_popularity(most_ordered: DataFrame) -> DataFrame:
 
     return _all(
         [
-            _top(per("item_name", "top_items"), {"top_items": 25}),
-            _top(per("item_name", "bottom_items"), {"bottom_items": 10}, ascending=True),
-            _top(per("place_id", "top_places"), {"top_places": 5}),
+            _top(per("item_name", "top_items"), {"top_items": top}),
+            _top(per("item_name", "bottom_items"), {"bottom_items": bottom}, ascending=True),
+            _top(per("place_id", "top_places"), {"top_places": places}),
         ]
     )
 
 
-def profile_items(items: DataFrame) -> DataFrame:
-    """Prices, statuses, types and VAT rates; the 15 dearest and the 10 cheapest active items."""
+def profile_items(
+    items: DataFrame, types: int | None = 6, dearest: int | None = 15, cheapest: int | None = 10, vat_rates: int | None = None
+) -> DataFrame:
+    """Prices, statuses, types and all VAT rates; the dearest and the cheapest active items. None lists all."""
     price = number("price")
     totals = items.agg(
         F.count(F.lit(1)).alias("rows"),
@@ -158,13 +166,14 @@ def profile_items(items: DataFrame) -> DataFrame:
         F.max(price).alias("price_max"),
         F.avg(price).alias("price_avg"),
     )
-    vat = items.select(number("vat").alias("value")).where("value IS NOT NULL").distinct().orderBy("value").limit(6)
+    vat = items.select(number("vat").alias("value")).where("value IS NOT NULL").distinct()
+    if vat_rates is not None:
+        vat = vat.orderBy("value").limit(vat_rates)
     active = F.col("status") == "Active" if "status" in items.columns else F.lit(True)
 
-    def listed(rows: DataFrame, section: str, order: Column, n: int) -> DataFrame:
+    def listed(rows: DataFrame, section: str, order: Column, n: int | None) -> DataFrame:
         return (
-            rows.orderBy(order, "title", "id")
-            .limit(n)
+            (rows if n is None else rows.orderBy(order, "title", "id").limit(n))
             .select(F.lit(section).alias("section"), F.col("title").alias("metric"), price.alias("value"))
         )
 
@@ -172,15 +181,15 @@ def profile_items(items: DataFrame) -> DataFrame:
         [
             metric_rows(totals),
             metric_rows(exact_percentiles(items, {"price_median": (price, 0.5)})),
-            *_counts_of(items, {"status": ("status", None), "type": ("type", 6)}),
+            *_counts_of(items, {"status": ("status", None), "type": ("type", types)}),
             vat.select(F.lit("vat").alias("section"), F.col("value").cast("string").alias("metric"), "value"),
-            listed(items.where(price.isNotNull()), "dearest", F.desc("price"), 15),
-            listed(items.where(active & (price > 0)), "cheapest_active", F.asc("price"), 10),
+            listed(items.where(price.isNotNull()), "dearest", F.desc("price"), dearest),
+            listed(items.where(active & (price > 0)), "cheapest_active", F.asc("price"), cheapest),
         ]
     )
 
 
-def profile_places(places: DataFrame) -> DataFrame:
+def profile_places(places: DataFrame, areas: int | None = 15) -> DataFrame:
     """Active and inactive places, countries, currencies, areas, cuisine tags and ratings."""
     active = F.col("active").cast("string").isin("1", "1.0", "true")
     parts = [
@@ -192,11 +201,11 @@ def profile_places(places: DataFrame) -> DataFrame:
         parts.append(F.count("cuisine_ids").alias("with_cuisine"))
     if "rating" in places.columns:
         parts += [F.avg(number("rating")).alias("rating_avg"), F.max(number("rating")).alias("rating_max")]
-    sections = {"country": ("country", None), "currency": ("currency", None), "area": ("area", 15)}
+    sections = {"country": ("country", None), "currency": ("currency", None), "area": ("area", areas)}
     return _all([metric_rows(places.agg(*parts)), *_counts_of(places, sections)])
 
 
-def profile_campaigns(campaigns: DataFrame) -> DataFrame:
+def profile_campaigns(campaigns: DataFrame, types: int | None = 8) -> DataFrame:
     """Campaigns by status and type, and the range of discounts."""
     discount = number("discount")
     totals = campaigns.agg(
@@ -205,11 +214,11 @@ def profile_campaigns(campaigns: DataFrame) -> DataFrame:
         F.max(discount).alias("discount_max"),
         F.avg(discount).alias("discount_avg"),
     )
-    return _all([metric_rows(totals), *_counts_of(campaigns, {"status": ("status", None), "type": ("type", 8)})])
+    return _all([metric_rows(totals), *_counts_of(campaigns, {"status": ("status", None), "type": ("type", types)})])
 
 
-def profile_add_ons(add_ons: DataFrame) -> DataFrame:
-    """Prices, free add-ons, and 15 active titles in order of their name."""
+def profile_add_ons(add_ons: DataFrame, listed: int | None = 15) -> DataFrame:
+    """Prices, free add-ons, and the first active titles in order of their name (None lists all)."""
     price = number("price")
     totals = add_ons.agg(
         F.count(F.lit(1)).alias("rows"),
@@ -222,14 +231,14 @@ def profile_add_ons(add_ons: DataFrame) -> DataFrame:
         add_ons.where((F.col("status") == "Active") & F.col("title").isNotNull())
         .groupBy(F.col("title").alias("metric"))
         .agg(F.count(F.lit(1)).cast("double").alias("value"))
-        .orderBy("metric")
-        .limit(15)
         .select(F.lit("active_titles").alias("section"), "metric", "value")
     )
+    if listed is not None:
+        titles = titles.orderBy("metric").limit(listed)
     return metric_rows(totals).unionByName(titles)
 
 
-def profile_users(users: DataFrame) -> DataFrame:
+def profile_users(users: DataFrame, listed: int | None = 5) -> DataFrame:
     """Orders per user, lifetime value of those who have any, and the commonest sources and countries."""
     orders, cltv = number("orders"), number("cltv")
     spent = F.when(cltv > 0, cltv)
@@ -247,18 +256,18 @@ def profile_users(users: DataFrame) -> DataFrame:
         [
             metric_rows(totals),
             metric_rows(medians),
-            *_counts_of(users, {"source": ("source", 5), "country": ("country", 5)}),
+            *_counts_of(users, {"source": ("source", listed), "country": ("country", listed)}),
         ]
     )
 
 
-def profile_invoices(invoices: DataFrame) -> DataFrame:
+def profile_invoices(invoices: DataFrame, descriptions: int | None = 8) -> DataFrame:
     """Total and mean amount, and the commonest descriptions."""
     amount = number("amount")
     totals = invoices.agg(
         F.count(F.lit(1)).alias("rows"), F.sum(amount).alias("amount_total"), F.avg(amount).alias("amount_avg")
     )
-    return _all([metric_rows(totals), *_counts_of(invoices, {"description": ("description", 8)})])
+    return _all([metric_rows(totals), *_counts_of(invoices, {"description": ("description", descriptions)})])
 
 
 def profile_cash(cash: DataFrame) -> DataFrame:
@@ -321,12 +330,12 @@ def profile_taxonomy(terms: DataFrame) -> DataFrame:
     return value_counts(terms, {"vocabulary": ("vocabulary", None)})
 
 
-def profile_schemas(tables: dict[str, DataFrame]) -> DataFrame:
-    """Rows and the first 20 columns of each table."""
+def profile_schemas(tables: dict[str, DataFrame], n: int | None = None) -> DataFrame:
+    """Rows and the columns of each table (the first ``n``, if given)."""
     return _all(
         [
             df.agg(F.count(F.lit(1)).alias("rows")).select(
-                F.lit(name).alias("table_name"), "rows", F.lit(", ".join(df.columns[:20])).alias("columns")
+                F.lit(name).alias("table_name"), "rows", F.lit(", ".join(df.columns[:n])).alias("columns")
             )
             for name, df in tables.items()
         ]

@@ -29,15 +29,12 @@ def null_counts(df: DataFrame) -> DataFrame:
 def quality_report(df: DataFrame) -> DataFrame:
     """Per column its type and null count, with the table's row count and number of repeated rows.
 
-    Repeats are all copies of a fully equal row but the first. Rows are reduced to two independent 64-bit hashes
-    before they are counted, so the shuffle carries 16 bytes per row instead of the row.
+    Repeats are all copies of a fully equal row but the first. Rows are grouped by the columns themselves, so the number is
+    exact; copies within a task are combined before the shuffle.
     """
-    key = [F.xxhash64(*df.columns).alias("a"), F.xxhash64(F.lit(1), *reversed(df.columns)).alias("b")]
-    nulls = [F.hash(*[F.col(c).isNull() for c in df.columns]).alias("c")]
     copies = (
-        df.select(*key, *nulls)
-        .groupBy("a", "b", "c")
-        .count()
+        df.groupBy(*[F.col(f"`{c}`") for c in df.columns])
+        .agg(F.count(F.lit(1)).alias("count"))
         .agg(
             F.coalesce(F.sum("count"), F.lit(0)).alias("total_rows"),
             F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("duplicate_rows"),

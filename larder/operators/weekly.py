@@ -60,13 +60,14 @@ def weekly_stock_actions(reports: DataFrame, demand: DataFrame, names: DataFrame
                 "shelf": F.when(low, "low").otherwise("excess"),
             }
         )
-        .select("item_id", "id", "date", "shelf", *COLUMNS)
+        .select("item_id", "date", "shelf", *COLUMNS)
     )
 
 
 def weekly_capped_actions(actions: DataFrame, low: int = 5, excess: int = 2) -> DataFrame:
-    """The first low and excess actions by report order (newest first), and one summary when more than three are low."""
-    order = Window.partitionBy("shelf").orderBy(F.desc("date"), F.desc("id"))
+    """The first low and excess actions (newest report first, then the higher item), and one summary when more than three are
+    low. One report per item is left at this point, so date and item order them fully."""
+    order = Window.partitionBy("shelf").orderBy(F.desc("date"), F.desc("item_id"))
     capped = (
         actions.withColumn("position", F.row_number().over(order))
         .where(F.col("position") <= max(low, excess))
@@ -123,11 +124,13 @@ def weekly_menu_actions(classified: DataFrame, named: bool = True, listed: int =
     )
 
 
-def weekly_actions_from_alerts(alerts: DataFrame, counts: DataFrame) -> DataFrame:
-    """Without uploads: three critical, two low and two excess items of the stock alerts, and an overview."""
+def weekly_actions_from_alerts(
+    alerts: DataFrame, counts: DataFrame, critical: int = 3, low: int = 2, excess: int = 2
+) -> DataFrame:
+    """Without uploads: the first critical, low and excess items of the stock alerts, and an overview."""
     stock, days = _whole("current_stock"), _whole("days_of_stock")
     kinds = {L.CRITICAL: L.KIND_CRITICAL_ML, L.LOW: L.KIND_LOW_ML, L.EXCESS: L.KIND_EXCESS_ML}
-    top = first_per_status(alerts, {L.CRITICAL: 3, L.LOW: 2, L.EXCESS: 2}).select(
+    top = first_per_status(alerts, {L.CRITICAL: critical, L.LOW: low, L.EXCESS: excess}).select(
         lookup("status", kinds).alias("kind"),
         F.coalesce("item_name", F.concat(F.lit("Item "), F.col("item_id").cast("string"))).alias("item"),
         F.when(F.col("status") == L.CRITICAL, F.format_string(L.MSG_CRITICAL_ML, stock, days))

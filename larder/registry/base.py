@@ -247,7 +247,7 @@ VIEWS: dict[str, str] = {
     "kept_stock_messages": "SELECT * FROM stock_messages WHERE kind IS NOT NULL",
     "capped_actions": """
         SELECT kind, item, message, priority FROM (
-          SELECT *, row_number() OVER (PARTITION BY shelf ORDER BY date DESC, id DESC) AS rn FROM kept_stock_messages)
+          SELECT *, row_number() OVER (PARTITION BY shelf ORDER BY date DESC, item_id DESC) AS rn FROM kept_stock_messages)
         WHERE rn <= CASE WHEN shelf = 'low' THEN 5 ELSE 2 END
         UNION ALL
         SELECT '⚠️ Inventory Alert', 'Multiple Items',

@@ -102,8 +102,7 @@ def fc5(t):
                total_orders_restaurant, {r('avg_order_value', 4)} FROM enriched""",
 )
 def fc6(t):
-    base = lines(t)
-    df = forecast.enriched_demand(forecast.daily_demand(base), forecast.item_stats(base), forecast.place_stats(base))
+    df = forecast.demand_features(t.order_items, t.orders)
     return rounded(
         df.select(
             "place_id",
@@ -170,34 +169,44 @@ def fc10(t):
 
 @query(
     "fc12_request_features",
-    f"""WITH i AS (SELECT * FROM item_stats ORDER BY total_qty DESC, item_id LIMIT 100),
-             p AS (SELECT * FROM place_stats ORDER BY place_id LIMIT 50),
-             d AS (SELECT CAST(range AS DATE) AS date FROM range(DATE '2001-08-02', DATE '2001-08-09', INTERVAL 1 DAY))
+    f"""WITH d AS (SELECT CAST(range AS DATE) AS date FROM range(DATE '2001-08-02', DATE '2001-08-09', INTERVAL 1 DAY)),
+             pairs AS (SELECT DISTINCT item_id, place_id FROM daily_demand)
         SELECT item_id, place_id, date, {r('avg_price', 4)}, {r('avg_daily_qty', 4)}, {r('std_daily_qty', 4)},
                p.total_orders AS total_orders_restaurant, {r('avg_order_value', 4)},
                CAST(isodow(date) - 1 AS INTEGER) AS day_of_week, CAST(month(date) AS INTEGER) AS month,
                CAST(weekofyear(date) AS INTEGER) AS week_of_year, CASE WHEN isodow(date) >= 6 THEN 1 ELSE 0 END AS is_weekend,
                {r('avg_daily_qty', 4, 'lag_7d_avg')}, {r('avg_daily_qty', 4, 'lag_14d_avg')}
-        FROM i, p, d""",
+        FROM pairs JOIN item_stats i USING (item_id) JOIN place_stats p USING (place_id), d""",
 )
 def fc12(t):
     base = lines(t)
     items, places = forecast.item_stats(base), forecast.place_stats(base)
-    df = forecast.request_features(forecast.forecast_requests(items, places, AS_OF), items, places)
+    df = forecast.request_features(forecast.forecast_requests(base, items, AS_OF), items, places)
     digits = ("avg_price", "avg_daily_qty", "std_daily_qty", "avg_order_value", "lag_7d_avg", "lag_14d_avg")
     return rounded(df, **{c: 4 for c in digits})
 
 
 @query(
     "fc13_forecast_grid",
-    """WITH i AS (SELECT item_id FROM item_stats ORDER BY total_qty DESC, item_id LIMIT 100),
-            p AS (SELECT place_id FROM place_stats ORDER BY place_id LIMIT 50),
-            d AS (SELECT CAST(range AS DATE) AS date FROM range(DATE '2001-08-02', DATE '2001-08-16', INTERVAL 1 DAY))
-       SELECT item_id, place_id, date FROM i, p, d""",
+    """SELECT item_id, place_id, CAST(d.range AS DATE) AS date FROM (SELECT DISTINCT item_id, place_id FROM daily_demand),
+              range(DATE '2001-08-02', DATE '2001-08-16', INTERVAL 1 DAY) d""",
 )
 def fc13(t):
     base = lines(t)
-    return forecast.forecast_requests(forecast.item_stats(base), forecast.place_stats(base), AS_OF, days=14)
+    return forecast.forecast_requests(base, forecast.item_stats(base), AS_OF, days=14)
+
+
+@query(
+    "fc13_forecast_grid_limited",
+    """WITH i AS (SELECT item_id FROM item_stats ORDER BY total_qty DESC, item_id LIMIT 40),
+            pairs AS (SELECT DISTINCT item_id, place_id FROM daily_demand WHERE item_id IN (SELECT item_id FROM i)),
+            p AS (SELECT DISTINCT place_id FROM pairs ORDER BY place_id LIMIT 10)
+       SELECT item_id, place_id, CAST(d.range AS DATE) AS date FROM pairs JOIN p USING (place_id),
+              range(DATE '2001-08-02', DATE '2001-08-04', INTERVAL 1 DAY) d""",
+)
+def fc13_limited(t):
+    base = lines(t)
+    return forecast.forecast_requests(base, forecast.item_stats(base), AS_OF, days=2, top_items=40, max_places=10)
 
 
 @query(

@@ -6,11 +6,18 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from larder.functions import labels as L
 from larder.operators import forecast, inventory, weekly
 from larder.plans import stock
+from larder.plans.weekly import weekly_report_without_uploads
 from larder.registry.base import query, r, rounded
 from larder.registry.menu import classified
-from larder.session import written
+from larder.session import scratch_path, written
+from larder.sources import schemas
+from larder.sources.stock import ingest_inventory
+from larder.sources.tables import load_transactional
+from larder.streaming import sinks
+from larder.streaming import stock as stock_stream
 
 FRIDAY = dt.date(2024, 1, 5)
 
@@ -169,15 +176,16 @@ def in14(t):
 @query(
     "in15_item_name_lookup",
     """WITH ids AS (SELECT DISTINCT item_id + 500 AS item_id FROM inventory_reports),
-            d AS (SELECT id, title FROM dim_items WHERE id % 3 = 0),
-            m AS (SELECT item_id, min(item_name) AS n FROM most_ordered WHERE item_id % 3 = 1 GROUP BY item_id)
-       SELECT ids.item_id, coalesce(d.title, m.n, 'Item ' || ids.item_id) AS item_name
-       FROM ids LEFT JOIN d ON ids.item_id = d.id LEFT JOIN m ON ids.item_id = m.item_id""",
+            d AS (SELECT id, title FROM dim_items),
+            m AS (SELECT item_id, min(item_name) AS n FROM most_ordered GROUP BY item_id),
+            v AS (SELECT id + 250 AS id, min(title) AS n FROM dim_items GROUP BY ALL)
+       SELECT ids.item_id, coalesce(d.title, m.n, v.n, 'Item ' || ids.item_id) AS item_name
+       FROM ids LEFT JOIN d ON ids.item_id = d.id LEFT JOIN m ON ids.item_id = m.item_id LEFT JOIN v ON ids.item_id = v.id""",
 )
 def in15(t):
     ids = t.inventory_reports.select((F.col("item_id") + 500).alias("item_id"))
-    catalogue, popular = t.items.where("id % 3 = 0"), t.most_ordered.where("item_id % 3 = 1")
-    return inventory.item_name_lookup(ids, catalogue, popular)
+    live = t.live_menu_items.withColumn("id", F.col("id") + 250)  # items that only the live menu knows
+    return inventory.item_name_lookup(ids, t.items, t.most_ordered, live)
 
 
 @query("in16_weekly_stock_actions", "SELECT item_id, kind, item, message, priority FROM kept_stock_messages")
@@ -190,6 +198,70 @@ def in17(t):
     return weekly.weekly_capped_actions(written(stock_actions(t), "actions"))
 
 
+# The newest reports (the third copy) as a file of text columns; its rows carry no id, as those of real uploads.
+UPLOAD_DATE = "2024-01-04 00:00:00"
+UPLOAD_COLUMNS = ["Item_ID", "Current_Stock", "Reorder_Point", "Safety_Stock"]
+
+
+def write_upload(t, folder):
+    newest = t.inventory_reports.where("id % 10 = 3").select("item_id", "current_stock", "reorder_point", "safety_stock")
+    newest.toDF(*UPLOAD_COLUMNS).write.option("header", True).csv(folder)
+
+
+def actions_of(t, reports):
+    latest = inventory.latest_report(reports)
+    return weekly.weekly_capped_actions(written(weekly.weekly_stock_actions(latest, given_demand(t), names(t)), "actions"))
+
+
+@query("in17_actions_from_a_file", "SELECT * FROM capped_actions")
+def in17_file(t):
+    base = scratch_path(t.spark, "upload")
+    write_upload(t, f"{base}/in")
+    ingest_inventory(t.spark, f"{base}/in", base, F.lit(UPLOAD_DATE))
+    return actions_of(t, load_transactional(t.spark, base, "inventory_reports", schemas.INVENTORY_REPORT))
+
+
+@query("in17_actions_from_a_stream", "SELECT * FROM capped_actions")
+def in17_stream(t):
+    base = scratch_path(t.spark, "upload")
+    write_upload(t, f"{base}/in")
+    raw = stock_stream.read_stock_files(t.spark, f"{base}/in", UPLOAD_COLUMNS, files_per_batch=None)
+    stock_stream.stream_inventory(raw, f"{base}/out", f"{base}/state").awaitTermination()
+    reports = sinks.read_batches(t.spark, f"{base}/out/inventory_reports", schemas.INVENTORY_REPORT)
+    return actions_of(t, reports.drop("batch_id"))
+
+
+WHOLE_MENU_TEXTS = {
+    L.STAR: (L.KIND_STARS, L.MSG_STARS),
+    L.DOG: (L.KIND_DOGS, L.MSG_DOGS),
+    L.PUZZLE: (L.KIND_PUZZLES, L.MSG_PUZZLES),
+    L.PLOWHORSE: (L.KIND_PLOWHORSES, L.MSG_PLOWHORSES),
+}
+
+
+def _case(position):
+    quoted = {c: t[position].replace("'", "''") for c, t in WHOLE_MENU_TEXTS.items()}
+    return "CASE category " + " ".join(f"WHEN '{c}' THEN '{text}'" for c, text in quoted.items()) + " END"
+
+
+WHOLE_MENU = f"""SELECT {_case(0)} AS kind, printf('%d Menu Items', count(*)) AS item, {_case(1)} AS message,
+    CASE WHEN category IN ('{L.DOG}', '{L.PUZZLE}') THEN 'Medium' ELSE 'Low' END AS priority FROM classified GROUP BY category"""
+
+
+@query("in18_weekly_menu_actions_whole_menu", WHOLE_MENU)
+def in18_whole(t):
+    return weekly.weekly_menu_actions(classified(t), named=False)
+
+
+@query(
+    "in20_weekly_without_uploads",
+    f"""SELECT * FROM alert_actions UNION ALL SELECT * FROM ({WHOLE_MENU}) UNION ALL
+        SELECT '{L.KIND_WEEKEND}', 'Staffing & Inventory', '{L.MSG_WEEKEND}', 'Medium'""",
+)
+def in20_without(t):
+    return weekly_report_without_uploads(written(alerts(t), "alerts"), classified(t), FRIDAY)
+
+
 @query("in18_weekly_menu_actions", "SELECT * FROM named_menu_actions")
 def in18(t):
     return weekly.weekly_menu_actions(classified(t))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
+from functools import lru_cache, reduce
 
-from pyspark.sql import SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from larder.operators import clusters, forecast, menu, prediction
 from larder.registry.base import query, r, rounded
@@ -13,13 +13,10 @@ from larder.registry.menu import performance
 from larder.session import written
 from larder.sources.standins import Standins
 
-# Trees per model in these queries; the library's own defaults are 200 for the forecast and 100 for the prediction.
-TREES = 20
-
 
 @lru_cache(maxsize=4)
 def _predictors(application: str, sf_dir: str):
-    return prediction.train_predictors(_tables(sf_dir).menu_items, trees=TREES)
+    return prediction.train_predictors(_tables(sf_dir).menu_items)
 
 
 @lru_cache(maxsize=4)
@@ -27,7 +24,7 @@ def _forecaster(application: str, sf_dir: str):
     t = _tables(sf_dir)
     demand = written(forecast.demand_features(t.order_items, t.orders), "demand")
     matrix = forecast.feature_matrix(demand)
-    return forecast.train_forecaster(matrix, trees=TREES)
+    return forecast.train_forecaster(matrix)
 
 
 @lru_cache(maxsize=4)
@@ -156,7 +153,11 @@ def pr4(t):
 @query("pr5_predictor_importance")
 def pr5(t):
     models = fitted(_predictors, t).models
-    return forecast.feature_importance(models["random_forest"], prediction.FEATURES, t.menu_items)
+    found = [
+        forecast.feature_importance(model, prediction.FEATURES, t.menu_items).select(F.lit(name).alias("model"), "feature", "importance")
+        for name, model in sorted(models.items())
+    ]
+    return reduce(DataFrame.unionByName, found)
 
 
 def requests(t):
@@ -227,4 +228,4 @@ def fc12(t):
 @query("fc13_forecast_all")
 def fc13(t):
     base = lines(t)
-    return forecast.forecast_all(fitted(_forecaster, t), forecast.item_stats(base), forecast.place_stats(base), AS_OF)
+    return forecast.forecast_all(fitted(_forecaster, t), base, forecast.item_stats(base), forecast.place_stats(base), AS_OF)

@@ -54,14 +54,26 @@ def parse_stock(raw: DataFrame, stamped: Column) -> tuple[DataFrame, DataFrame]:
     return valid, rejected
 
 
-def ingest_inventory(spark: SparkSession, path: str, folder: str, stamped: Column | None = None) -> int:
-    """Append the valid rows of a stock file to the inventory reports; returns their number, none at all raises."""
+def ingest_inventory(
+    spark: SparkSession, path: str, folder: str, stamped: Column | None = None, encoding: str | None = None
+) -> int:
+    """Append the valid rows of a stock file to the inventory reports; returns their number, none at all raises.
+
+    Without ``encoding`` a file that holds bytes which are no UTF-8 is read as Latin-1.
+    """
     stamp = F.current_timestamp() if stamped is None else stamped
-    valid, _ = parse_stock(read_stock_csv(spark, path), stamp)
-    count = valid.count()
-    if count == 0:
-        raise ValueError("no valid rows in the stock file")
-    append_rows(valid, folder, "inventory_reports", schemas.INVENTORY_REPORT)
+    raw = read_stock_csv(spark, path, encoding or "UTF-8")
+    if encoding is None and not raw.where(F.concat_ws("", *[F.col(f"`{c}`") for c in raw.columns]).contains("\ufffd")).isEmpty():
+        raw = read_stock_csv(spark, path, "ISO-8859-1")
+    valid, _ = parse_stock(raw, stamp)
+    valid = valid.persist()
+    try:
+        count = valid.count()
+        if count == 0:
+            raise ValueError("no valid rows in the stock file")
+        append_rows(valid, folder, "inventory_reports", schemas.INVENTORY_REPORT)
+    finally:
+        valid.unpersist()
     return count
 
 

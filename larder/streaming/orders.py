@@ -25,9 +25,13 @@ def stream_orders(messages: DataFrame, folder: str, checkpoint: str, **trigger)
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        orders, lines = split_orders(batch, F.current_timestamp())
-        write_batch(orders, f"{folder}/orders", batch_id)
-        write_batch(lines, f"{folder}/order_items", batch_id)
+        batch = batch.persist()  # two outputs, one reading of the messages
+        try:
+            orders, lines = split_orders(batch, F.current_timestamp())
+            write_batch(orders, f"{folder}/orders", batch_id)
+            write_batch(lines, f"{folder}/order_items", batch_id)
+        finally:
+            batch.unpersist()
 
     return (
         messages.writeStream.foreachBatch(store)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -22,9 +24,12 @@ def read_batches(spark: SparkSession, path: str, schema: T.StructType) -> DataFr
 
 
 def newest_batch(rows: DataFrame) -> DataFrame:
-    """The rows of the last batch alone: each batch replaces the one before."""
-    last = rows.agg(F.max("batch_id")).scalar()
-    return rows.where(F.col("batch_id") == last).drop("batch_id")
+    """The rows of the last batch alone: each batch replaces the one before.
+
+    The last batch is known from the folder names, and only its folder is read. A batch without rows is a batch, too.
+    """
+    batches = [int(n) for f in rows.inputFiles() for n in re.findall(r"/batch_id=(\d+)/", f)]
+    return rows.where(F.col("batch_id") == max(batches, default=-1)).drop("batch_id")
 
 
 def newest_per_key(rows: DataFrame, key: str) -> DataFrame:

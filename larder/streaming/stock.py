@@ -22,9 +22,13 @@ def stream_inventory(raw: DataFrame, folder: str, checkpoint: str, **trigger) ->
     """Parse arriving stock rows; valid ones go to inventory_reports, the others to rejected_stock."""
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        valid, rejected = parse_stock(batch, F.current_timestamp())
-        write_batch(valid, f"{folder}/inventory_reports", batch_id)
-        write_batch(rejected, f"{folder}/rejected_stock", batch_id)
+        batch = batch.persist()  # two outputs, one reading of the files
+        try:
+            valid, rejected = parse_stock(batch, F.current_timestamp())
+            write_batch(valid, f"{folder}/inventory_reports", batch_id)
+            write_batch(rejected, f"{folder}/rejected_stock", batch_id)
+        finally:
+            batch.unpersist()
 
     return (
         raw.writeStream.foreachBatch(store)

@@ -77,8 +77,9 @@ def test_browse(matrix):
     assert menu.browse_items(matrix, limit=2).count() == 2
     assert [r["item_id"] for r in menu.browse_items(matrix, "dog").collect()] == [4]
     assert menu.browse_items(matrix, min_orders=90).count() == 2
-    with pytest.raises(ValueError):
-        menu.browse_items(matrix, limit=1001)
+    first = [r["item_id"] for r in menu.browse_items(matrix, limit=2).collect()]
+    pages = first + [r["item_id"] for r in menu.browse_items(matrix, limit=5000, after=first[-1]).collect()]
+    assert pages == sorted(r["item_id"] for r in matrix.collect())
 
 
 def test_performance_skips_unpriced(spark):

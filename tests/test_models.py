@@ -142,9 +142,15 @@ def test_forecaster(tables, kind):
     total = fitted.metrics["train_samples"] + fitted.metrics["test_samples"]
     assert total == demand.count() and 0.75 < fitted.metrics["train_samples"] / total < 0.85
     stats, places = forecast.item_stats(lines), forecast.place_stats(lines)
-    ahead = forecast.forecast_all(fitted, stats, places, dt.date(2001, 8, 1), days=3, top_items=4, max_places=5)
+    ahead = forecast.forecast_all(fitted, demand, stats, places, dt.date(2001, 8, 1), days=3, top_items=4, max_places=5)
     rows = ahead.collect()
-    assert len(rows) == 4 * 5 * 3 and all(r["predicted_demand"] >= 0 for r in rows)
+    pairs = {(r["item_id"], r["place_id"]) for r in rows}
+    assert len(rows) == len(pairs) * 3 and all(r["predicted_demand"] >= 0 for r in rows)
+    assert len({i for i, _ in pairs}) <= 4 and len({p for _, p in pairs}) <= 5
+    seen = {tuple(r) for r in demand.select("item_id", "place_id").distinct().collect()}
+    assert pairs <= seen
+    every = forecast.forecast_requests(demand, stats, dt.date(2001, 8, 1), days=1)
+    assert {(r["item_id"], r["place_id"]) for r in every.collect()} == seen
     assert {r["date"] for r in rows} == {dt.date(2001, 8, d) for d in (2, 3, 4)}
     unknown = tables.spark.createDataFrame([(10**9, 1, dt.date(2001, 8, 2))], "item_id long, place_id int, date date")
     assert forecast.predict_demand(fitted, unknown, stats, places).count() == 0
