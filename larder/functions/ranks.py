@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from larder.functions.scalars import finite
 
 SKETCH_GROUPS = 64  # sketches are merged in this many tasks, not in one
-SLICES = 512  # slices of a narrowed range, each ordered by a task of its own
+SLICES = 128  # slices of a narrowed range, each ordered by a task of its own
 
 
 def exact_percentiles(
@@ -82,11 +82,29 @@ def _zone(v: str, ranges: list[tuple[float, float]]) -> Column:
     return F.struct(F.lit(v).alias("name"), zone.alias("zone"), kept.alias("v"))
 
 
+def _slice_of(cells: DataFrame, slices: int = SLICES) -> Column:
+    """The slice of a cell (name, zone, v): split points are quantiles of the distinct values of each range."""
+    points = [i / slices for i in range(1, slices)]
+    shapes = (
+        cells.where("v IS NOT NULL")
+        .groupBy("name", "zone")
+        .agg(F.percentile_approx("v", points, 20 * slices).alias("splits"))
+    )
+    number = F.lit(0)
+    for shape in shapes.collect():  # one row per range, ``slices`` numbers each
+        splits = F.lit(sorted(set(shape["splits"])))
+        own = (F.col("name") == shape["name"]) & (F.col("zone") == shape["zone"])
+        number = F.when(own, F.size(F.filter(splits, lambda s: s < F.col("v")))).otherwise(number)
+    return number
+
+
 def _pick_ranks(values: DataFrame, wanted, counts, ranges) -> DataFrame:
     """The values at the wanted ranks.
 
-    A gap below a range is one counter, combined on the map side. A range is cut into SLICES equal parts; their
-    totals show which parts hold a rank, and only those are ordered value by value.
+    A gap below a range is one counter, combined on the map side. A range is cut into SLICES parts at sketched quantiles of
+    its own distinct values, so that parts hold about as many however the values are spread; their totals show
+    which parts hold a rank, and only those are ordered value by value. The input is read once for the split points
+    and once for the ranks: write a costly input first.
     """
     present = {v: targets for v, targets in wanted.items() if counts[v]}
     cells = (
@@ -95,13 +113,7 @@ def _pick_ranks(values: DataFrame, wanted, counts, ranges) -> DataFrame:
         .groupBy("name", "zone", "v")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    slice_no = F.lit(0)
-    for v in present:
-        for k, (low, high) in enumerate(ranges[v]):
-            if low < high:
-                inside = F.floor(F.lit(SLICES) * ((F.col("v") - low) / (high - low))).cast("int")
-                slice_no = F.when((F.col("name") == v) & (F.col("zone") == 2 * k + 1), inside).otherwise(slice_no)
-    sliced = cells.withColumn("slice", slice_no)
+    sliced = cells.withColumn("slice", _slice_of(cells))
 
     def ranks_of(v: str) -> list[int]:
         exact = [p * (counts[v] - 1) for _, p in present[v]]

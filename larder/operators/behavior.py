@@ -81,21 +81,25 @@ def monthly_pattern(facts: DataFrame) -> DataFrame:
 def temporal_insights(facts: DataFrame, orders: DataFrame) -> DataFrame:
     """One row: busiest hour and day, percent of weekend orders, orders per day that had any.
 
-    Ties go to the earliest hour and to the earliest day of the week.
+    Ties go to the earliest hour and to the earliest day of the week. The orders with their calendar are written once, so
+    that the lines are read a single time for all figures.
     """
     rank = lookup("day_name", {d: i for i, d in enumerate(L.DAY_NAMES)})
-    hour = hourly_pattern(facts).agg(F.max_by("hour", F.struct(F.col("num_orders"), -F.col("hour"))).alias("peak"))
-    day = weekday_pattern(facts).agg(F.max_by("day_name", F.struct(F.col("num_orders"), -rank)).alias("peak"))
-    kinds = facts.where("order_date IS NOT NULL").groupBy("is_weekend").agg(F.countDistinct("order_id").alias("n"))
+    seen = written(facts.select("order_id", "order_date", "hour", "day_name", "is_weekend").distinct(), "seen")
+    per = lambda *keys: seen.where(F.col(keys[0]).isNotNull()).groupBy(*keys).agg(F.countDistinct("order_id").alias("n"))
+    hour = per("hour").agg(F.max_by("hour", F.struct(F.col("n"), -F.col("hour"))).alias("peak"))
+    day = per("day_name").agg(F.max_by("day_name", F.struct(F.col("n"), -rank)).alias("peak"))
+    kinds = seen.where("order_date IS NOT NULL").groupBy("is_weekend").agg(F.countDistinct("order_id").alias("n"))
     split = kinds.agg(F.sum(F.when(F.col("is_weekend") == 1, F.col("n")).otherwise(0)).alias("weekend"), F.sum("n").alias("all"))
-    days = order_calendar(orders).agg(F.countDistinct("order_date").alias("n"))
-    number = orders.agg(F.countDistinct("id").cast("double").alias("n"))
-    return attach(split, hour=hour, day=day, days=days, orders=number).select(
+    rate = order_calendar(orders).agg(
+        F.countDistinct("order_date").alias("days"), F.countDistinct("id").cast("double").alias("orders")
+    )
+    return attach(split, hour=hour, day=day, rate=rate).select(
         F.col("hour.peak").alias("peak_hour"),
         F.format_string("%02d:00", "hour.peak").alias("peak_hour_label"),
         F.col("day.peak").alias("peak_day"),
         F.bround(F.try_divide(F.col("weekend") * 100.0, F.col("all")), 1).alias("weekend_pct"),
-        F.bround(F.try_divide("orders.n", "days.n"), 1).alias("avg_orders_per_day"),
+        F.bround(F.try_divide("rate.orders", "rate.days"), 1).alias("avg_orders_per_day"),
     )
 
 
@@ -199,9 +203,20 @@ def co_purchased_items(
 def restaurant_performance(order_items: DataFrame, orders: DataFrame) -> DataFrame:
     """Per place: orders, quantity, price sum, distinct items, commonest hour of a line, and ratios; busiest first.
 
-    Each figure is summed at its own grain (order, hour, item) and meets the others as one row per place.
+    The lines are read once: they are combined per order and item before any shuffle, joined to their orders and written;
+    all figures come from that table, each at its own grain, and meet as one row per place.
     """
-    facts = order_facts(order_items, orders).where("place_id IS NOT NULL")
+    sold = (
+        order_items.where("order_id IS NOT NULL")
+        .groupBy("order_id", "item_id")
+        .agg(
+            F.count(F.lit(1)).alias("lines"),
+            F.coalesce(F.sum("quantity"), F.lit(0.0)).alias("quantity"),
+            F.coalesce(F.sum("price"), F.lit(0.0)).alias("price_sum"),
+        )
+    )
+    head = order_calendar(orders).where("place_id IS NOT NULL").select(F.col("id").alias("order_id"), "place_id", "hour")
+    facts = written(sold.join(head, "order_id"), "sold")
     totals = facts.groupBy("place_id").agg(
         F.countDistinct("order_id").alias("total_orders"),
         F.sum("quantity").alias("total_quantity"),
@@ -211,12 +226,7 @@ def restaurant_performance(order_items: DataFrame, orders: DataFrame) -> DataFra
     peak = hours.groupBy("place_id").agg(
         F.max_by("hour", F.struct(F.col("lines"), -F.col("hour"))).alias("peak_hour")
     )
-    sold = order_items.where("item_id IS NOT NULL").select("order_id", "item_id")
-    variety = (
-        sold.join(orders.where("place_id IS NOT NULL").select(F.col("id").alias("order_id"), "place_id"), "order_id")
-        .groupBy("place_id")
-        .agg(F.countDistinct("item_id").alias("unique_items_sold"))
-    )
+    variety = facts.where("item_id IS NOT NULL").groupBy("place_id").agg(F.countDistinct("item_id").alias("unique_items_sold"))
     return (
         totals.join(variety, "place_id", "left")
         .join(peak, "place_id", "left")

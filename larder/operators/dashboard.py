@@ -77,16 +77,25 @@ def dashboard_summary(
 ) -> DataFrame:
     """One row with all headline figures; model scores only when there are any."""
     totals = orders.agg(F.count(F.lit(1)).alias("total_orders"), F.countDistinct("place_id").alias("restaurants"))
+    # One pass over the lines: their number is the sum of the lines per order.
+    per_order = order_items.groupBy("order_id").agg(F.count(F.lit(1)).alias("lines"), F.coalesce(F.sum("quantity"), F.lit(0.0)).alias("quantity"))
+    known = F.col("order_id").isNotNull()
+    lines = per_order.agg(
+        F.coalesce(F.sum("lines"), F.lit(0)).alias("total_order_items"),
+        F.bround(F.avg(F.when(known, F.col("lines"))), 2).alias("avg_items_per_order"),
+        F.bround(F.avg(F.when(known, F.col("quantity"))), 2).alias("avg_quantity_per_order"),
+    )
     parts = {
-        "sizes": _sizes(order_items, dim_items),
+        "menu": dim_items.agg(F.count(F.lit(1)).alias("menu_items")),
         "peak": peak_by_mode(orders),
         "rate": orders_per_day(orders),
-        "lines": lines_per_order(order_items),
+        "lines": lines,
         "amount": order_value_stats(orders),
         "alerts": alert_counts,
     }
-    columns = ["total_orders", "sizes.total_order_items", "restaurants", "sizes.menu_items"]
-    columns += [f"{name}.*" for name in ("peak", "rate", "lines", "amount", "alerts")]
+    columns = ["total_orders", "lines.total_order_items", "restaurants", "menu.menu_items"]
+    columns += [*(f"{name}.*" for name in ("peak", "rate")), "lines.avg_items_per_order", "lines.avg_quantity_per_order"]
+    columns += [f"{name}.*" for name in ("amount", "alerts")]
     if model_metrics is not None:
         parts["model"] = model_metrics
         columns += [F.col(f"model.{c}").alias(f"model_{c}") for c in ("r2", "mae", "rmse")]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from larder.functions import scalars
-from larder.functions.ranks import percentile_of
+from larder.functions.ranks import exact_percentiles, percentile_of
 from larder.operators import conversations, quality
 from larder.registry.base import query, r, rounded
 from larder.sources.orders import split_orders
@@ -261,3 +261,14 @@ def sca6(t):
 def sca7(t):
     hour = F.hour(scalars.event_time("created"))
     return t.orders.select("id", scalars.hour_label(hour).alias("label"))
+
+
+@query(
+    "sca3_percentiles_of_narrowed_ranges",
+    "SELECT " + ", ".join(r(f"quantile_cont({c}, {p})", 6, f"{c}_{int(p * 100)}")
+                          for c in ("price", "quantity") for p in (0.0, 0.25, 0.5, 0.95, 1.0)) + " FROM fct_order_items",
+)
+def sca3_narrowed(t):
+    """With a coarse sketch the narrowing that large columns need runs on these tables, too."""
+    targets = {f"{c}_{int(p * 100)}": (c, p) for c in ("price", "quantity") for p in (0.0, 0.25, 0.5, 0.95, 1.0)}
+    return rounded(exact_percentiles(t.order_items, targets, accuracy=25), **{name: 6 for name in targets})

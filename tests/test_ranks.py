@@ -64,3 +64,13 @@ def test_percent_ranks(spark, pieces):
 def test_percent_rank_of_one_row_and_null(spark):
     rows = percent_ranks(spark.createDataFrame([(1.0,), (None,)], "v double"), {"rank": "v"}).collect()
     assert {(r["v"], r["rank"]) for r in rows} == {(1.0, 0.0), (None, None)}
+
+
+@pytest.mark.parametrize("shape", ["heavy tail", "sorted", "uniform"])
+def test_slices_hold_about_as_many_values(spark, shape):
+    from larder.functions.ranks import _slice_of
+
+    values = np.sort(SHAPES[shape](np.random.default_rng(5)))
+    cells = frame(spark, values).select(F.lit("v").alias("name"), F.lit(1).alias("zone"), "v").distinct()
+    held = [r["count"] for r in cells.groupBy(_slice_of(cells, 32).alias("slice")).count().collect()]
+    assert len(held) == 32 and max(held) < 3 * sum(held) / 32

@@ -146,3 +146,14 @@ def test_tokens(spark):
     calls = spark.createDataFrame([(10, 5), (None, 2)], "prompt_tokens long, completion_tokens long")
     assert tuple(token_usage(calls).first()) == (2, 10, 7, 17)
     assert tuple(token_usage(calls.limit(0)).first()) == (0, 0, 0, 0)
+
+
+def test_newest_batch_opens_its_own_folder_only(spark, tmp_path):
+    from larder.streaming.sinks import newest_batch, read_batches, write_batch
+
+    for n in range(50):
+        write_batch(spark.range(n, n + 3), str(tmp_path), n)
+    newest = newest_batch(read_batches(spark, str(tmp_path), spark.range(1).schema))
+    assert sorted(r["id"] for r in newest.collect()) == [49, 50, 51]
+    plan = newest._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "batch_id" in plan.split("PartitionFilters")[1].split("]")[0]
