@@ -8,9 +8,13 @@ value) pairs, and two documents that agree in at least ``matches`` coordinates a
   ``coordinates`` pairs also share one of their ``coordinates - matches + 1`` rarest. Only those are joined, and a pair
   that a single document holds joins nothing. Frequent pairs, as very common words make them, stay out of the join.
 - Skip: the other lists are never merged. The agreements of a pair found by prefix are counted on its two signatures.
-- A list of many near copies is not expanded into all its pairs. First each member meets the least member of its list;
-  the confirmed links give components. Then members of one list that are still in different components meet, where
-  sizes and signatures allow a link; pairs inside one component are not needed, since its documents are connected.
+- A list of many near copies is not expanded into all its pairs. First each member meets one hub of its list, the
+  document that shares most with others (of copies of one text, the text itself). The confirmed links give components;
+  pairs inside a component are not needed any more, since its documents are connected.
+- Lists whose members are still apart follow. In a list of up to ``long_list`` members the pairs that are apart meet, each
+  pair in one of its lists only, where sizes and signatures allow a link. Longer lists that share members form one
+  cluster, which is cut into chunks; each pair of chunks is one task that compares the full sets by matrix products and
+  puts out only the links that connect components. No pair of a long list becomes a row.
 
 With similarity 0.8, 64 coordinates and 36 matches, a pair exactly at the threshold is missed with a chance of about
 five in a million, a pair at 0.85 with less than one in a thousand million.
@@ -33,6 +37,9 @@ from larder.llm.words import shingle_sets
 from larder.session import written
 
 _ROWS = 4096  # of a shingle-by-coordinate block
+_CHUNK = 1000  # documents of a cluster compared with as many at a time
+_CHUNK_VALUES = 1_000_000  # shingles of such a chunk
+_SLAB = 4096  # columns of the matrices compared
 
 
 def _multipliers(coordinates: int) -> np.ndarray:
@@ -99,8 +106,9 @@ def _sizes_allow(percent: int) -> Column:
     return (F.least("n_a", "n_b") * 100) >= (F.greatest("n_a", "n_b") * percent)
 
 
-def _postings(classes: DataFrame, coordinates: int, matches: int) -> DataFrame:
-    """(pair, node): each class under the pairs of its prefix that others share too."""
+def _prefixes(classes: DataFrame, coordinates: int, matches: int) -> DataFrame:
+    """(node, weight, prefix): the pairs of each class's prefix that others hold too; weight counts how often others hold
+    any of its pairs."""
     posted = classes.select("node", F.posexplode("sig").alias("at", "value")).select(
         "node",
         F.shiftleft(F.col("at").cast("long"), 32).bitwiseOR(F.col("value").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("pair"),
@@ -112,17 +120,24 @@ def _postings(classes: DataFrame, coordinates: int, matches: int) -> DataFrame:
         posted.join(held, "pair")
         .groupBy("node")
         .agg(F.array_sort(F.collect_list(F.struct("held", "pair"))).alias("shared"))
-        .select("node", F.explode(F.slice("shared", F.lit(1), room)).alias("p"))
-        .select("node", "p.pair")
+        .select(
+            "node",
+            F.aggregate("shared", F.lit(0).cast("long"), lambda total, x: total + x["held"]).alias("weight"),
+            F.transform(F.slice("shared", F.lit(1), room), lambda x: x["pair"]).alias("prefix"),
+        )
+        .where("size(prefix) > 0")
     )
 
 
+def _sets_of(nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """(node, members): full shingle sets of the documents ``nodes`` (doc_id) names; no other text is worked on."""
+    return docs.join(nodes.distinct(), "doc_id", "left_semi").mapInArrow(_sets(size), "node long, members array<long>")
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Of (a, b), the pairs whose full shingle sets reach the similarity. Sets are made for their documents only."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = written(
-        docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(size), "node long, members array<long>"), "sets"
-    )
+    """Of (a, b), the pairs whose full shingle sets reach the similarity."""
+    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b"))
+    sets = written(_sets_of(wanted, docs, size), "sets")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("members").alias("x")), "a").join(
         sets.select(F.col("node").alias("b"), F.col("members").alias("y")), "b"
     )
@@ -130,12 +145,89 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Da
     return both.where(common * 100 >= (F.size("x") + F.size("y") - common) * percent).select("a", "b").distinct()
 
 
+def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of two lists of sets, by products of 0/1 matrices over slabs of shared values."""
+    values, counts = np.unique(np.concatenate([*left, *right]), return_counts=True)
+    shared = values[counts > 1]
+    total = np.zeros((len(left), len(right)), dtype=np.float32)
+    for begin in range(0, len(shared), _SLAB):
+        slab = shared[begin : begin + _SLAB]
+
+        def matrix(sets: list[np.ndarray]) -> np.ndarray:
+            filled = np.zeros((len(sets), len(slab)), dtype=np.float32)
+            for i, s in enumerate(sets):
+                part = s[np.searchsorted(s, slab[0]) : np.searchsorted(s, slab[-1], side="right")]
+                at = np.searchsorted(slab, part)
+                filled[i, at[slab[at] == part]] = 1
+            return filled
+
+        total += matrix(left) @ matrix(right).T
+    return total
+
+
+def connecting_links(nodes: list[int], groups: list[int], sets: list[np.ndarray], percent: int, cut: int) -> list[tuple[int, int]]:
+    """Links between sets[:cut] and sets[cut:] (or among all, if cut is 0) that connect different ``groups``; of links that
+    connect what is already connected none but the first is given."""
+    left, right = (sets, sets) if not cut else (sets[:cut], sets[cut:])
+    common = _common(left, right).astype(np.int64)
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    n_left, n_right = (sizes, sizes) if not cut else (sizes[:cut], sizes[cut:])
+    rows, columns = np.nonzero((common * 100 >= (n_left[:, None] + n_right[None, :] - common) * percent) & (common > 0))
+    above: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while above.get(x, x) != x:
+            x = above[x]
+        return x
+
+    found = []
+    for i, j in zip(rows.tolist(), (columns + cut).tolist()):
+        a, b = root(groups[i]), root(groups[j])
+        if a != b:
+            above[max(a, b)] = min(a, b)
+            found.append((nodes[i], nodes[j]))
+    return found
+
+
+def _cluster_links(members: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """(a, b): connecting links inside each cluster of ``members`` (node, cluster, component, n).
+
+    A cluster is cut into chunks of about ``_CHUNK`` documents (fewer if their sets are large); a task gets two chunks.
+    """
+    held = members.groupBy("cluster").agg(F.count("*").alias("count"), F.sum("n").alias("total"))
+    chunks = F.ceil(F.greatest(F.col("count") / _CHUNK, F.col("total") / _CHUNK_VALUES)).cast("int")
+    dealt = members.join(held.select("cluster", chunks.alias("chunks")), "cluster").withColumn(
+        "chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
+    )
+    sets = _sets_of(members.select(F.col("node").alias("doc_id")), docs, size)
+    blocks = (
+        dealt.join(sets, "node")
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        .withColumns({"low": F.least("chunk", "other"), "high": F.greatest("chunk", "other")})
+        .select("cluster", "low", "high", "chunk", "node", "component", "members")
+    )
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("chunk", "ascending"), ("node", "ascending")])
+        low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
+        cut = 0 if low == high else sum(c == low for c in table.column("chunk").to_pylist())
+        links = []
+        if low == high or 0 < cut < table.num_rows:
+            # Unsigned 64-bit values travel as signed ones; each set is sorted again as signed.
+            sets = [np.sort(np.asarray(m.values)) for m in table.column("members")]
+            links = connecting_links(table.column("node").to_pylist(), table.column("component").to_pylist(), sets, percent, cut)
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+    return blocks.groupBy("cluster", "low", "high").applyInArrow(run, "a long, b long")
+
+
 def near_duplicates(
     docs: DataFrame,
     size: int = 5,
     percent: int = 80,
     coordinates: int = 64,
     matches: int = 36,
+    long_list: int = 128,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -161,38 +253,65 @@ def near_duplicates(
         "classes",
     )
     of_rows = marked.select("doc_id", "n_shingles", "set_key").join(classes.select("set_key", "node"), "set_key", "left")
-    rows = written(of_rows.drop("set_key"), "rows")
+    rows = written(of_rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node")), "rows")
     several = rows.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("top")).where("b <> top")
     same_id = rows.join(several.select("doc_id", "b"), "doc_id").select(F.col("node").alias("a"), "b")
-    postings = written(_postings(classes, coordinates, matches), "postings")
+    prefixes = written(_prefixes(classes, coordinates, matches), "prefixes")
+    postings = prefixes.select("node", "weight", F.explode("prefix").alias("pair"))
 
     signed = classes.select("node", "n", "sig")
     left = signed.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("sig").alias("sig_a"))
     right = signed.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b"))
     alike = _sizes_allow(percent) & (_agreements("sig_a", "sig_b") >= matches)
 
-    hubs = postings.groupBy("pair").agg(F.min("node").alias("b"))
-    met = postings.join(hubs, "pair").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    hubs = postings.groupBy("pair").agg(F.max(F.struct("weight", (-F.col("node")).alias("least"))).alias("hub"))
+    met = (
+        postings.join(hubs.select("pair", (-F.col("hub.least")).alias("b")), "pair")
+        .where("node <> b")
+        .select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b"))
+        .distinct()
+    )
     first = written(met.join(left, "a").join(right, "b").where(alike).select("a", "b"), "pairs")
     links = written(_confirmed(first, given, size, percent).union(same_id), "confirmed")
     reached = components(links)
 
     # What is left: members of one list that are still apart.
-    now = postings.join(reached, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = now.groupBy("pair").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    apart = now.join(mixed.select("pair"), "pair", "left_semi").join(signed, "node")
+    now = prefixes.join(reached, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    listed = now.select("node", "component", F.explode("prefix").alias("pair"))
+    mixed = written(
+        listed.groupBy("pair")
+        .agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("node").alias("head"), F.count("*").alias("members"))
+        .where("low <> high")
+        .select("pair", "head", (F.col("members") > long_list).alias("is_long")),
+        "mixed",
+    )
+    short = listed.join(mixed.where("NOT is_long").select("pair"), "pair").join(signed, "node").join(prefixes.select("node", "prefix"), "node")
     one, other = (
-        apart.select(
-            "pair", F.col("node").alias(x), F.col("component").alias(f"c_{x}"), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}")
+        short.select(
+            "pair", *[F.col(c).alias(f"{c}_{x}") for c in ("component", "n", "sig", "prefix")], F.col("node").alias(x)
         )
         for x in "ab"
     )
+    once = F.array_min(F.array_intersect("prefix_a", "prefix_b")) == F.col("pair")
     apart = written(
-        one.join(other, "pair").where("c_a > c_b").where(alike).select("a", "b").distinct().join(first, ["a", "b"], "left_anti"),
+        one.join(other, "pair").where("component_a > component_b").where(_sizes_allow(percent)).where(once).where(alike).select("a", "b"),
         "apart",
     )
     if not apart.isEmpty():
-        reached = components(_confirmed(apart, given, size, percent).union(links))
+        links = written(_confirmed(apart, given, size, percent).union(links), "confirmed")
+        reached = components(links)
+
+    long = mixed.where("is_long").select("pair", "head")
+    if not long.isEmpty():
+        within = listed.select("node", "pair").join(long, "pair")
+        clusters = components(within.select(F.col("node").alias("a"), F.col("head").alias("b")))
+        members = (
+            clusters.select("node", F.col("component").alias("cluster"))
+            .join(reached, "node", "left")
+            .withColumn("component", F.coalesce("component", "node"))
+            .join(signed.select("node", "n"), "node")
+        )
+        reached = components(_cluster_links(written(members, "clusters"), given, size, percent).union(links))
     return (
         rows.join(reached, "node", "left")
         .withColumn("component", F.coalesce("component", "node", "doc_id"))
