@@ -5,6 +5,7 @@ from larder.registry import (  # noqa: F401
     edges,
     forecast,
     inventory,
+    invariants,
     menu,
     models,
     profiles,

@@ -77,18 +77,16 @@ def src7(t):
 
 
 COLUMNS = [
-    ("order_id", "bigint"),
-    ("item_id", "bigint"),
-    ("quantity", "double"),
-    ("cost", "double"),
+    *[(c, "bigint") for c in ("order_id", "item_id", "menu_item_id")],
+    *[(c, "double") for c in ("quantity", "price", "cost", "total_cost", "discount_amount", "commission_amount")],
 ]
 
 
 @query(
     "dq1_quality_report",
-    """WITH f AS (SELECT order_id, item_id, quantity, cost FROM fct_order_items),
+    """WITH f AS (SELECT * FROM fct_order_items UNION ALL SELECT * FROM fct_order_items WHERE order_id % 10 = 0),
             d AS (SELECT CAST(sum(n) AS BIGINT) AS total_rows, CAST(sum(n - 1) AS BIGINT) AS duplicate_rows
-                  FROM (SELECT count(*) AS n FROM f GROUP BY order_id, item_id, quantity, cost))
+                  FROM (SELECT count(*) AS n FROM f GROUP BY order_id, item_id, menu_item_id, quantity, price, cost, total_cost, discount_amount, commission_amount))
     """
     + " UNION ALL ".join(
         f"""SELECT total_rows, duplicate_rows, '{c}' AS column_name, '{kind}' AS data_type,
@@ -97,7 +95,9 @@ COLUMNS = [
     ),
 )
 def dq1(t):
-    return quality.quality_report(t.order_items.select(*[c for c, _ in COLUMNS]))
+    """All lines, those of every tenth order twice, so that there are repeats to count."""
+    lines = t.order_items.select(*[c for c, _ in COLUMNS])
+    return quality.quality_report(lines.union(lines.where("order_id % 10 = 0")))
 
 
 @query(

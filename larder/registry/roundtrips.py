@@ -11,7 +11,7 @@ from larder.operators import inventory, menu
 from larder.registry.base import query, r, rounded
 from larder.registry.inventory import analysis
 from larder.registry.menu import classified, performance
-from larder.session import scratch_path
+from larder.session import scratch_path, written
 from larder.sources import schemas, sinks, tables
 from larder.sources.orders import append_menu_items, append_orders, append_restaurants
 
@@ -92,24 +92,50 @@ def snk1(t):
     return rounded(t.spark.read.schema(schema).option("header", True).csv(paths["classification"]), price=4, revenue=2)
 
 
-@query("snk2_export_inventory_results", "SELECT * FROM alert_totals")
+@query(
+    "snk2_export_inventory_results",
+    """SELECT 'alerts' AS result, count(*) AS rows, count(DISTINCT item_id) AS items FROM alerts UNION ALL
+       SELECT 'analysis', count(*), count(DISTINCT item_id) FROM analysis UNION ALL
+       SELECT 'counts', 1, 0""",
+)
 def snk2(t):
-    found = {"alerts": inventory.stock_alerts(analysis(t))}
+    whole = written(analysis(t), "analysis")
+    alerts = inventory.stock_alerts(whole)
+    found = {"analysis": whole, "alerts": alerts, "summary": inventory.alert_counts(alerts)}
     paths = sinks.export_inventory_results(found, scratch_path(t.spark, "exports"))
-    back = t.spark.read.option("header", True).csv(paths["alerts"])
-    return inventory.alert_counts(back)
+    names = {"alerts": "alerts", "analysis": "analysis", "summary": "counts"}
 
+    def sizes(key):
+        back = t.spark.read.option("header", True).csv(paths[key])
+        items = F.countDistinct("item_id") if "item_id" in back.columns else F.lit(0).cast("long")
+        return back.agg(F.count(F.lit(1)).alias("rows"), items.alias("items")).select(F.lit(names[key]).alias("result"), "rows", "items")
 
-@query(
-    "snk3_export_summary",
-    """SELECT count(*) FILTER (WHERE category = '⭐ Star') AS stars, count(*) FILTER (WHERE category = '🐴 Plowhorse') AS plowhorses,
+    return reduce(DataFrame.unionByName, [sizes(key) for key in names])
+
+
+SUMMARY_SQL = """SELECT (SELECT count(*) FROM dim_items) AS total_items, (SELECT count(DISTINCT place_id) FROM fct_orders) AS total_restaurants,
+              (SELECT count(*) FROM fct_orders) AS total_orders, (SELECT count(*) FROM fct_order_items) AS total_order_items,
+              (SELECT count(*) FROM dim_campaigns) AS total_campaigns,
+              count(*) FILTER (WHERE category = '⭐ Star') AS stars, count(*) FILTER (WHERE category = '🐴 Plowhorse') AS plowhorses,
               count(*) FILTER (WHERE category = '❓ Puzzle') AS puzzles, count(*) FILTER (WHERE category = '🐕 Dog') AS dogs
-       FROM classified""",
-)
-def snk3(t):
+       FROM classified"""
+
+
+def read_summary(t, file_format):
     summary = menu.menu_summary(t.items, t.orders, t.order_items, t.campaigns, classified(t))
-    path = sinks.export_summary(summary, scratch_path(t.spark, "summary"))
-    return t.spark.read.schema(summary.schema).json(path).select("stars", "plowhorses", "puzzles", "dogs")
+    path = sinks.export_summary(summary, scratch_path(t.spark, "summary"), file_format)
+    reader = t.spark.read.schema(summary.schema)
+    return reader.json(path) if file_format == "json" else reader.option("header", True).csv(path)
+
+
+@query("snk3_export_summary", SUMMARY_SQL)
+def snk3(t):
+    return read_summary(t, "json")
+
+
+@query("snk3_export_summary_csv", SUMMARY_SQL)
+def snk3_csv(t):
+    return read_summary(t, "csv")
 
 
 @query("snk4_save_load_thresholds", f"SELECT {r('popularity', 4)}, {r('profitability', 4)} FROM thresholds")

@@ -1,17 +1,17 @@
 """Registered queries against their SQL on the smallest tables; check.py does the same for all of them."""
 
+import os
+import re
+
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
 from check import compare, open_tables
 
 SF = "/root/testdata/sf0.001"
-SAMPLE = (
-    "cb1_hourly_pattern cb8_co_purchased_items cb9_restaurant_performance cl1_scaled_features db6_dashboard_summary "
-    "dq1_quality_report fc3_daily_demand fc7_demand_lags fc8_feature_matrix in5_inventory_analysis "
-    "in20_weekly_recommendations lg1_trim_history me5_menu_matrix me21_item_scores pf1_profile_orders "
-    "pr1_prediction_features src6_ingest_inventory sca1_unix_to_text st5_stream_hourly_orders"
-).split()
+#: Entries that fit models at full size: check.py runs them, and RUN_SLOW=1 here.
+FITTED = ("fc9 fc11 fc12_predict fc13_forecast_all fc13_every pr3 pr5 pr6_predict pr6_every me14 snk4_reloaded cl2 cl3 cl4 cl6 cl7").split()
+CHECKED = sorted(n for n in oracle_sql() if n != "pipeline" and not re.match(r"op\d+_", n))
 
 
 @pytest.fixture(scope="module")
@@ -19,8 +19,10 @@ def con():
     return open_tables(SF)
 
 
-@pytest.mark.parametrize("name", SAMPLE)
+@pytest.mark.parametrize("name", CHECKED)
 def test_query_matches_sql(spark, con, name):
+    if name.startswith(tuple(FITTED)) and not os.environ.get("RUN_SLOW"):
+        pytest.skip("fits models at full size")
     state, detail = compare(spark, con, SF, name, queries()[name], oracle_sql()[name])
     assert state == "ok", detail
 
@@ -32,5 +34,8 @@ def test_entry(spark):
 
 def test_every_query_has_sql_unless_it_is_fitted():
     fitted = {"cl2", "cl3", "cl4", "cl6", "cl7", "pr3", "pr5", "pr6", "me14", "fc9", "fc11", "fc12", "fc13"}
-    without = {n.split("_")[0] for n in queries() if n not in oracle_sql()}
+    own = [n for n in queries() if n != "pipeline" and not re.match(r"op\d+_", n)]
+    without = {n.split("_")[0] for n in own if n not in oracle_sql()}
     assert without == fitted
+    stated = {n.split("_")[0] for n in oracle_sql()}  # what SQL can say about them is an entry of its own
+    assert fitted - stated <= {"cl4", "pr3"}
