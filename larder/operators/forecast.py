@@ -17,6 +17,7 @@ from larder.functions.ranks import exact_percentiles
 from larder.functions.scalars import finite
 from larder.session import shared_dir, written
 
+# ---- fixed values: features in the order the model knows them ----
 FEATURES = [
     "day_of_week",
     "month",

@@ -175,6 +175,7 @@ VIEWS: dict[str, str] = {
                      sum(quantity * price_at_time) AS revenue
               FROM live_order_items GROUP BY 1) s
         LEFT JOIN dim_items ON s.item_id = id""",
+    # ---- fixed values: the labels and message texts in the views below are those of larder/functions/labels.py ----
     "thresholds": """
         SELECT quantile_cont(CAST(order_count AS DOUBLE), 0.5) AS popularity, quantile_cont(price, 0.5) AS profitability
         FROM item_performance""",
