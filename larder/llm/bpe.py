@@ -23,12 +23,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from larder.llm.columns import load, needs, own_name
+from larder.llm.columns import in_small_batches, load, needs, own_name, tidy
 from larder.llm.registered import query
 
-GROUP_BYTES = 1 << 22  # of text or tokens worked on at a time
-WORDS_AT_ONCE = 40_000  # pieces given to one recursive query
-KNOWN_WORDS = 500_000  # pieces remembered by a worker
+GROUP_BYTES = 1 << 20  # of text or tokens worked on at a time
+WORDS_AT_ONCE = 20_000  # pieces given to one recursive query
+KNOWN_WORDS = 300_000  # pieces remembered by a worker
 LONG = 64  # bytes from which a piece takes the query for long pieces
 _SHIFT = 1 << 32
 
@@ -289,24 +289,25 @@ def _texts(column: pa.Array) -> list[bytes]:
     return [b"" if v is None else v for v in column.cast(pa.large_binary()).to_pylist()]
 
 
-def _as_binary(column: pa.Array) -> list[np.ndarray]:
-    return [np.zeros(0, np.int32) if v is None else np.frombuffer(v, dtype="<u4").astype(np.int32) for v in column.to_pylist()]
+def _mapped(docs: DataFrame, column: str, added: str, kind: T.DataType, read, work) -> DataFrame:
+    """``docs`` with a column made from another by ``work`` over groups of rows; the other columns pass through.
 
-
-def _mapped(docs: DataFrame, column: str, added: str, kind: T.DataType, work) -> DataFrame:
-    """``docs`` with a column made from another by ``work`` over groups of rows; the other columns pass through."""
+    Rows leave group by group, so a task holds the results of one group only.
+    """
     schema = T.StructType([f for f in docs.schema.fields if f.name.lower() != added.lower()] + [T.StructField(added, kind)])
     names = [f.name for f in schema.fields]
     source = own_name(docs, "source")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = batch.column(len(batch.schema) - 1)
-            made = pa.array(work(values), pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], made], names=names)
+            values = read(batch.column(len(batch.schema) - 1))
+            for a, b in _grouped([len(v) for v in values]):
+                made = pa.array(work(values[a:b]), pa.binary())
+                kept = [c.slice(a, b - a) for c in batch.columns[:-1]]
+                yield pa.RecordBatch.from_arrays([*kept, made], names=names)
 
     kept = docs.select(*[f"`{n}`" for n in names[:-1]], docs[f"`{column}`"].alias(source))
-    return kept.mapInArrow(run, schema)
+    return in_small_batches(kept).mapInArrow(tidy(run), schema)
 
 
 def encode(
@@ -326,27 +327,24 @@ def encode(
     """
     needs(docs, text_col)
 
-    def work(values: pa.Array) -> list[bytes]:
-        tool, texts, made = tokenizer(ranks_path, pattern), _texts(values), []
-        for a, b in _grouped([len(t) for t in texts]):
-            tokens = tool.encode(texts[a:b])
-            if verify and tool.decode(tokens) != texts[a:b]:
-                raise ValueError("a text does not survive encoding and decoding")
-            made += [ids.astype("<u4").tobytes() for ids in tokens]
-        return made
+    def work(texts: list[bytes]) -> list[bytes]:
+        tool = tokenizer(ranks_path, pattern)
+        tokens = tool.encode(texts)
+        if verify and tool.decode(tokens) != texts:
+            raise ValueError("a text does not survive encoding and decoding")
+        return [ids.astype("<u4").tobytes() for ids in tokens]
 
-    return _mapped(docs, text_col, ids_col, T.BinaryType(), work)
+    return _mapped(docs, text_col, ids_col, T.BinaryType(), _texts, work)
 
 
 def decode(docs: DataFrame, ranks_path: str, ids_col: str = "ids", decoded_col: str = "decoded", pattern: str = _PLAIN) -> DataFrame:
     """``docs`` with ``decoded_col``: the bytes that the ids stand for (binary). Null ids count as none."""
     needs(docs, ids_col)
 
-    def work(values: pa.Array) -> list[bytes]:
-        tool, tokens = tokenizer(ranks_path, pattern), _as_binary(values)
-        return [text for a, b in _grouped([4 * len(t) for t in tokens]) for text in tool.decode(tokens[a:b])]
+    def work(packed: list[bytes]) -> list[bytes]:
+        return tokenizer(ranks_path, pattern).decode([np.frombuffer(p, dtype="<u4").astype(np.int32) for p in packed])
 
-    return _mapped(docs, ids_col, decoded_col, T.BinaryType(), work)
+    return _mapped(docs, ids_col, decoded_col, T.BinaryType(), _texts, work)
 
 
 def digests(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", pattern: str = _PLAIN) -> DataFrame:
@@ -369,7 +367,7 @@ def digests(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col:
 
     given = docs.select(docs[f"`{id_col}`"].alias("id"), docs[f"`{text_col}`"].alias("text"))
     kind = given.schema["id"].dataType.simpleString()
-    return given.mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
+    return in_small_batches(given).mapInArrow(tidy(run), f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
 
 
 @query("op5_byte_bpe")

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,3 +40,35 @@ def without_results(df: DataFrame, *results: str) -> DataFrame:
     """``df`` without the columns an operator is about to add: its results win over columns of the same name."""
     lowered = {r.lower() for r in results}
     return df.drop(*[c for c in df.columns if c.lower() in lowered])
+
+
+#: Rows and bytes of text that go to a Python worker at a time.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after lowering its session's limits on Arrow batches to what whole texts allow.
+
+    Ten thousand texts in a batch would be held several times over by the executor and its workers. Limits that are lower
+    already stay.
+    """
+    conf = df.sparkSession.conf
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = conf.get(key).rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            conf.set(key, str(most))
+    return df
+
+
+def tidy(run: Callable) -> Callable:
+    """``run`` over a task's batches, handing unused Arrow memory back at its end: workers outlive their tasks."""
+
+    @wraps(run)
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return wrapped

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larder.llm.columns import load, needs, own_name
+from larder.llm.columns import in_small_batches, load, needs, own_name, tidy
 from larder.llm.registered import query
 
 DIMENSIONS = 4096
@@ -135,7 +135,7 @@ def fit(
         for batch in batches:
             yield pd.DataFrame({"lang": batch["lang"], "grams": [counts(t) for t in batch["text"]]})
 
-    counted = sample.mapInPandas(vectors, "lang string, grams array<double>").persist()
+    counted = in_small_batches(sample).mapInPandas(vectors, "lang string, grams array<double>").persist()
 
     def frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen, n = np.zeros(DIMENSIONS), 0
@@ -146,6 +146,7 @@ def fit(
         yield pd.DataFrame({"n": [n], "seen": [seen]})
 
     try:
+        counted.count()  # vectors first and sums afterwards, so that a task never runs two Python workers
         parts = counted.coalesce(8).mapInPandas(frequencies, "n long, seen array<double>").collect()
         n = sum(r["n"] for r in parts)
         idf = np.log((1 + n) / (1 + np.sum([r["seen"] for r in parts], axis=0))) + 1
@@ -188,7 +189,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
 
     text = docs[f"`{text_col}`"]
     given = docs.select(*[f"`{c}`" for c in kept], text.alias(source), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias(letters))
-    return given.mapInArrow(run, schema)
+    return in_small_batches(given).mapInArrow(tidy(run), schema)
 
 
 @query("op10_language_id")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm.columns import load, needs
+from larder.llm.columns import in_small_batches, load, needs, tidy
 from larder.llm.registered import query
 
 # Usual notices of public licenses, each with the words that tell it from the others.
@@ -131,8 +131,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             )
 
     given = blocks.select("id", "b.line", "b.piece", "b.block")
-    return given.mapInArrow(
-        run, f"id {kind}, line int, piece int, block string, license string, template int, saved double, different int"
+    return in_small_batches(given).mapInArrow(
+        tidy(run), f"id {kind}, line int, piece int, block string, license string, template int, saved double, different int"
     ).select(F.col("id").alias(id_col), "line", "piece", "license", "template", "saved", "different", "block")
 
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm.columns import load, needs
+from larder.llm.columns import in_small_batches, load, needs, tidy
 from larder.llm.components import components
 from larder.llm.registered import query
 from larder.llm.words import shingle_sets
@@ -147,7 +147,7 @@ def _sets_of(nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     marked = np.zeros(_MARKS // 8 + 4096, dtype=np.uint8)
     for bucket, bits in parts.collect():  # at most _MARKS / 32768 rows of 4 KB
         marked[(bucket - 1) * 4096 : bucket * 4096] |= np.frombuffer(bits, dtype=np.uint8)
-    return docs.mapInArrow(_sets(size, marked), "node long, members array<long>")
+    return in_small_batches(docs).mapInArrow(tidy(_sets(size, marked)), "node long, members array<long>")
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -257,8 +257,8 @@ def near_duplicates(
     needs(docs, id_col, text_col)
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     marked = written(
-        given.mapInArrow(
-            _signatures(size, coordinates), "doc_id long, n_shingles long, set_key binary, sig array<int>"
+        in_small_batches(given).mapInArrow(
+            tidy(_signatures(size, coordinates)), "doc_id long, n_shingles long, set_key binary, sig array<int>"
         ),
         "signatures",
     )
