@@ -2,8 +2,8 @@
 
 A text's lines become blocks (a line, or for long lines pieces of words); blocks with a cue word are candidates. Each
 candidate is compressed with zstandard once alone and once per template with that template as a raw dictionary: the more of a
-block's wording a template has, the smaller the block gets. Templates are ranked by the size reduction, and the best are
-confirmed on the words themselves: the template's words, compared in order with the block's, may differ in at most
+block's wording a template has, the smaller the block gets. Templates are ranked by the size reduction, which only orders them:
+each is confirmed, best first, on the words themselves: the template's words, compared in order with the block's, may differ in at most
 ``most_different`` of them, and words that name the license must all be there.
 
 Candidates are found with Spark functions; only their blocks go to the tasks that compress. Nothing is shuffled.
@@ -63,7 +63,7 @@ def different_words(template: list[str], block: list[str]) -> int:
 class Scanner:
     """The templates of one worker as zstandard dictionaries."""
 
-    def __init__(self, templates=TEMPLATES, most_different: float = 0.15, finalists: int = 4):
+    def __init__(self, templates=TEMPLATES, most_different: float = 0.15):
         import zstandard
 
         self._plain = zstandard.ZstdCompressor(level=3, write_checksum=False, write_content_size=False)
@@ -72,7 +72,7 @@ class Scanner:
             raw = zstandard.ZstdCompressionDict(" ".join(words_of(text)).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             coder = zstandard.ZstdCompressor(level=3, dict_data=raw, write_checksum=False, write_content_size=False, write_dict_id=False)
             self._templates.append((name, words_of(text), marks, coder))
-        self._most, self._finalists = most_different, finalists
+        self._most = most_different
 
     def scan(self, block: str) -> tuple[str, int, float, int] | None:
         """(license, template number, share of the size saved, different words) of the confirmed winner, or None."""
@@ -83,9 +83,9 @@ class Scanner:
         alone = len(self._plain.compress(data))
         saved = sorted(((len(coder.compress(data)) - alone, i) for i, (*_, coder) in enumerate(self._templates)))
         best = None
-        for less, i in saved[: self._finalists]:
+        for less, i in saved:
             name, wording, marks, _ = self._templates[i]
-            if less >= 0 or not set(marks) <= set(found):
+            if not set(marks) <= set(found):
                 continue
             off = different_words(wording, found)
             if off <= self._most * len(wording) and (best is None or (off / len(wording), less) < best[0]):

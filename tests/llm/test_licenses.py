@@ -17,6 +17,11 @@ def test_other_wordings_are_not_confirmed():
     assert scanner.scan("Licensed under CC BY-SA 4.0.")[0] == "CC-BY-SA-4.0" and scanner.scan("Licensed under CC BY 4.0.")[0] == "CC-BY-4.0"
 
 
+@pytest.mark.parametrize("name, notice", [("CC-BY-4.0", "CC BY 4.0"), ("CC-BY-SA-4.0", "CC BY-SA 4.0"), ("CC-BY-NC-4.0", "CC BY-NC 4.0"), ("Apache-2.0", "the Apache License, Version 2.0")])
+def test_the_right_template_need_not_be_ranked_first(name, notice):
+    assert Scanner().scan(f"This work is licensed under {notice}.")[0] == name
+
+
 def test_different_words():
     a = words_of("released under the mit license")
     assert different_words(a, a) == 0
