@@ -4,7 +4,8 @@ A text's lines become blocks (a line, or for long lines pieces of words); blocks
 candidate is compressed with zstandard once alone and once per template with that template as a raw dictionary: the more of a
 block's wording a template has, the smaller the block gets. Templates are ranked by the size reduction, which only orders them:
 each is confirmed, best first, on the words themselves: the template's words, compared in order with the block's, may differ in at most
-``most_different`` of them, and words that name the license must all be there.
+``most_different`` of them, and words that name the license must all be there. Of notices that overlap, one whose words lie
+inside a better one's goes, and so does one that shares words with a better one of the same license.
 
 Candidates are found with Spark functions; only their blocks go to the tasks that compress. Nothing is shuffled.
 """
@@ -12,9 +13,11 @@ Candidates are found with Spark functions; only their blocks go to the tasks tha
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from difflib import SequenceMatcher
+from bisect import bisect_left, bisect_right, insort
+from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,13 +54,37 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def placed(template: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each end in the block (0 to its length): the least different words of a stretch that ends there, and its start.
+
+    Different words are words of the template that the stretch lacks in order, plus words that it adds.
+    """
+    n = len(block)
+    at, one = np.arange(n + 1), n + 2  # a different word outweighs any start
+    least = n - at  # of equal stretches the shortest
+    for word in template:
+        step = least + one
+        step[1:] = np.where(block == word, np.minimum(step[1:], least[:-1]), step[1:])
+        least = np.minimum.accumulate(step - at * one) + at * one
+    return least // one, n - least % one
+
+
 def different_words(template: list[str], block: list[str]) -> int:
     """Words of the template that the block lacks in order, plus words inside the matched stretch that it adds."""
-    same = [m for m in SequenceMatcher(None, template, block, autojunk=False).get_matching_blocks() if m.size]
-    if not same:
-        return len(template)
-    common = sum(m.size for m in same)
-    return len(template) - common + (same[-1].b + same[-1].size - same[0].b) - common
+    number = {w: i for i, w in enumerate(dict.fromkeys(template))}
+    return int(placed(np.array([number[w] for w in template], dtype=np.int64), np.array([number.get(w, -1) for w in block], dtype=np.int64))[0].min())
+
+
+class Match(NamedTuple):
+    """A template found in a text: words start to end (excluded), share of different words, bytes less (negative), the rest."""
+
+    share: float
+    less: int
+    start: int
+    end: int
+    template: int
+    saved: float
+    different: int
 
 
 class Scanner:
@@ -67,30 +94,63 @@ class Scanner:
         import zstandard
 
         self._plain = zstandard.ZstdCompressor(level=3, write_checksum=False, write_content_size=False)
-        self._templates = []
+        self._templates, self._numbers = [], {}
         for name, text, marks in templates:
-            raw = zstandard.ZstdCompressionDict(" ".join(words_of(text)).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            wording = words_of(text)
+            raw = zstandard.ZstdCompressionDict(" ".join(wording).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             coder = zstandard.ZstdCompressor(level=3, dict_data=raw, write_checksum=False, write_content_size=False, write_dict_id=False)
-            self._templates.append((name, words_of(text), marks, coder))
+            coded = np.array([self._numbers.setdefault(w, len(self._numbers)) for w in wording], dtype=np.int64)
+            self._templates.append((name, wording, frozenset(marks), coder, coded))
         self._most = most_different
-
-    def scan(self, block: str) -> tuple[str, int, float, int] | None:
-        """(license, template number, share of the size saved, different words) of the confirmed winner, or None."""
-        found = words_of(block)
+        self._longest = max((len(t[1]) for t in self._templates), default=0)
+
+    def matches(self, found: list[str], lines: list[int]) -> list[Match]:
+        """Every confirmed place of every template in a block's words (``lines``: each word's line), also overlapping ones.
+
+        The marks have to be on the lines of the place.
+        """
+        have = set(found)
+        able = [
+            i for i, (_, wording, marks, *_) in enumerate(self._templates)
+            if marks <= have and sum(w not in have for w in wording) <= self._most * len(wording)
+        ]
+        if not able:
+            return []
         data = " ".join(found).encode()
-        if not data:
-            return None
         alone = len(self._plain.compress(data))
-        saved = sorted(((len(coder.compress(data)) - alone, i) for i, (*_, coder) in enumerate(self._templates)))
-        best = None
-        for less, i in saved:
-            name, wording, marks, _ = self._templates[i]
-            if not set(marks) <= set(found):
-                continue
-            off = different_words(wording, found)
-            if off <= self._most * len(wording) and (best is None or (off / len(wording), less) < best[0]):
-                best = ((off / len(wording), less), (name, i, round(-less / alone, 4), off))
-        return best[1] if best else None
+        block = np.array([self._numbers.get(w, -1) for w in found], dtype=np.int64)
+        out = []
+        for less, i in sorted((len(self._templates[i][3].compress(data)) - alone, i) for i in able):
+            _, wording, marks, _, coded = self._templates[i]
+            off, starts = placed(coded, block)
+            for end in np.flatnonzero(off <= self._most * len(wording)).tolist():
+                start, different = int(starts[end]), int(off[end])
+                if start < end:
+                    beside = found[bisect_left(lines, lines[start]) : bisect_right(lines, lines[end - 1])]
+                    if marks <= set(beside):
+                        out.append(Match(different / len(wording), less, start, end, i, round(-less / alone, 4), different))
+        return out
+
+    def best(self, matches: Iterable[Match]) -> list[Match]:
+        """The matches that are not inside a better one's words and share none with a better one of the same license."""
+        kept: list[tuple[int, int, str]] = []
+        out = []
+        for m in sorted(matches):
+            name = self._templates[m.template][0]
+            near = kept[bisect_left(kept, (m.start - 2 * self._longest,)) : bisect_left(kept, (m.end,))]
+            if not any(start <= m.start and m.end <= end or name == other and m.start < end for start, end, other in near):
+                insort(kept, (m.start, m.end, name))
+                out.append(m)
+        return out
+
+    def scan_all(self, block: str) -> list[tuple[str, int, float, int]]:
+        """(license, template number, share of the size saved, different words) of each confirmed notice, best first."""
+        found = words_of(block)
+        return [(self._templates[m.template][0], m.template, m.saved, m.different) for m in self.best(self.matches(found, [0] * len(found)))]
+
+    def scan(self, block: str) -> tuple[str, int, float, int] | None:
+        """The best of scan_all, or None."""
+        return next(iter(self.scan_all(block)), None)
 
 
 def candidate_blocks(text: Column, words_per_block: int = 60, overlap: int = 30) -> Column:
@@ -108,7 +168,7 @@ def candidate_blocks(text: Column, words_per_block: int = 60, overlap: int = 30)
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, most_different: float = 0.15) -> DataFrame:
-    """One row per block with a confirmed license: id, line, piece, license, template, saved, different, block.
+    """One row per confirmed notice of a block: id, line, piece, license, template, saved, different, block.
 
     line counts from 0; piece counts the pieces of a long line (neighbouring pieces overlap by half, so a notice on a piece's
     edge is whole in one of them). Texts without a cue, empty and null ones give no row; repeated rows give theirs
@@ -122,10 +182,9 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(templates, most_different)
         for batch in batches:
-            found = [scanner.scan(b) for b in batch.column("block").to_pylist()]
-            keep = [i for i, f in enumerate(found) if f]
-            hits = batch.take(pa.array(keep, pa.int64()))
-            made = [pa.array([found[i][k] for i in keep], t) for k, t in enumerate((pa.string(), pa.int32(), pa.float64(), pa.int32()))]
+            found = [(i, f) for i, b in enumerate(batch.column("block").to_pylist()) for f in scanner.scan_all(b)]
+            hits = batch.take(pa.array([i for i, _ in found], pa.int64()))
+            made = [pa.array([f[k] for _, f in found], t) for k, t in enumerate((pa.string(), pa.int32(), pa.float64(), pa.int32()))]
             yield pa.RecordBatch.from_arrays(
                 [*hits.columns, *made], names=[*hits.schema.names, "license", "template", "saved", "different"]
             )

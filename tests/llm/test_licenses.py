@@ -22,6 +22,13 @@ def test_the_right_template_need_not_be_ranked_first(name, notice):
     assert Scanner().scan(f"This work is licensed under {notice}.")[0] == name
 
 
+def test_every_notice_of_a_block(spark):
+    both = "Released under the MIT License. Licensed under the Apache License, Version 2.0."
+    rows = [(1, both), (2, f"{both} {both}"), (3, f"x {TEMPLATES[1][1]} y {TEMPLATES[8][1]}")]
+    got = sorted((r.doc_id, r.license) for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, "Apache-2.0"), (1, "MIT"), (2, "Apache-2.0"), (2, "Apache-2.0"), (2, "MIT"), (2, "MIT"), (3, "Apache-2.0"), (3, "CC0-1.0")]
+
+
 def test_different_words():
     a = words_of("released under the mit license")
     assert different_words(a, a) == 0
