@@ -1,13 +1,13 @@
 """License scans by conditional compression.
 
-A text's lines become blocks (a line, or for long lines pieces of words); blocks with a cue word are candidates. Each
-candidate is compressed with zstandard once alone and once per template with that template as a raw dictionary: the more of a
-block's wording a template has, the smaller the block gets. Templates are ranked by the size reduction, which only orders them:
-each is confirmed, best first, on the words themselves: the template's words, compared in order with the block's, may differ in at most
-``most_different`` of them, and words that name the license must all be there. Of notices that overlap, one whose words lie
-inside a better one's goes, and so does one that shares words with a better one of the same license.
-
-Candidates are found with Spark functions; only their blocks go to the tasks that compress. Nothing is shuffled.
+A text becomes overlapping windows of words, regardless of its lines; a window with all the words that name a template's
+license (its marks) is a candidate. It is compressed with zstandard once alone and once per such template with that template
+as a raw dictionary: the more of a window's wording a template has, the smaller it gets. The size reduction only orders the
+templates: each is confirmed, best first, on the words themselves: the template's words, compared in order with the window's,
+may differ in at most ``most_different`` of them, and the marks must all be on the lines of the match. Of notices that
+overlap, one whose words lie inside a better one's goes, and so does one that shares words with a better one of the same license.
+
+Each text is scanned where it is read. Nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -15,11 +15,12 @@ from __future__ import annotations
 import re
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterable, Iterator
+from itertools import islice
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.llm.columns import in_small_batches, load, needs, tidy
@@ -45,7 +46,8 @@ TEMPLATES = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", ("mozilla", "2.0")),
     ("Unlicense", "This is free and unencumbered software released into the public domain.", ("unencumbered", "public", "domain")),
 )
-CUE = r"(?i)licen[sc]e|permission is hereby|public domain|\bCC0\b"
+LEAST_WINDOW = 120  # words
+ROWS_OUT = 1000  # notices that leave a task at a time
 
 _WORD = re.compile(r"[a-z0-9]+(?:[.\-][a-z0-9]+)*")
 
@@ -54,6 +56,17 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def has_word(text: str, word: str) -> bool:
+    """Whether a lower-cased text has ``word`` with no letter or digit beside it: any text with that word does."""
+    at = text.find(word)
+    while at >= 0:
+        before, after = text[at - 1 : at] if at else "", text[at + len(word) : at + len(word) + 1]
+        if not (before.isascii() and before.isalnum()) and not (after.isascii() and after.isalnum()):
+            return True
+        at = text.find(word, at + 1)
+    return False
+
+
 def placed(template: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each end in the block (0 to its length): the least different words of a stretch that ends there, and its start.
 
@@ -103,6 +116,7 @@ class Scanner:
             self._templates.append((name, wording, frozenset(marks), coder, coded))
         self._most = most_different
         self._longest = max((len(t[1]) for t in self._templates), default=0)
+        self._window = max(LEAST_WINDOW, 4 * self._longest)
 
     def matches(self, found: list[str], lines: list[int]) -> list[Match]:
         """Every confirmed place of every template in a block's words (``lines``: each word's line), also overlapping ones.
@@ -143,6 +157,44 @@ class Scanner:
                 out.append(m)
         return out
 
+    def windows(self, text: str) -> Iterator[tuple[int, list[str], list[int], list[tuple[int, int]]]]:
+        """(number, words, each word's line, each word's start and end) of a lower-cased text, each window from the last one's middle.
+
+        A window has four times the words of the longest template, so that some window holds all of any match.
+        """
+        number = line = seen = fresh = 0
+        words, lines, spans = [], [], []
+        for m in _WORD.finditer(text):
+            line += text.count("\n", seen, m.start())
+            seen = m.start()
+            words.append(m.group())
+            lines.append(line)
+            spans.append(m.span())
+            fresh += 1
+            if len(words) == self._window:
+                yield number, words, lines, spans
+                number, fresh, half = number + 1, 0, self._window // 2
+                words, lines, spans = words[half:], lines[half:], spans[half:]
+        if fresh:
+            yield number, words, lines, spans
+
+    def notices(self, text: str) -> Iterator[tuple[int, int, str, str, int, float, int]]:
+        """(line, piece, block, license, template number, share of the size saved, different words) of a text, in order."""
+        low = text.lower()
+        if not any(all(has_word(low, w) for w in marks) for _, _, marks, *_ in self._templates):
+            return
+        places, extent = {}, {}
+        for piece, words, lines, spans in self.windows(low):
+            first = piece * (self._window // 2)
+            for m in self.matches(words, lines):
+                places[m._replace(start=first + m.start, end=first + m.end)] = lines[m.start], piece
+                extent[piece] = spans[0][0], spans[-1][1]
+        shown = text if len(text) == len(low) else low
+        for m in sorted(self.best(places), key=lambda m: (m.start, m.end, m.template)):
+            line, piece = places[m]
+            begin, end = extent[piece]
+            yield line, piece, shown[begin:end], self._templates[m.template][0], m.template, m.saved, m.different
+
     def scan_all(self, block: str) -> list[tuple[str, int, float, int]]:
         """(license, template number, share of the size saved, different words) of each confirmed notice, best first."""
         found = words_of(block)
@@ -153,46 +205,32 @@ class Scanner:
         return next(iter(self.scan_all(block)), None)
 
 
-def candidate_blocks(text: Column, words_per_block: int = 60, overlap: int = 30) -> Column:
-    """Array of (line, piece, block) structs: the cued lines of a text, long ones as overlapping pieces of words."""
-    step = words_per_block - overlap
-    lines = F.transform(F.split(text, r"\n"), lambda line, i: F.struct(i.alias("line"), line.alias("words")))
-    cued = F.filter(lines, lambda x: x["words"].rlike(CUE))
-
-    def pieces(x: Column) -> Column:
-        w = F.split(F.trim(x["words"]), r"\s+")
-        starts = F.sequence(F.lit(0), F.floor(F.greatest(F.size(w) - overlap - 1, F.lit(0)) / step).cast("int"))
-        return F.transform(starts, lambda k: F.struct(x["line"].alias("line"), k.alias("piece"), F.array_join(F.slice(w, k * step + 1, words_per_block), " ").alias("block")))
-
-    return F.filter(F.flatten(F.transform(cued, pieces)), lambda b: b["block"].rlike(CUE))
-
-
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, most_different: float = 0.15) -> DataFrame:
-    """One row per confirmed notice of a block: id, line, piece, license, template, saved, different, block.
+    """One row per confirmed notice: id, line, piece, license, template, saved, different, block.
 
-    line counts from 0; piece counts the pieces of a long line (neighbouring pieces overlap by half, so a notice on a piece's
-    edge is whole in one of them). Texts without a cue, empty and null ones give no row; repeated rows give theirs
-    again; a null id stays null. Other columns are not read.
+    line counts from 0 and is where the matched words start, wherever they end; piece counts the text's windows, and block is
+    the window that the notice was confirmed in (neighbouring ones overlap by half, so a notice on a window's edge is whole in
+    one of them; it is one row). Empty and null texts, and those without the marks of any template, give no row; repeated rows
+    give theirs again; a null id stays null. Other columns are not read.
     """
     needs(docs, id_col, text_col)
-    text = F.col(text_col)
-    blocks = docs.where(text.rlike(CUE)).select(F.col(id_col).alias("id"), F.explode(candidate_blocks(text)).alias("b"))
     kind = docs.schema[id_col].dataType.simpleString()
+    columns = f"id {kind}, line int, piece int, block string, license string, template int, saved double, different int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(templates, most_different)
+        kinds = (pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.float64(), pa.int32())
         for batch in batches:
-            found = [(i, f) for i, b in enumerate(batch.column("block").to_pylist()) for f in scanner.scan_all(b)]
-            hits = batch.take(pa.array([i for i, _ in found], pa.int64()))
-            made = [pa.array([f[k] for _, f in found], t) for k, t in enumerate((pa.string(), pa.int32(), pa.float64(), pa.int32()))]
-            yield pa.RecordBatch.from_arrays(
-                [*hits.columns, *made], names=[*hits.schema.names, "license", "template", "saved", "different"]
-            )
-
-    given = blocks.select("id", "b.line", "b.piece", "b.block")
-    return in_small_batches(given).mapInArrow(
-        tidy(run), f"id {kind}, line int, piece int, block string, license string, template int, saved double, different int"
-    ).select(F.col("id").alias(id_col), "line", "piece", "license", "template", "saved", "different", "block")
+            found = ((i, n) for i, t in enumerate(batch.column("text")) for n in scanner.notices(t.as_py()))
+            while some := list(islice(found, ROWS_OUT)):
+                ids = batch.column("id").take(pa.array([i for i, _ in some], pa.int64()))
+                made = [pa.array([n[k] for _, n in some], t) for k, t in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays([ids, *made], names=["id", "line", "piece", "block", "license", "template", "saved", "different"])
+
+    given = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return in_small_batches(given).mapInArrow(tidy(run), columns).select(
+        F.col("id").alias(id_col), "line", "piece", "license", "template", "saved", "different", "block"
+    )
 
 
 @query("op3_licenses")

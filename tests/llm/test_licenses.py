@@ -29,6 +29,29 @@ def test_every_notice_of_a_block(spark):
     assert got == [(1, "Apache-2.0"), (1, "MIT"), (2, "Apache-2.0"), (2, "Apache-2.0"), (2, "MIT"), (2, "MIT"), (3, "Apache-2.0"), (3, "CC0-1.0")]
 
 
+def test_notices_over_several_lines(spark):
+    mit, mpl, cc = TEMPLATES[14][1], TEMPLATES[15][1], TEMPLATES[5][1]
+    wrap = lambda text, at: text.replace(f"{at} ", f"{at}\n# ")
+    rows = [(1, "code\n\n" + wrap(mit, "copy")), (2, "# " + wrap(mpl, "Public")), (3, "x\n" + wrap(cc, "Commons")), (4, "word " * 55 + mit + " word" * 300 + "\n" + wrap(wrap(mpl, "Source"), "the"))]
+    got = sorted((r.doc_id, r.line, r.license, r.different) for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 2, "MIT", 0), (2, 0, "MPL-2.0", 0), (3, 1, "CC-BY-4.0", 0), (4, 0, "MIT", 0), (4, 1, "MPL-2.0", 0)]
+
+
+def test_notices_at_every_place_of_a_window():
+    scanner = Scanner()
+    for before in range(0, 200, 3):
+        text = "word\n" * before + TEMPLATES[14][1].replace(" ", "\n") + "\nword" * 150
+        assert [(n[0], n[3], n[6]) for n in scanner.notices(text)] == [(before, "MIT", 0)]
+
+
+def test_a_long_template_without_a_usual_word(spark):
+    terms = " ".join(f"term{i}" for i in range(500))
+    own = (("Own", f"{terms} frobnication", ("frobnication",)),)
+    texts = [terms.replace(" ", "\n") + "\nfrobnication", "a b\n" * 700 + f"{terms} frobnication", terms]
+    got = scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), templates=own).collect()
+    assert sorted((r.doc_id, r.line, r.license, r.different) for r in got) == [(0, 0, "Own", 0), (1, 700, "Own", 0)]
+
+
 def test_different_words():
     a = words_of("released under the mit license")
     assert different_words(a, a) == 0
