@@ -25,6 +25,7 @@ from larder.llm.columns import in_small_batches, load, needs, own_name, tidy
 from larder.llm.registered import query
 
 DIMENSIONS = 4096
+LOW = 0.01  # share of a language's sample that may be too unlike the rest to set its floor
 _SLICE = 1 << 20  # bytes counted at a time
 
 # Bytes in lower case; everything in ASCII that is no letter is a blank.
@@ -61,18 +62,8 @@ def weighted(total: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return vector / length if length else vector
 
 
-def spherical_kmeans(vectors: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
-    """At most k unit centroids; starts from the vector farthest from those chosen before, so runs are alike."""
-    mean = vectors.mean(axis=0)
-    centres = [vectors[int(np.argmax(vectors @ mean))]]
-    nearest = vectors @ centres[0]
-    while len(centres) < min(k, len(vectors)):
-        far = int(np.argmin(nearest))
-        if nearest[far] > 1 - 1e-9:
-            break
-        centres.append(vectors[far])
-        nearest = np.maximum(nearest, vectors @ vectors[far])
-    centres = np.array(centres)
+def _settled(vectors: np.ndarray, centres: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unit centroids after at most so many rounds of k-means, and how many vectors are nearest to each."""
     for _ in range(rounds):
         own = np.argmax(vectors @ centres.T, axis=1)
         moved = np.array([vectors[own == c].mean(axis=0) if (own == c).any() else centres[c] for c in range(len(centres))])
@@ -80,7 +71,37 @@ def spherical_kmeans(vectors: np.ndarray, k: int, rounds: int = 12) -> np.ndarra
         if np.allclose(moved, centres):
             break
         centres = moved
-    return centres
+    return centres, np.bincount(np.argmax(vectors @ centres.T, axis=1), minlength=len(centres))
+
+
+def spherical_kmeans(vectors: np.ndarray, k: int, rounds: int = 12, least_share: float = 0.05, tries: int = 8) -> np.ndarray:
+    """At most k unit centroids, each of at least two vectors and ``least_share`` of them (one centroid if there is no more).
+
+    Starts are drawn as in k-means++ with a fixed seed, so runs on the same rows in the same order are alike. Vectors that end
+    in too small a cluster start none in the next try; after the last, such clusters are given up and their vectors join others.
+    """
+    draw = np.random.default_rng(20240521)
+    least = min(max(2, least_share * len(vectors)), len(vectors))
+    may = np.ones(len(vectors), dtype=bool)
+    kept = None
+    for _ in range(tries):
+        starts = [int(draw.choice(np.flatnonzero(may)))]
+        while len(starts) < k:
+            far = np.where(may, 1 - (vectors @ vectors[starts].T).max(axis=1), 0)
+            far[far < 1e-9] = 0
+            if not far.any():
+                break
+            starts.append(int(draw.choice(len(vectors), p=far / far.sum())))
+        centres, sizes = _settled(vectors, vectors[starts], rounds)
+        while len(centres) > 1 and sizes.min() < least:
+            alone = np.argmax(vectors @ centres.T, axis=1) == np.argmin(sizes)
+            may &= ~alone
+            centres, sizes = _settled(vectors, np.delete(centres, np.argmin(sizes), axis=0), rounds)
+        if kept is None or len(centres) > len(kept):
+            kept = centres
+        if len(kept) == len(starts) or not may.any():
+            break
+    return kept
 
 
 class Model:
@@ -111,8 +132,8 @@ def fit(
     """Centroids from the labelled rows (those with text and language; texts without a letter teach nothing).
 
     At most ``per_language`` texts of a language are used: those with the least hash of id and text. A language's floor
-    is ``slack`` times the least cosine that its own texts reach, so that only texts unlike anything in the sample fall
-    below. Raises ValueError if no row has both text and language.
+    is ``slack`` times the cosine that all but a hundredth of its own texts reach, so that a few odd ones do not lower it and
+    only texts unlike nearly all of the sample fall below. Raises ValueError if no row has both text and language.
     """
     needs(labelled, text_col, lang_col, id_col)
     rows = (
@@ -129,13 +150,13 @@ def fit(
     if not least:
         raise ValueError("no labelled texts to learn from")
     bound = F.create_map(*[F.lit(x) for pair in least.items() for x in pair])
-    sample = rows.where(F.col("h") <= F.element_at(bound, F.col("lang"))).dropDuplicates(["lang", "h"]).select("lang", "text")
+    sample = rows.where(F.col("h") <= F.element_at(bound, F.col("lang"))).dropDuplicates(["lang", "h"]).select("lang", "h", "text")
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"lang": batch["lang"], "grams": [counts(t) for t in batch["text"]]})
+            yield pd.DataFrame({"lang": batch["lang"], "h": batch["h"], "grams": [counts(t) for t in batch["text"]]})
 
-    counted = in_small_batches(sample).mapInPandas(vectors, "lang string, grams array<double>").persist()
+    counted = in_small_batches(sample).mapInPandas(vectors, "lang string, h long, grams array<double>").persist()
 
     def frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen, n = np.zeros(DIMENSIONS), 0
@@ -152,10 +173,9 @@ def fit(
         idf = np.log((1 + n) / (1 + np.sum([r["seen"] for r in parts], axis=0))) + 1
 
         def centres(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-            own = np.array([weighted(np.asarray(g), idf) for g in group["grams"]])
-            own = own[np.lexsort(own.T[:8])]
+            own = np.array([weighted(np.asarray(g), idf) for g in group.sort_values("h")["grams"]])
             found = spherical_kmeans(own, clusters)
-            floor = float((own @ found.T).max(axis=1).min()) * slack
+            floor = float(np.quantile((own @ found.T).max(axis=1), LOW)) * slack
             return pd.DataFrame({"lang": [key[0]] * len(found), "floor": floor, "centre": list(found)})
 
         learned = counted.groupBy("lang").applyInPandas(centres, "lang string, floor double, centre array<double>").collect()

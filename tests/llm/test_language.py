@@ -54,6 +54,23 @@ def test_kmeans_finds_separate_bundles():
     assert len(language.spherical_kmeans(vectors[:1].repeat(5, axis=0), 4)) == 1
 
 
+def test_odd_vectors_are_no_centroids():
+    draw = np.random.default_rng(4)
+    vectors = np.abs(np.repeat(np.eye(2, 20), 50, axis=0) * 0.3 + np.full(20, 0.2) + draw.normal(0, 0.03, (100, 20)))
+    vectors = np.concatenate([vectors, np.eye(20)[[7, 11, 13]]])
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    centres = language.spherical_kmeans(vectors, 2)
+    assert sorted(np.bincount(np.argmax(vectors[:100] @ centres.T, axis=1))) == [50, 50]
+
+
+def test_a_junk_text_does_not_lower_the_floor(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("lang = 'en' AND n_chars > 200").select("doc_id", "text", "lang")
+    junk = spark.createDataFrame([(-1, "\u0436\u0449\u044f " * 50, "en")], docs.schema)
+    clean, soiled = language.fit(docs, per_language=10_000), language.fit(docs.union(junk), per_language=10_000)
+    assert soiled.floors["en"] > 0.9 * clean.floors["en"]
+    assert soiled.predict("\u0436\u0449\u044f " * 50)[2]
+
+
 def test_learning_input_of_every_kind(spark):
     schema = "doc_id long, text string, lang string, h int"
     with pytest.raises(ValueError):
