@@ -25,8 +25,14 @@ from larder.session import written
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose text is in a language that the labelled rows teach; texts without letters and distant ones go."""
-    model = language.fit(docs)
+    """Rows whose text is in a language that the labelled rows teach; texts without letters and distant ones go.
+
+    Where no row teaches a language (an empty table, or no text with letters that has one) none is known: no row stays.
+    """
+    try:
+        model = language.fit(docs)
+    except language.NothingToLearn:
+        return docs.where(F.lit(False))
     return language.identify(docs, model).where("NOT rejected").select(*docs.columns)
 
 

@@ -104,6 +104,10 @@ def spherical_kmeans(vectors: np.ndarray, k: int, rounds: int = 12, least_share:
     return kept
 
 
+class NothingToLearn(ValueError):
+    """No row has both text and language."""
+
+
 class Model:
     """Languages and centroids with the idf weights and, per language, the cosine below which a text is too distant."""
 
@@ -133,7 +137,7 @@ def fit(
 
     At most ``per_language`` texts of a language are used: those with the least hash of id and text. A language's floor
     is ``slack`` times the cosine that all but a hundredth of its own texts reach, so that a few odd ones do not lower it and
-    only texts unlike nearly all of the sample fall below. Raises ValueError if no row has both text and language.
+    only texts unlike nearly all of the sample fall below. Raises NothingToLearn, a ValueError, if no row has both text and language.
     """
     needs(labelled, text_col, lang_col, id_col)
     rows = (
@@ -148,7 +152,7 @@ def fit(
         chosen = chosen.withColumn("n", F.row_number().over(window)).where(F.col("n") <= per_language)
     least = {r["lang"]: r["top"] for r in chosen.groupBy("lang").agg(F.max("h").alias("top")).collect()}
     if not least:
-        raise ValueError("no labelled texts to learn from")
+        raise NothingToLearn("no labelled texts to learn from")
     bound = F.create_map(*[F.lit(x) for pair in least.items() for x in pair])
     sample = rows.where(F.col("h") <= F.element_at(bound, F.col("lang"))).dropDuplicates(["lang", "h"]).select("lang", "h", "text")
 

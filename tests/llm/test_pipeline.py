@@ -50,8 +50,6 @@ def test_stages_take_tables_of_every_kind(spark, tmp_path):
     for number, given in enumerate((rows, [])):
         docs = spark.createDataFrame(given, SCHEMA)
         for name, stage in corpus_pipeline.STAGES:
-            if not given and name == "language":
-                continue  # nothing to learn from: an error, as tested with the classifier
             out = stage(spark, docs, SF)
             if name != "byte_bpe":
                 assert out.columns == docs.columns
@@ -61,6 +59,15 @@ def test_stages_take_tables_of_every_kind(spark, tmp_path):
         assert docs.columns == ["doc_id", "n_tokens", "ids"] and docs.count() == (3 if given else 0)
 
 
+@pytest.mark.parametrize("rows", [[], [(1, "the and of that with this", None, "s", 1), (2, None, "en", "s", 1), (3, "12", "en", "s", 1)]])
+def test_run_where_no_language_is_taught(spark, tmp_path, rows):
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.known_language(spark, spark.createDataFrame(rows, SCHEMA), SF).count() == 0
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert got.columns == ["doc_id", "n_tokens", "ids"] and got.count() == 0
+
+
 @pytest.mark.parametrize("name", sorted(corpus_pipeline.ORACLES))
 def test_query_matches_sql(spark, name):
     state, detail = compare(spark, open_tables(SF), SF, name, corpus_pipeline.QUERIES[name], corpus_pipeline.ORACLES[name])
