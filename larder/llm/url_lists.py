@@ -5,7 +5,7 @@ become validity intervals, and each capture is judged by the entries active when
 can match, the as-of join takes the interval that holds the fetch time.
 
 A rule is a key and a verdict. Keys of a URL, from the most specific: the URL itself (no scheme, query or fragment), its
-folders up to ``folders`` levels, the host and its parent domains. The most specific active rule decides; of equally
+folders of every level, the host and its parent domains. The most specific active rule decides; of equally
 specific ones ``block`` wins.
 
 A host may have a third of all captures. Intervals are therefore joined with the distinct (key, day) pairs of the
@@ -57,13 +57,17 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)", 1)
 
 
-def rule_keys(url: Column, folders: int = 2) -> Column:
-    """All keys a URL can match, the most specific first: url, folders, host, parent domains with two labels or more."""
+def rule_keys(url: Column, folders: int | None = None) -> Column:
+    """All keys a URL can match, the most specific first: url, folders, host, parent domains with two labels or more.
+
+    Folders of all levels, or of the first ``folders`` ones.
+    """
     host, path = host_of(url), path_of(url)
     steps = F.filter(F.split(path, "/"), lambda s: s != "")
+    levels = F.size(steps) - 1 if folders is None else F.least(F.size(steps) - 1, F.lit(folders))
     deep = F.transform(
-        F.sequence(F.lit(folders), F.lit(1), F.lit(-1)),
-        lambda n: F.when(F.size(steps) > n, F.concat(host, F.lit("/"), F.array_join(F.slice(steps, 1, n), "/"), F.lit("/"))),
+        F.sequence(F.greatest(levels, F.lit(1)), F.lit(1), F.lit(-1)),
+        lambda n: F.when(n <= levels, F.concat(host, F.lit("/"), F.array_join(F.slice(steps, 1, n), "/"), F.lit("/"))),
     )
     labels = F.split(host, r"\.")
     last = F.greatest(F.size(labels) - 1, F.lit(1))
@@ -75,13 +79,14 @@ def rule_keys(url: Column, folders: int = 2) -> Column:
 
 
 def judge_captures(
-    captures: DataFrame, events: DataFrame, url_col: str = "url", day_col: str = "day", folders: int = 2
+    captures: DataFrame, events: DataFrame, url_col: str = "url", day_col: str = "day", folders: int | None = None
 ) -> DataFrame:
     """``captures`` with rule (the key that decided, or null) and allowed (false if a block rule decided).
 
     Captures whose URL is null, empty or without a host, and captures without a fetch day, match no rule and are allowed. Repeated
     captures are judged each; other columns pass through, those named rule or allowed are replaced. Empty lists allow
-    everything. Runs jobs: the intervals and the verdicts are written.
+    everything. Folders count down to the deepest level that is listed, or to ``folders`` if given. Runs jobs: the intervals
+    and the verdicts are written.
     """
     needs(captures, url_col, day_col)
     keep = [c for c in captures.columns if c.lower() not in ("rule", "allowed")]
@@ -94,6 +99,9 @@ def judge_captures(
         F.col(day_col).cast("date").alias(when),
     )
     intervals = written(validity(events), "intervals")
+    if folders is None:
+        parts = F.filter(F.split("key", "/"), lambda s: s != "")
+        folders = intervals.where(F.col("key").endswith("/")).agg(F.max(F.size(parts) - 1)).first()[0] or 0
     asked = full.where(F.col(site).isNotNull() & F.col(when).isNotNull()).select(F.col(site).alias("site"), F.col(when).alias("seen")).distinct()
     asked = asked.select("site", "seen", F.posexplode(rule_keys(F.concat(F.lit("x://"), F.col("site")), folders)).alias("depth", "key"))
     # Many sites share a host key on a day: the intervals meet each (key, day) once.

@@ -58,6 +58,14 @@ def test_against_brute_force(spark):
     assert {r.page_id: (r.rule, r.allowed) for r in got.collect()} == want
 
 
+def test_folders_of_every_level(spark):
+    events = [("l", "h.org/a/b/c/", "add", "block", _day(0)), ("l", "h.org/a/b/c/d/e/f/", "add", "allow", _day(0)), ("l", "h.org/a/", "add", "allow", _day(0))]
+    urls = ["/a/b/c/x", "/a/b/c/d/x", "/a/b/c/d/e/f/g/x", "/a/b/x", "/b/c/x"]
+    captures = spark.createDataFrame([(i, f"http://h.org{u}", _day(1)) for i, u in enumerate(urls)], "page_id long, url string, day date")
+    got = {r.page_id: (r.rule, r.allowed) for r in judge_captures(captures, spark.createDataFrame(events, EVENT)).collect()}
+    assert got == {0: ("h.org/a/b/c/", False), 1: ("h.org/a/b/c/", False), 2: ("h.org/a/b/c/d/e/f/", True), 3: ("h.org/a/", True), 4: (None, True)}
+
+
 def test_rows_of_every_kind(spark):
     rows = [(1, "http://bad.org/", _day(3), "z", 1), (1, "http://bad.org/", _day(3), "z", 1), (2, None, _day(3), "z", 1), (3, "", _day(3), "z", 1), (4, "http://bad.org", None, "z", 1),
             (None, "http://bad.org/" + "p" * 100_000, _day(3), None, None), (5, "http://bad.org", _day(0), "z", 1)]
