@@ -14,7 +14,8 @@ value) pairs, and two documents that agree in at least ``matches`` coordinates a
 - Lists whose members are still apart follow. In a list of up to ``long_list`` members the pairs that are apart meet, each
   pair in one of its lists only, where sizes and signatures allow a link. Longer lists that share members form one
   cluster, which is cut into chunks; each pair of chunks is one task that compares the full sets by matrix products and
-  puts out only the links that connect components. No pair of a long list becomes a row.
+  puts out only the links that connect components. Pairs inside a cluster's largest component, connected already, are left
+  out. No pair of a long list becomes a row.
 
 With similarity 0.8, 64 coordinates and 36 matches, a pair exactly at the threshold is missed with a chance of about
 five in a million, a pair at 0.85 with less than one in a thousand million.
@@ -205,20 +206,42 @@ def connecting_links(nodes: list[int], groups: list[int], sets: list[np.ndarray]
     return found
 
 
-def _cluster_links(members: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """(a, b): connecting links inside each cluster of ``members`` (node, cluster, component, n).
+def _chunked(members: DataFrame) -> DataFrame:
+    """``members`` (node, cluster, component, n) with chunk and others, the chunks that a member's chunk is compared with.
 
-    A cluster is cut into chunks of about ``_CHUNK`` documents (fewer if their sets are large); a task gets two chunks.
+    The largest component of a cluster is connected already: its chunks (of about ``_CHUNK`` documents, fewer if their sets are
+    large) meet those of the other members only, which have the lowest numbers and meet all chunks.
     """
-    held = members.groupBy("cluster").agg(F.count("*").alias("count"), F.sum("n").alias("total"))
-    chunks = F.ceil(F.greatest(F.col("count") / _CHUNK, F.col("total") / _CHUNK_VALUES)).cast("int")
-    dealt = members.join(held.select("cluster", chunks.alias("chunks")), "cluster").withColumn(
-        "chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
+    held = members.groupBy("cluster", "component").agg(F.count("*").alias("count"), F.sum("n").alias("total"))
+    sums = held.groupBy("cluster").agg(
+        F.max(F.struct("count", "component", "total")).alias("main"), F.sum("count").alias("count"), F.sum("total").alias("total")
     )
+
+    def chunks(count: Column, total: Column) -> Column:
+        return F.ceil(F.greatest(count / _CHUNK, total / _CHUNK_VALUES)).cast("int")
+
+    plan = sums.select(
+        "cluster",
+        F.col("main.component").alias("largest"),
+        chunks(F.col("main.count"), F.col("main.total")).alias("main"),
+        chunks(F.col("count") - F.col("main.count"), F.col("total") - F.col("main.total")).alias("rest"),
+    )
+    connected = F.col("component") == F.col("largest")
+    some = F.pmod(F.xxhash64("node"), F.when(connected, F.col("main")).otherwise(F.col("rest"))).cast("int")
+    last = F.when(connected, F.col("rest")).otherwise(F.col("rest") + F.col("main")) - 1
+    return (
+        members.join(plan, "cluster")
+        .where("rest > 0")
+        .select("cluster", "node", "component", (some + F.when(connected, F.col("rest")).otherwise(0)).alias("chunk"), F.sequence(F.lit(0), last).alias("others"))
+    )
+
+
+def _cluster_links(members: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """(a, b): connecting links inside each cluster of ``members`` (node, cluster, component, n); a task gets two chunks."""
     sets = _sets_of(members.select(F.col("node").alias("doc_id")), docs, size)
     blocks = (
-        dealt.join(sets, "node")
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        _chunked(members).join(sets, "node")
+        .withColumn("other", F.explode("others"))
         .withColumns({"low": F.least("chunk", "other"), "high": F.greatest("chunk", "other")})
         .select("cluster", "low", "high", "chunk", "node", "component", "members")
     )

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from larder.llm import near_dedup
 from larder.llm.components import components
 from larder.llm.near_dedup import connecting_links, drop_near_duplicates, near_duplicates
 from larder.llm.words import shingle_sets, word_hashes
@@ -131,3 +132,11 @@ def test_rows_of_every_kind(spark):
 
 def test_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_a_connected_cluster_is_not_compared_with_itself(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "_CHUNK", 10)
+    rows = [(i, 0, 0, 5) for i in range(400)] + [(400, 0, 400, 5)] + [(500 + i, 1, 500, 5) for i in range(50)]
+    chunked = near_dedup._chunked(spark.createDataFrame(rows, "node long, cluster long, component long, n long")).collect()
+    pairs = {(r.cluster, min(r.chunk, o), max(r.chunk, o)) for r in chunked for o in r.others}
+    assert sum(len(r.others) for r in chunked) == 400 + 41 and pairs == {(0, 0, i) for i in range(41)}
