@@ -11,9 +11,12 @@ from larder.llm import (  # noqa: F401  (each registers its query)
     chat,
     decontamination,
     exact_dedup,
+    fill_in_middle,
+    filter_audit,
     language,
     licenses,
     near_dedup,
+    packing,
     quality,
     sharding,
     url_lists,
