@@ -5,17 +5,24 @@ byte. A recursive query joins neighbouring tokens with the merge table, contract
 every word, and repeats until no word has a pair to merge. Decoding joins token rows with the vocabulary and
 concatenates their bytes in order.
 
-Spark partitions the documents; a task works through them in groups of bounded size, so memory does not depend on the
-partition. Distinct pieces are encoded once per group, and a bounded table of pieces already encoded is kept for the
-next groups. The cut into pieces is done on whole arrays of bytes for texts of ASCII and Latin-1 letters, and by the
-pattern itself for all other texts.
+Contracting one pair a turn costs the square of a word's length, so a long piece is dealt into blocks that are words of
+their own, and neighbouring results are joined until the piece is whole again. The tokens around a seam are contracted as
+a word; when the first and the last of them come out as they went in, the joined tokens are the piece's own: a contraction that
+crossed a boundary between two tokens in the whole piece would also cross it in the two tokens alone, and every two neighbours
+have now been contracted together without one. Otherwise the word around the seam is made twice as wide.
+
+Spark partitions the documents; a task works through them in groups of bounded size, also inside one text, so memory depends
+neither on the partition nor on the longest text's token count. Distinct pieces are encoded once per group, and a bounded
+table of pieces already encoded is kept for the next groups of the task. The cut into pieces is done on whole arrays of bytes
+for texts of ASCII and Latin-1 letters, and by the pattern itself for all other texts.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -28,32 +35,36 @@ from larder.llm.registered import query
 
 GROUP_BYTES = 1 << 20  # of text or tokens worked on at a time
 WORDS_AT_ONCE = 20_000  # pieces given to one recursive query
-KNOWN_WORDS = 300_000  # pieces remembered by a worker
-LONG = 64  # bytes from which a piece takes the query for long pieces
+BYTES_AT_ONCE = 400_000  # and their bytes
+KNOWN_WORDS = 400_000  # pieces remembered by a task, about 200 bytes each
+LONG = 64  # bytes from which a piece is dealt into blocks
+BLOCK = 32  # bytes of a block
+TOKENS_AT_ONCE = 1 << 18  # of one text that are decoded together
 _SHIFT = 1 << 32
 
-# Ranks are positive and below 2**31, so rank * 2**32 + position orders pairs by rank, then from the left.
+# Ranks are positive and below 2**31, so rank * 2**32 + position orders pairs by rank, then from the left. Positions are
+# counted anew each turn, so a token's neighbour is at the next number. A word without a pair leaves the recursion.
 _ENCODE = f"""
-WITH RECURSIVE state(word, pos, tok, turn) AS (
-  SELECT word, pos, tok, 0 FROM pieces
+WITH RECURSIVE state(word, pos, tok, done) AS (
+  SELECT word, pos, tok, false FROM pieces
   UNION ALL
-  SELECT s.word, s.pos, CASE WHEN s.pos = b.best % {_SHIFT} THEN (b.best // {_SHIFT})::INTEGER ELSE s.tok END, s.turn + 1
-  FROM state s JOIN (
-    SELECT n.word, min(m.id::BIGINT * {_SHIFT} + n.pos) AS best, arg_min(n.next_pos, m.id::BIGINT * {_SHIFT} + n.pos) AS gone
-    FROM (SELECT word, pos, tok, lead(tok) OVER w AS next_tok, lead(pos) OVER w AS next_pos
-          FROM state WINDOW w AS (PARTITION BY word ORDER BY pos)) n
-    JOIN merges m ON m.l = n.tok AND m.r = n.next_tok
-    GROUP BY n.word
-  ) b ON s.word = b.word
-  WHERE s.pos <> b.gone
+  (WITH least AS (
+     SELECT a.word, min(m.id::BIGINT * {_SHIFT} + a.pos) AS pair
+     FROM state a JOIN state b ON b.word = a.word AND b.pos = a.pos + 1 JOIN merges m ON m.l = a.tok AND m.r = b.tok
+     WHERE NOT a.done AND NOT b.done
+     GROUP BY a.word)
+   SELECT s.word, CASE WHEN s.pos > p.pair % {_SHIFT} THEN s.pos - 1 ELSE s.pos END,
+          CASE WHEN s.pos = p.pair % {_SHIFT} THEN (p.pair // {_SHIFT})::INTEGER ELSE s.tok END, p.pair IS NULL
+   FROM state s LEFT JOIN least p ON s.word = p.word
+   WHERE NOT s.done AND (p.pair IS NULL OR s.pos <> p.pair % {_SHIFT} + 1))
 )
-SELECT word, pos, tok FROM (SELECT *, max(turn) OVER (PARTITION BY word) AS last FROM state)
-WHERE turn = last ORDER BY word, pos
+SELECT word, pos, tok FROM state WHERE done ORDER BY word, pos
 """
 
-# For long pieces one turn contracts every occurrence of the least pair, left to right without overlap, where the new
-# token takes part in no merge of a lower rank (alone = false): the single steps would come to the same. Turns are
-# bounded per query, so that the turns held at once stay small; the caller repeats it until nothing changes.
+# For words that stay long (texts of one repeated pattern have no seam that holds) one turn contracts every occurrence of the
+# least pair, left to right without overlap, where the new token takes part in no merge of a lower rank (alone = false): the
+# single steps would come to the same. Turns are bounded per query, so that the turns held at once stay small; the caller
+# repeats it until nothing changes.
 _ENCODE_LONG = """
 WITH RECURSIVE state(word, pos, tok, turn) AS (
   SELECT word, pos, tok, 0 FROM pieces
@@ -151,24 +162,30 @@ class Tokenizer:
                     right.append(b)
                     whole.append(rank)
         lower = {x for a, b, r in zip(left, right, whole) for x in (a, b) if r < x}
-        self._db = duckdb.connect(config={"threads": 1, "memory_limit": "1GB", "temp_directory": "", "preserve_insertion_order": False})
+        # A group needs a few dozen megabytes; an executor holds as many of these as it has cores, beside its own heap.
+        self._db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": "", "preserve_insertion_order": False})
         merges = pa.table({"l": pa.array(left, pa.int32()), "r": pa.array(right, pa.int32()), "id": pa.array(whole, pa.int32()), "alone": [r in lower for r in whole]})
-        vocabulary = pa.table({"id": pa.array(ranks.values(), pa.int32()), "piece": [t.decode("latin-1") for t in ranks]})
+        self._pieces = {rank: token for token, rank in ranks.items()}
+        vocabulary = pa.table({"id": pa.array(self._pieces, pa.int32()), "piece": [t.decode("latin-1") for t in self._pieces.values()]})
         for name, table in (("merges", merges), ("vocabulary", vocabulary)):
             self._db.register("given", table)
             self._db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
-        self._forget()
+            self._db.unregister("given")
+        self._known: dict[bytes, bytes] = {}
 
-    def _forget(self) -> None:
-        self._words = pa.array([], pa.large_binary())
-        self._starts, self._lengths, self._ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+    def forget(self) -> None:
+        """Let go of the remembered pieces."""
+        self._known = {}
 
     def _query(self, sql: str, name: str, table: pa.Table, **values):
         self._db.register(name, table)
-        return self._db.execute(sql, values or None).to_arrow_table()
+        try:
+            return self._db.execute(sql, values or None).to_arrow_table()
+        finally:
+            self._db.unregister(name)
 
-    def _contract(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Token count of each word and all tokens, word by word."""
+    def _contract(self, words: list[bytes]) -> Iterator[np.ndarray]:
+        """The tokens of each word: short ones by one query, others by another."""
         flat = np.frombuffer(b"".join(words), dtype=np.uint8)
         lengths = np.array([len(w) for w in words], dtype=np.int64)
         word = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
@@ -180,26 +197,64 @@ class Tokenizer:
             before = -1
             while before != rows.num_rows:
                 before = rows.num_rows
-                rows = self._query(_ENCODE_LONG, "pieces", rows, turns=max(1, min(64, 2_000_000 // before)))
-        return np.bincount(rows["word"].to_numpy(), minlength=len(words)), rows["tok"].to_numpy()
-
-    def _learn(self, new: pa.Array) -> None:
-        words = new.to_pylist()
-        order = sorted(range(len(words)), key=lambda i: len(words[i]))
-        at = 0
-        while at < len(order):
-            size = 1
-            limit = WORDS_AT_ONCE if len(words[order[at]]) < LONG else 1 + 100_000 // len(words[order[at]])
-            while size < limit and at + size < len(order) and (len(words[order[at + size]]) < LONG) == (len(words[order[at]]) < LONG):
-                size += 1
-            part = order[at : at + size]
-            counts, ids = self._contract([words[i] for i in part])
-            begin = len(self._ids) + np.cumsum(counts) - counts
-            self._words = pa.concat_arrays([self._words, new.take(pa.array(part))])
-            self._starts = np.concatenate((self._starts, begin))
-            self._lengths = np.concatenate((self._lengths, counts))
-            self._ids = np.concatenate((self._ids, ids))
-            at += size
+                rows = self._query(_ENCODE_LONG, "pieces", rows, turns=max(1, min(64, 1_000_000 // before)))
+        tokens = rows["tok"].to_numpy().astype("<i4")
+        ends = np.cumsum(np.bincount(rows["word"].to_numpy(), minlength=len(words))).tolist()
+        return (tokens[a:b] for a, b in zip([0, *ends], ends))
+
+    def _contract_all(self, words: Iterable[bytes]) -> dict[bytes, np.ndarray]:
+        """The tokens of distinct words, queried in parts of bounded size, short ones first."""
+        out: dict[bytes, np.ndarray] = {}
+        part: list[bytes] = []
+        held = 0
+        for word in sorted(set(words), key=len):
+            if part and (len(part) == WORDS_AT_ONCE or held + len(word) > BYTES_AT_ONCE or (len(word) < LONG) != (len(part[-1]) < LONG)):
+                out.update(zip(part, self._contract(part)))
+                part, held = [], 0
+            part.append(word)
+            held += len(word)
+        if part:
+            out.update(zip(part, self._contract(part)))
+        return out
+
+    def _bytes_of(self, tokens: np.ndarray) -> bytes:
+        return b"".join([self._pieces[t] for t in tokens.tolist()])
+
+    def _joined(self, pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+        """The tokens of two neighbouring stretches together, for several pairs of tokens of such stretches at once."""
+        out: list = [None] * len(pairs)
+        open_, wide = list(range(len(pairs))), 2
+        while open_:
+            inner = [(pairs[i][0][-wide:], pairs[i][1][:wide]) for i in open_]
+            words = [self._bytes_of(np.concatenate(x)) for x in inner]
+            made, left = self._contract_all(words), []
+            for i, (a, b), word in zip(open_, inner, words):
+                whole_a, whole_b = len(a) == len(pairs[i][0]), len(b) == len(pairs[i][1])
+                got = made[word]
+                if (whole_a or got[0] == a[0]) and (whole_b or got[-1] == b[-1]):
+                    out[i] = np.concatenate((pairs[i][0][: len(pairs[i][0]) - len(a)], got, pairs[i][1][len(b) :]))
+                else:
+                    left.append(i)
+            open_, wide = left, 2 * wide
+        return out
+
+    def _contract_long(self, words: list[bytes]) -> dict[bytes, np.ndarray]:
+        """The tokens of long words: blocks first, then neighbouring stretches joined two by two."""
+        blocks = [[w[i : i + BLOCK] for i in range(0, len(w), BLOCK)] for w in words]
+        made = self._contract_all(b for own in blocks for b in own)
+        parts = [[made[b] for b in own] for own in blocks]
+        while any(len(own) > 1 for own in parts):
+            joined = iter(self._joined([(own[i], own[i + 1]) for own in parts for i in range(0, len(own) - 1, 2)]))
+            parts = [[next(joined) if i + 1 < len(own) else own[i] for i in range(0, len(own), 2)] for own in parts]
+        return {w: own[0] for w, own in zip(words, parts)}
+
+    def _learned(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """(piece, ids) of distinct pieces not seen before."""
+        short = [w for w in words if len(w) < LONG]
+        long = [w for w in words if len(w) >= LONG]
+        for made in (self._contract_all(short), self._contract_long(long)):
+            for word, tokens in made.items():
+                yield word, tokens.tobytes()
 
     def _cut(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Where the pieces of texts laid end to end start."""
@@ -227,37 +282,46 @@ class Tokenizer:
         joined = b"".join(texts)
         if not joined:
             return [np.zeros(0, np.int32)] * len(texts)
-        starts = self._cut(np.frombuffer(joined, dtype=np.uint8), offsets)
-        bounds = np.append(starts, len(joined)).astype(np.int64)
-        pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(joined)])
-        coded = pieces.dictionary_encode()
-        words = coded.dictionary
-        if len(self._words) + len(words) > KNOWN_WORDS:
-            self._forget()
-        known = pc.index_in(words, value_set=self._words)
-        if known.null_count:
-            self._learn(words.filter(known.is_null()))
-            known = pc.index_in(words, value_set=self._words)
-        of_piece = known.to_numpy()[coded.indices.to_numpy()]
-        lengths = self._lengths[of_piece]
-        ends = np.cumsum(lengths)
-        tokens = self._ids[np.repeat(self._starts[of_piece] - (ends - lengths), lengths) + np.arange(ends[-1])]
+        starts = self._cut(np.frombuffer(joined, dtype=np.uint8), offsets).astype(np.int64)
+        bounds = np.append(starts, len(joined))
+        tokens, counts = [], []
+        turns = np.searchsorted(bounds, np.arange(0, len(joined), GROUP_BYTES)).tolist()
+        for a, b in pairwise(dict.fromkeys([*turns, len(starts)])):
+            own = bounds[a : b + 1]
+            pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer(own), pa.py_buffer(joined)])
+            coded = pieces.dictionary_encode()
+            words, known = coded.dictionary.to_pylist(), self._known
+            new = [w for w in words if w not in known]
+            if len(known) + len(new) > KNOWN_WORDS:
+                known = self._known = {w: known[w] for w in words if w in known}  # what this group uses stays
+            known.update(self._learned(new))
+            of_word = [known[w] for w in words]
+            sizes = np.array([len(x) // 4 for x in of_word], dtype=np.int64)
+            flat, first, index = np.frombuffer(b"".join(of_word), dtype="<i4"), np.cumsum(sizes) - sizes, coded.indices.to_numpy()
+            lengths = sizes[index]
+            ends = np.cumsum(lengths)
+            tokens.append(flat[np.repeat(first[index] - (ends - lengths), lengths) + np.arange(ends[-1])])
+            counts.append(lengths)
+        ends = np.cumsum(np.concatenate(counts))
+        tokens = np.concatenate(tokens)
         cuts = np.concatenate(([0], ends))[np.searchsorted(starts, offsets)]
         return [tokens[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
 
     def decode(self, tokens: list[np.ndarray]) -> list[bytes]:
-        """The bytes of each token list."""
-        lengths = np.array([len(t) for t in tokens], dtype=np.int64)
-        if not lengths.sum():
-            return [b""] * len(tokens)
-        doc = np.repeat(np.arange(len(tokens), dtype=np.int32), lengths)
-        rows = pa.table({"doc": doc, "pos": np.arange(len(doc), dtype=np.int32), "id": np.concatenate(tokens).astype(np.int32)})
-        found, texts = self._query(_DECODE, "tokens", rows), [b""] * len(tokens)
-        if pc.sum(found["unknown"]).as_py():
-            raise ValueError("ids that the vocabulary does not have")
-        for i, text in zip(found["doc"].to_pylist(), found["text"].to_pylist()):
-            texts[i] = text.encode("latin-1")
-        return texts
+        """The bytes of each token list; long lists go through the query in parts."""
+        parts = [(i, t[a : a + TOKENS_AT_ONCE]) for i, t in enumerate(tokens) for a in range(0, len(t), TOKENS_AT_ONCE)]
+        texts: list[list[bytes]] = [[] for _ in tokens]
+        for a, b in _grouped([4 * len(t) for _, t in parts]):
+            lengths = np.array([len(t) for _, t in parts[a:b]], dtype=np.int64)
+            doc = np.repeat(np.arange(b - a, dtype=np.int32), lengths)
+            ids = np.concatenate([t for _, t in parts[a:b]]).astype(np.int32)
+            found = self._query(_DECODE, "tokens", pa.table({"doc": doc, "pos": np.arange(len(doc), dtype=np.int32), "id": ids}))
+            if pc.sum(found["unknown"]).as_py():
+                raise ValueError("ids that the vocabulary does not have")
+            made = dict(zip(found["doc"].to_pylist(), found["text"].to_pylist()))
+            for i in range(b - a):
+                texts[parts[a + i][0]].append(made[i].encode("latin-1"))
+        return [b"".join(t) for t in texts]
 
 
 #: The one pattern whose cut is also written as array operations; any other pattern is applied as it is.
@@ -273,6 +337,12 @@ def tokenizer(path: str, pattern: str = _PLAIN) -> Tokenizer:
     return _MADE[key]
 
 
+def _release() -> None:
+    """At a task's end: workers outlive their tasks, and what a task remembered is the next one's memory."""
+    for tool in _MADE.values():
+        tool.forget()
+
+
 def _grouped(sizes: list[int]) -> Iterator[tuple[int, int]]:
     """Consecutive ranges of about ``GROUP_BYTES`` each."""
     begin, held = 0, 0
@@ -307,7 +377,7 @@ def _mapped(docs: DataFrame, column: str, added: str, kind: T.DataType, read, wo
                 yield pa.RecordBatch.from_arrays([*kept, made], names=names)
 
     kept = docs.select(*[f"`{n}`" for n in names[:-1]], docs[f"`{column}`"].alias(source))
-    return in_small_batches(kept).mapInArrow(tidy(run), schema)
+    return in_small_batches(kept).mapInArrow(tidy(run, _release), schema)
 
 
 def encode(
@@ -367,7 +437,7 @@ def digests(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col:
 
     given = docs.select(docs[f"`{id_col}`"].alias("id"), docs[f"`{text_col}`"].alias("text"))
     kind = given.schema["id"].dataType.simpleString()
-    return in_small_batches(given).mapInArrow(tidy(run), f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
+    return in_small_batches(given).mapInArrow(tidy(run, _release), f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
 
 
 @query("op5_byte_bpe")

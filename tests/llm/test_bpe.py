@@ -1,4 +1,7 @@
+import base64
 import random
+import string
+import time
 
 import numpy as np
 import public_tokenizers
@@ -31,6 +34,48 @@ def test_ids_and_bytes_are_those_of_the_library(library):
     assert tool.decode(ids) == [t.encode() for t in texts]
 
 
+def test_long_pieces_without_blanks(library):
+    """100 KB without a cut by the pattern: linear, so each of these takes about a second; the same ids as the library's."""
+    draw = random.Random(4)
+    kinds = {
+        "letters": string.ascii_lowercase, "mixed": string.ascii_letters, "digits": string.digits, "two": "ab", "marks": "=-*#",
+        "ideographs": "".join(map(chr, range(0x4E00, 0x6000))), "syllables": "".join(map(chr, range(0x3041, 0x3090))),
+    }
+    texts = ["".join(draw.choice(letters) for _ in range(100_000 if letters.isascii() else 33_000)) for letters in kinds.values()]
+    texts.append(base64.b64encode(draw.randbytes(75_000)).decode())
+    words = "the quick brown fox jumps over a lazy dog and some more words stand here without blanks between them".split()
+    texts.append("".join(draw.choice(words) for _ in range(20_000)))
+    texts += ["=" * 5001, "abc" * 1500, "=-" * 2000 + "-" * 999]
+    tool = bpe.Tokenizer(PATH, public_tokenizers.PATTERN)
+    begin = time.process_time()
+    ids = tool.encode([t.encode() for t in texts])
+    assert time.process_time() - begin < 60
+    assert [i.tolist() for i in ids] == [library.encode_ordinary(t) for t in texts]
+    assert tool.decode(ids) == [t.encode() for t in texts]
+
+
+def test_seams_of_blocks(library, monkeypatch):
+    """Blocks of two and three bytes: every seam has to be mended."""
+    draw = random.Random(5)
+    texts = ["".join(draw.choice(a) for _ in range(draw.randint(1, 80))) for a in ("etaoin", "ab", "=-", "xyzé中") for _ in range(150)]
+    monkeypatch.setattr(bpe, "LONG", 4)
+    for size in (2, 3):
+        monkeypatch.setattr(bpe, "BLOCK", size)
+        tool = bpe.Tokenizer(PATH, public_tokenizers.PATTERN)
+        assert [i.tolist() for i in tool.encode([t.encode() for t in texts])] == [library.encode_ordinary(t) for t in texts]
+
+
+def test_groups_inside_a_text(library, monkeypatch):
+    monkeypatch.setattr(bpe, "GROUP_BYTES", 50)
+    monkeypatch.setattr(bpe, "TOKENS_AT_ONCE", 7)
+    tool, texts = bpe.Tokenizer(PATH, public_tokenizers.PATTERN), ["", "a text of several groups " * 20, "x" * 300, "", "end 中文 é"]
+    ids = tool.encode([t.encode() for t in texts])
+    assert [i.tolist() for i in ids] == [library.encode_ordinary(t) for t in texts]
+    assert tool.decode(ids) == [t.encode() for t in texts]
+    for n in range(1, 130):  # a group's end may fall into, before or behind the last piece
+        assert tool.encode([b"a " * (n // 9) + b"x" * n])[0].tolist() == library.encode_ordinary("a " * (n // 9) + "x" * n)
+
+
 def test_another_pattern(library):
     tool = bpe.tokenizer(PATH, r"\w+|\W")
     other = tiktoken.Encoding("o", pat_str=r"\w+|\W", mergeable_ranks=bpe.read_ranks(PATH), special_tokens={})
