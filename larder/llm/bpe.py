@@ -36,7 +36,7 @@ from larder.llm.registered import query
 GROUP_BYTES = 1 << 20  # of text or tokens worked on at a time
 WORDS_AT_ONCE = 20_000  # pieces given to one recursive query
 BYTES_AT_ONCE = 400_000  # and their bytes
-KNOWN_WORDS = 400_000  # pieces remembered by a task, about 200 bytes each
+KNOWN_WORDS = 200_000  # pieces remembered by a task, about 200 bytes each
 LONG = 64  # bytes from which a piece is dealt into blocks
 BLOCK = 32  # bytes of a block
 TOKENS_AT_ONCE = 1 << 18  # of one text that are decoded together
