@@ -1,11 +1,15 @@
 """License scans by conditional compression.
 
-A text becomes overlapping windows of words, regardless of its lines; a window with all the words that name a template's
-license (its marks) is a candidate. It is compressed with zstandard once alone and once per such template with that template
-as a raw dictionary: the more of a window's wording a template has, the smaller it gets. The size reduction only orders the
-templates: each is confirmed, best first, on the words themselves: the template's words, compared in order with the window's,
-may differ in at most ``most_different`` of them, and the marks must all be on the lines of the match. Of notices that
-overlap, one whose words lie inside a better one's goes, and so does one that shares words with a better one of the same license.
+A text becomes overlapping windows of words, regardless of its lines; windows come in sizes of four times the words of the
+templates they serve. A window with all the words that name some template's license (its marks) is a candidate block, and is
+compressed with zstandard once alone and once with each template of its size as a raw dictionary: the more of its wording a
+template has, the smaller it gets. Templates are taken in the order of these size reductions, down to the last that saves
+bytes at all. Each is placed on the words: a stretch of the block is a match if the template's words, compared in order with the
+stretch's, differ in at most ``most_different`` of them and the marks are all on the lines of the stretch.
+
+Matches are ranked by the size reduction of their own stretch. Of matches that overlap, one whose words lie inside a better
+one's goes, and so does one that shares words with a better one of the same license: two wordings that differ in a word or two,
+such as those of a license and its lesser form, are told apart by which compresses the stretch further.
 
 Each text is scanned where it is read. Nothing is shuffled.
 """
@@ -24,29 +28,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.llm.columns import in_small_batches, load, needs, tidy
+from larder.llm.license_texts import TEMPLATES
 from larder.llm.registered import query
 
-# Usual notices of public licenses, each with the words that tell it from the others.
-TEMPLATES = (
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0.", ("apache", "2.0")),
-    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.', ("apache", "2.0")),
-    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License.", ("bsd", "2-clause")),
-    ("BSD-3-Clause", "Licensed under the BSD 3-Clause License.", ("bsd", "3-clause")),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0.", ("cc", "by", "4.0")),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License.", ("creative", "commons", "attribution", "4.0")),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0.", ("cc", "by-nc", "4.0")),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0.", ("cc", "by-sa", "4.0")),
-    ("CC0-1.0", "Released into the public domain under CC0 1.0.", ("cc0", "1.0")),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2.", ("gnu", "general", "2")),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3.", ("gnu", "general", "3")),
-    ("ISC", "Released under the ISC License.", ("isc",)),
-    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3.", ("gnu", "lesser", "3")),
-    ("MIT", "Released under the MIT License.", ("mit",)),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", ("permission", "granted", "charge")),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", ("mozilla", "2.0")),
-    ("Unlicense", "This is free and unencumbered software released into the public domain.", ("unencumbered", "public", "domain")),
-)
-LEAST_WINDOW = 120  # words
+LEAST_WINDOW = 64  # words
 ROWS_OUT = 1000  # notices that leave a task at a time
 
 _WORD = re.compile(r"[a-z0-9]+(?:[.\-][a-z0-9]+)*")
@@ -89,10 +74,10 @@ def different_words(template: list[str], block: list[str]) -> int:
 
 
 class Match(NamedTuple):
-    """A template found in a text: words start to end (excluded), share of different words, bytes less (negative), the rest."""
+    """A template found in a text: bytes less for its stretch (negative), share of different words, words start to end (excluded)."""
 
-    share: float
     less: int
+    share: float
     start: int
     end: int
     template: int
@@ -100,6 +85,15 @@ class Match(NamedTuple):
     different: int
 
 
+class _Template(NamedTuple):
+    name: str
+    wording: list[str]
+    marks: frozenset[str]
+    coder: object
+    coded: np.ndarray
+    window: int
+
+
 class Scanner:
     """The templates of one worker as zstandard dictionaries."""
 
@@ -111,46 +105,67 @@ class Scanner:
         for name, text, marks in templates:
             wording = words_of(text)
             raw = zstandard.ZstdCompressionDict(" ".join(wording).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            raw.precompute_compress(level=3)
             coder = zstandard.ZstdCompressor(level=3, dict_data=raw, write_checksum=False, write_content_size=False, write_dict_id=False)
             coded = np.array([self._numbers.setdefault(w, len(self._numbers)) for w in wording], dtype=np.int64)
-            self._templates.append((name, wording, frozenset(marks), coder, coded))
+            window = max(LEAST_WINDOW, 1 << (4 * max(len(wording), 1) - 1).bit_length())
+            self._templates.append(_Template(name, wording, frozenset(marks), coder, coded, window))
         self._most = most_different
-        self._longest = max((len(t[1]) for t in self._templates), default=0)
-        self._window = max(LEAST_WINDOW, 4 * self._longest)
-
-    def matches(self, found: list[str], lines: list[int]) -> list[Match]:
-        """Every confirmed place of every template in a block's words (``lines``: each word's line), also overlapping ones.
-
-        The marks have to be on the lines of the place.
-        """
-        have = set(found)
-        able = [
-            i for i, (_, wording, marks, *_) in enumerate(self._templates)
-            if marks <= have and sum(w not in have for w in wording) <= self._most * len(wording)
-        ]
-        if not able:
+        self._longest = max((len(t.wording) for t in self._templates), default=0)
+        self._sizes = sorted({t.window for t in self._templates}) or [LEAST_WINDOW]
+        self._window = self._sizes[-1]
+
+    def _saved(self, template: _Template, data: bytes, alone: int) -> int:
+        """Bytes by which the template's dictionary makes compressed data smaller."""
+        return alone - len(template.coder.compress(data))
+
+    def _confirmed(self, number: int, found: list[str], lines: list[int], have: set[str], block: np.ndarray) -> Iterator[Match]:
+        """The places of a template whose wording differs little enough and whose own stretch it makes smaller."""
+        template = self._templates[number]
+        most = self._most * len(template.wording)
+        if not template.marks <= have or sum(w not in have for w in template.wording) > most:
+            return  # at least so many of its words differ at any place
+        off, starts = placed(template.coded, block)
+        ends = np.flatnonzero(off <= most)
+        taken: list[tuple[int, int]] = []
+        for different, start, end in sorted(zip(off[ends].tolist(), starts[ends].tolist(), ends.tolist())):
+            if start == end or any(start < e and s < end for s, e in taken):
+                continue  # the same words a little further on or less far
+            if template.marks <= set(found[bisect_left(lines, lines[start]) : bisect_right(lines, lines[end - 1])]):
+                taken.append((start, end))
+                stretch = " ".join(found[start:end]).encode()
+                alone = len(self._plain.compress(stretch))
+                saved = self._saved(template, stretch, alone)
+                if saved > 0:
+                    yield Match(-saved, different / len(template.wording), start, end, number, round(saved / alone, 4), different)
+
+    def _block(self, size: int, found: list[str], lines: list[int]) -> list[Match]:
+        """The matches of the templates of one window size in one block: compressed with each, then confirmed by rank."""
+        have, own = set(found), [i for i, t in enumerate(self._templates) if t.window == size]
+        if not any(self._templates[i].marks <= have for i in own):
             return []
         data = " ".join(found).encode()
         alone = len(self._plain.compress(data))
+        ranked = sorted(((self._saved(self._templates[i], data, alone), i) for i in own), key=lambda r: (-r[0], r[1]))
         block = np.array([self._numbers.get(w, -1) for w in found], dtype=np.int64)
-        out = []
-        for less, i in sorted((len(self._templates[i][3].compress(data)) - alone, i) for i in able):
-            _, wording, marks, _, coded = self._templates[i]
-            off, starts = placed(coded, block)
-            for end in np.flatnonzero(off <= self._most * len(wording)).tolist():
-                start, different = int(starts[end]), int(off[end])
-                if start < end:
-                    beside = found[bisect_left(lines, lines[start]) : bisect_right(lines, lines[end - 1])]
-                    if marks <= set(beside):
-                        out.append(Match(different / len(wording), less, start, end, i, round(-less / alone, 4), different))
+        return [m for saved, i in ranked if saved > 0 for m in self._confirmed(i, found, lines, have, block)]
+
+    def matches(self, found: list[str], lines: list[int]) -> list[Match]:
+        """Every confirmed place of every template in a window's words (``lines``: each word's line), also overlapping ones."""
+        out, have = [], set(found)
+        for size in self._sizes:
+            if any(t.window == size and t.marks <= have for t in self._templates):
+                for at in range(0, max(len(found) - size // 2, 1), size // 2):
+                    part = self._block(size, found[at : at + size], lines[at : at + size])
+                    out += [m._replace(start=m.start + at, end=m.end + at) for m in part]
         return out
 
     def best(self, matches: Iterable[Match]) -> list[Match]:
         """The matches that are not inside a better one's words and share none with a better one of the same license."""
         kept: list[tuple[int, int, str]] = []
         out = []
-        for m in sorted(matches):
-            name = self._templates[m.template][0]
+        for m in sorted(set(matches)):
+            name = self._templates[m.template].name
             near = kept[bisect_left(kept, (m.start - 2 * self._longest,)) : bisect_left(kept, (m.end,))]
             if not any(start <= m.start and m.end <= end or name == other and m.start < end for start, end, other in near):
                 insort(kept, (m.start, m.end, name))
@@ -160,7 +175,7 @@ class Scanner:
     def windows(self, text: str) -> Iterator[tuple[int, list[str], list[int], list[tuple[int, int]]]]:
         """(number, words, each word's line, each word's start and end) of a lower-cased text, each window from the last one's middle.
 
-        A window has four times the words of the longest template, so that some window holds all of any match.
+        A window has at least four times the words of the longest template, so that some window holds all of any match.
         """
         number = line = seen = fresh = 0
         words, lines, spans = [], [], []
@@ -181,7 +196,7 @@ class Scanner:
     def notices(self, text: str) -> Iterator[tuple[int, int, str, str, int, float, int]]:
         """(line, piece, block, license, template number, share of the size saved, different words) of a text, in order."""
         low = text.lower()
-        if not any(all(has_word(low, w) for w in marks) for _, _, marks, *_ in self._templates):
+        if not any(all(has_word(low, w) for w in t.marks) for t in self._templates):
             return
         places, extent = {}, {}
         for piece, words, lines, spans in self.windows(low):
@@ -193,12 +208,12 @@ class Scanner:
         for m in sorted(self.best(places), key=lambda m: (m.start, m.end, m.template)):
             line, piece = places[m]
             begin, end = extent[piece]
-            yield line, piece, shown[begin:end], self._templates[m.template][0], m.template, m.saved, m.different
+            yield line, piece, shown[begin:end], self._templates[m.template].name, m.template, m.saved, m.different
 
     def scan_all(self, block: str) -> list[tuple[str, int, float, int]]:
         """(license, template number, share of the size saved, different words) of each confirmed notice, best first."""
         found = words_of(block)
-        return [(self._templates[m.template][0], m.template, m.saved, m.different) for m in self.best(self.matches(found, [0] * len(found)))]
+        return [(self._templates[m.template].name, m.template, m.saved, m.different) for m in self.best(self.matches(found, [0] * len(found)))]
 
     def scan(self, block: str) -> tuple[str, int, float, int] | None:
         """The best of scan_all, or None."""

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from larder.llm.licenses import TEMPLATES, Scanner, different_words, scan_licenses, words_of
@@ -78,3 +80,80 @@ def test_rows_of_every_kind(spark):
     found = {(r.doc_id, r.line, r.license) for r in got}
     assert found == {(1, 0, "MIT"), (None, 2, "MIT"), (4, 0, "MIT")} and sum(r.doc_id == 1 for r in got) == 2
     assert scan_licenses(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def _reworded(text, draw, share=0.05):
+    """A text with some of its words replaced, wrapped and commented as in a source file."""
+    words = text.split()
+    for i in draw.sample(range(4, len(words)), int(share * len(words))):
+        if not any(mark in words[i].lower() for t in TEMPLATES if t[1] == text for mark in t[2]):
+            words[i] = "otherwise"
+    return "/*\n * " + "\n * ".join(" ".join(words[i : i + 9]) for i in range(0, len(words), 9)) + "\n */\nint main() {}\n"
+
+
+@pytest.mark.parametrize("number", [i for i, t in enumerate(TEMPLATES) if len(t[1].split()) >= 20])
+def test_headers_and_whole_texts_wrapped_and_reworded(number):
+    name, text, _ = TEMPLATES[number]
+    scanner, draw = Scanner(), random.Random(number)
+    for share in (0, 0.05):
+        found = [n[3] for n in scanner.notices("Copyright (c) 2020 the authors\n" + _reworded(text, draw, share) + "x y z\n" * 50)]
+        assert found == [name], (share, found)
+
+
+def test_wordings_of_source_headers():
+    """Headers as files carry them, none of them a template as it stands."""
+    texts = {
+        "MIT": "// SPDX-License-Identifier: MIT\npackage main",
+        "Apache-2.0": "# SPDX-License-Identifier: Apache-2.0",
+        "GPL-3.0-or-later": "    This program is free software: you can redistribute it and/or modify\n    it under the terms of the GNU General Public License as published by\n    the Free Software Foundation, either version 3 of the License, or\n    (at your option) any later version.\n",
+        "GPL-2.0-or-later": " * This file is free software; you can redistribute it and/or modify it\n * under the terms of the GNU General Public License as published by the\n * Free Software Foundation; either version 2 of the License, or (at your\n * option) any later version.",
+        "LGPL-2.1-or-later": " * This library is free software; you can redistribute it and/or\n * modify it under the terms of the GNU Lesser General Public\n * License as published by the Free Software Foundation; either\n * version 2.1 of the License, or (at your option) any later version.",
+        "AGPL-3.0-or-later": "// This program is free software: you can redistribute it and/or modify\n// it under the terms of the GNU Affero General Public License as published by\n// the Free Software Foundation, either version 3 of the License, or\n// (at your option) any later version.",
+        "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:\n1. Redistributions of source code must retain the above copyright\n   notice, this list of conditions and the following disclaimer.\n2. Redistributions in binary form must reproduce the above copyright\n   notice, this list of conditions and the following disclaimer in the\n   documentation and/or other materials provided with the distribution.\n3. Neither the name of the University nor the names of its contributors\n   may be used to endorse or promote products derived from this software\n   without specific prior written permission.",
+        "EPL-2.0": "This program and the accompanying materials are made\navailable under the terms of the Eclipse Public License 2.0\nwhich is available at https://www.eclipse.org/legal/epl-2.0/",
+        "MPL-2.0": "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at http://mozilla.org/MPL/2.0/. */",
+    }
+    scanner = Scanner()
+    for name, text in texts.items():
+        assert [n[3] for n in scanner.notices(text)] == [name]
+    assert [n[3] for n in scanner.notices("This project is licensed under the MIT license.")] == ["MIT"]
+    assert [n[3] for n in scanner.notices(" .\n".join(texts.values()))] == list(texts)
+
+
+class _Blind:
+    """A compressor to which everything is the same size."""
+
+    def compress(self, data):
+        return b"x" * 100
+
+
+def test_nothing_is_found_without_compression():
+    scanner = Scanner()
+    assert all(scanner.scan(t[1]) for t in TEMPLATES)
+    scanner._plain = _Blind()
+    scanner._templates = [t._replace(coder=_Blind()) for t in scanner._templates]
+    assert not any(scanner.scan(t[1]) for t in TEMPLATES)
+
+
+def test_each_template_is_compressed_with_a_candidate_block():
+    scanner, seen = Scanner(), []
+
+    class Counting:
+        def __init__(self, number, coder):
+            self.number, self.coder = number, coder
+
+        def compress(self, data):
+            seen.append(self.number)
+            return self.coder.compress(data)
+
+    scanner._templates = [t._replace(coder=Counting(i, t.coder)) for i, t in enumerate(scanner._templates)]
+    scanner.scan("Licensed under CC BY 4.0.")
+    assert {i for i, t in enumerate(scanner._templates) if t.window == 64} <= set(seen)
+
+
+def test_the_size_reduction_decides_between_overlapping_matches():
+    lesser = next(t for t in TEMPLATES if t[0] == "LGPL-3.0-or-later" and "program" in t[1])[1]
+    scanner, words = Scanner(), words_of(lesser)
+    names = {scanner._templates[m.template].name for m in scanner.matches(words, [0] * len(words))}
+    assert {"GPL-3.0-or-later", "LGPL-3.0-or-later"} <= names  # both wordings are near enough
+    assert [f[0] for f in scanner.scan_all(lesser)] == ["LGPL-3.0-or-later"]
