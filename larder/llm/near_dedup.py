@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm.columns import in_small_batches, load, needs, tidy
+from larder.llm.columns import in_small_batches, load, needs, own_name, tidy
 from larder.llm.components import components
 from larder.llm.registered import query
 from larder.llm.words import shingle_sets
@@ -365,9 +365,9 @@ def near_duplicates(
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **settings) -> DataFrame:
     """``docs`` with one document of each group of near copies; all columns unchanged, rows without an id stay."""
-    gone = near_duplicates(docs, id_col=id_col, **settings).where("NOT kept").select(F.col(id_col).alias("gone")).distinct()
-    gone = written(gone, "gone")
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("gone"), "left_anti")
+    gone = own_name(docs, "gone")
+    listed = near_duplicates(docs, id_col=id_col, **settings).where("NOT kept").select(F.col(id_col).alias(gone)).distinct()
+    return docs.join(written(listed, "gone"), F.col(id_col).cast("long") == F.col(gone), "left_anti")
 
 
 @query("op4_near_dedup")

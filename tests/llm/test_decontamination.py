@@ -4,6 +4,7 @@ import re
 
 import pytest
 
+from larder.llm import decontamination
 from larder.llm.decontamination import decontaminate, drop_contaminated
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -20,14 +21,14 @@ def _brute(docs, items, window=10):
         words, hit, found = _words(text), set(), set()
         for item, item_text in items:
             w = _words(item_text)
-            if item is None or not w:
+            if not w:
                 continue
             span = min(window, len(w))
             wanted = {tuple(w[i : i + span]) for i in range(len(w) - span + 1)}
             for i in range(len(words) - span + 1):
                 if tuple(words[i : i + span]) in wanted:
                     hit.update(range(i, i + span))
-                    found.add(str(item))
+                    found.update([] if item is None else [str(item)])
         sha = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
         out.append((doc, len(words), len(hit), len(found), sha, bool(hit)))
     return sorted(out, key=str)
@@ -71,7 +72,32 @@ def test_rows_of_every_kind(spark):
     assert _rows(decontaminate(given, listed)) == _brute([d[:2] for d in docs], [i[:2] for i in items])
     left = drop_contaminated(given, listed)
     assert left.columns == given.columns
-    assert {r.doc_id for r in left.collect()} == {1, 2, 3}
+    assert {r.doc_id for r in left.collect()} == {2, 3}  # "nothing" is the window of an item without an id
+
+
+def test_items_without_an_id(spark):
+    docs = spark.createDataFrame([(1, "we say nothing here"), (2, "we say all here")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "say nothing"), (None, "say all"), (7, "say all")], "item_id long, text string")
+    got = {r.doc_id: r for r in decontaminate(docs, items).collect()}
+    assert (got[1].n_hit, got[1].n_items, got[1].contaminated) == (2, 0, True) and got[1].items_sha256 == hashlib.sha256(b"").hexdigest()
+    assert (got[2].n_hit, got[2].n_items, got[2].contaminated) == (2, 1, True)
+    assert drop_contaminated(docs, items).count() == 0
+
+
+def test_the_words_decide(spark, monkeypatch):
+    """With a hash that takes all shingles for the same, every place of a window is claimed, and only the true ones stay."""
+    items = [(1, "one two three four five six"), (2, "a b")]
+    docs = [(1, "x one two three four five six y"), (2, "seven eight nine ten eleven twelve"), (2, "seven eight nine ten eleven twelve"), (3, "a b a c"), (4, "c a")]
+    monkeypatch.setattr(decontamination.F, "xxhash64", lambda *_: decontamination.F.lit(7).cast("long"))
+    got = decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert _rows(got) == _brute(docs, items)
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b c", "x", "y", 1), (2, "d", "x", "y", 2)], "doc_id long, text string, bad string, `a.b` string, digest int")
+    items = spark.createDataFrame([(1, "a b", 1)], "item_id long, text string, bad int")
+    left = drop_contaminated(docs, items)
+    assert left.columns == docs.columns and [tuple(r) for r in left.collect()] == [(2, "d", "x", "y", 2)]
 
 
 def test_empty_tables(spark):
