@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,7 +35,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
         model = language.fit(docs)
     except language.NothingToLearn:
         return docs.where(F.lit(False))
-    return language.identify(docs, model).where("NOT rejected").select(*docs.columns)
+    return language.identify(docs, model).where("NOT rejected").select(*[f"`{c}`" for c in docs.columns])
 
 
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,6 +55,8 @@ def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids): token ids of each text, decoded again and compared before they are written."""
+    import public_tokenizers
+
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     coded = bpe.encode(docs.select("doc_id", "text"), path, pattern=public_tokenizers.PATTERN, verify=True)
     return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids")
