@@ -4,6 +4,7 @@ from larder.registry import (  # noqa: F401
     behavior,
     edges,
     forecast,
+    history,
     inventory,
     invariants,
     menu,
