@@ -3,6 +3,7 @@
 from larder.registry import (  # noqa: F401
     behavior,
     edges,
+    extended,
     forecast,
     history,
     inventory,
