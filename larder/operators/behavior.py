@@ -160,12 +160,15 @@ def co_purchased_items(
     A pair reaches the support only if each of its items does, so items below it are dropped before any pair is
     built. What is left per order is bounded by (mean basket size / min_support) items. Baskets larger than
     ``slice_items`` are cut into slices on one side and repeated per slice on the other, so that the pairs of one
-    huge basket are built by many tasks. The number of orders is fetched when called.
+    huge basket are built by many tasks. The lines are read once: the distinct items of each order are written when called, and
+    the number of orders and of each item's orders come from that table.
     """
-    ordered = order_items.where("order_id IS NOT NULL AND item_id IS NOT NULL").select("order_id", "item_id").distinct()
-    total = F.lit(float(order_items.agg(F.countDistinct("order_id")).first()[0] or 1))
+    known = order_items.where("order_id IS NOT NULL").select("order_id", "item_id").distinct()
+    known = written(known, "baskets")
+    ordered = known.where("item_id IS NOT NULL")
+    total = F.lit(float(known.agg(F.countDistinct("order_id")).first()[0] or 1))
     frequency = ordered.groupBy("item_id").agg(F.count(F.lit(1)).alias("orders"))
-    frequent = frequency.where(F.col("orders") / total >= min_support)
+    frequent = written(frequency.where(F.col("orders") / total >= min_support), "frequent")
     kept = ordered.join(frequent, "item_id", "left_semi")
     sizes = kept.groupBy("order_id").agg(F.ceil(F.count(F.lit(1)) / slice_items).cast("int").alias("slices"))
     baskets = kept.join(sizes, "order_id")

@@ -14,23 +14,19 @@ IDLE_HOURS = 4
 def trim_history(turns: DataFrame, max_turns: int = 50) -> DataFrame:
     """The newest turns of each conversation; a system turn at its start is kept and counts as one of them.
 
-    The cut to the newest turns is done per partition before the turns of a conversation meet.
+    The cut to the newest turns is done per partition before the turns of a conversation meet. A head that lies before the cut
+    comes with the oldest turn that is kept, so the turns are read twice and joined once, with one row per conversation.
     """
-    first = turns.groupBy("conv_id").agg(
-        F.min("turn").alias("_first"), F.min_by("role", "turn").alias("_first_role"), F.count(F.lit(1)).alias("_n")
-    )
+    columns = turns.columns
+    first = turns.groupBy("conv_id").agg(F.min_by(F.struct(*columns), "turn").alias("_head"), F.count(F.lit(1)).alias("_n"))
     newest = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
     recent = (
         turns.withColumn("_age", F.row_number().over(newest)).where(F.col("_age") <= max_turns).join(first, "conv_id")
     )
-    starts_with_system = F.col("_first_role") == "system"
-    room = F.when(starts_with_system & (F.col("_n") > max_turns), max_turns - 1).otherwise(max_turns)
-    kept = recent.where(F.col("_age") <= room).select(*turns.columns)
-    long_ones = first.where(starts_with_system & (F.col("_n") > max_turns)).select(
-        "conv_id", F.col("_first").alias("turn")
-    )
-    heads = turns.join(long_ones, ["conv_id", "turn"], "left_semi").select(*turns.columns)
-    return kept.unionByName(heads)
+    has_head = (F.col("_head.role") == "system") & (F.col("_n") > max_turns)
+    row = F.struct(*columns)
+    rows = F.when(F.coalesce(has_head, F.lit(False)) & (F.col("_age") == max_turns), F.array("_head")).otherwise(F.array(row))
+    return recent.select(F.inline(rows))
 
 
 def visible_history(turns: DataFrame, include_system: bool = False) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
 import time
 from dataclasses import dataclass, field
 
@@ -246,6 +247,9 @@ def regression_metrics(predicted: DataFrame, label: str = "label", prediction: s
     )
 
 
+VECTOR_BYTES = 256 << 20  # of feature vectors in a task
+
+
 @dataclass
 class FittedForecaster:
     """A trained pipeline with its feature names and its scores on the held-out rows."""
@@ -278,6 +282,7 @@ def train_forecaster(
             minInstancesPerNode=5,
             seed=seed,
             maxMemoryInMB=1024,
+            checkpointInterval=50,  # each checkpoint is a job and a write; residuals in between are cached
             featuresCol="scaled",
         )
     elif kind == "random_forest":
@@ -304,10 +309,13 @@ def train_forecaster(
         train, test = marked.where("training"), marked.where(~F.col("training"))
         started = time.monotonic()
         prepared = prepare.fit(train)
-        vectors = prepared.transform(train).select("label", "scaled").persist(StorageLevel.MEMORY_AND_DISK)
+        train_rows = train.count()
+        # A level of a tree is one short stage over all rows: as many tasks as cores, more only where vectors outgrow them.
+        context = matrix.sparkSession.sparkContext
+        tasks = max(context.defaultParallelism, math.ceil(train_rows * (len(features) + 4) * 8 / VECTOR_BYTES))
+        vectors = prepared.transform(train).select("label", "scaled").repartition(tasks).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             fitted = learner.fit(vectors)
-            train_rows = vectors.count()
         finally:
             vectors.unpersist()
         seconds = time.monotonic() - started
