@@ -370,6 +370,24 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **settings) ->
     return docs.join(written(listed, "gone"), F.col(id_col).cast("long") == F.col(gone), "left_anti")
 
 
-@query("op4_near_dedup")
+# Exact pairs by a prefix filter on the words themselves, then every reachable document.
+OP4_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 1 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS s FROM w),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS h FROM s),
+rare AS (SELECT h, count(*) AS held FROM e GROUP BY h),
+prefixes AS (SELECT doc_id, h, n FROM (SELECT doc_id, e.h, n, row_number() OVER (PARTITION BY doc_id ORDER BY held, e.h) AS place FROM e JOIN rare ON e.h = rare.h)
+             WHERE place <= n - (80 * n + 99) // 100 + 1),
+met AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb FROM prefixes a JOIN prefixes b ON a.h = b.h AND a.doc_id < b.doc_id
+        WHERE 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
+common AS (SELECT a, b, na, nb, count(*) AS c FROM met JOIN e x ON x.doc_id = a JOIN e y ON y.doc_id = b AND y.h = x.h GROUP BY a, b, na, nb),
+links AS (SELECT a, b FROM common WHERE 100 * c >= 80 * (na + nb - c) UNION ALL SELECT b, a FROM common WHERE 100 * c >= 80 * (na + nb - c)),
+reach AS (SELECT doc_id, doc_id AS other FROM s UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON r.other = l.a),
+least_id AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, component_id, s.doc_id = component_id AS kept FROM s JOIN least_id ON s.doc_id = least_id.doc_id
+"""
+
+
+@query("op4_near_dedup", OP4_SQL)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(load(spark, sf_dir, "documents"), size=2)

@@ -80,3 +80,35 @@ def test_learning_input_of_every_kind(spark):
     model = language.fit(spark.createDataFrame([(1, "abc", "x", 1), (1, "abc", "x", 1), (None, "xyz", "y", None)], schema))
     assert model.learned == ["x", "y"] and model.predict("abc abc")[0] == "x"
     assert language.identify(spark.createDataFrame([], schema), model).count() == 0
+
+
+SF_QUERY = "/root/testdata/sf0.01"
+
+
+def test_query_learns_from_the_given_split_only(spark, tmp_path):
+    """The registered query: its split recomputed, held-out languages without influence, right about them, and every
+    prediction that of a plain loop over the centroids."""
+    import zlib
+
+    docs = spark.read.parquet(f"{SF_QUERY}/documents.parquet")
+    out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    docs.withColumn("lang", F.when(out, "xx").otherwise(F.col("lang"))).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in language.op10(spark, SF_QUERY).collect()}
+    other = {r.doc_id: r for r in language.op10(spark, str(tmp_path)).collect()}
+    assert all(r.held_out == (zlib.crc32(str(d).encode()) % 4 == 2) for d, r in got.items())
+    assert all((r.lang_pred, round(r.score, 6)) == (other[d].lang_pred, round(other[d].score, 6)) for d, r in got.items())
+    rows = docs.select("doc_id", "text", "lang").collect()
+    held = [got[r.doc_id].lang_pred == r.lang for r in rows if got[r.doc_id].held_out and r.lang and got[r.doc_id].lang_pred != "und"]
+    assert np.mean(held) > 0.98
+    model = language.fit(docs.where(~out).select("doc_id", "text", "lang"))
+    for r in rows[::10]:
+        if not any(c.isalpha() for c in r.text or ""):
+            assert got[r.doc_id].lang_pred == "und" and got[r.doc_id].score == 0
+            continue
+        vector = language.weighted(language.counts(r.text), model.idf)
+        best, at = -1.0, None
+        for name, centre in zip(model.languages, model.centroids):
+            cosine = sum(float(a) * float(b) for a, b in zip(vector, centre) if a and b)
+            if cosine > best + 1e-12:
+                best, at = cosine, name
+        assert got[r.doc_id].lang_pred == at and abs(got[r.doc_id].score - min(max(best, 0), 1)) < 1e-6
