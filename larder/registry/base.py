@@ -12,6 +12,30 @@ from larder.session import configure
 from larder.sources.standins import Standins
 
 
+#: The named tables that the test tables stand in for: attribute of Standins, and columns in order.
+TABLES: dict[str, tuple[str, str]] = {
+    "dim_add_ons": ("add_ons", "id, title, price, status"),
+    "dim_bill_of_materials": ("bill_of_materials", "parent_sku_id, sku_id, quantity"),
+    "dim_campaigns": ("campaigns", "id, title, discount, type, status"),
+    "dim_items": ("items", "id, title, price, type, section_id, status, vat"),
+    "dim_menu_items": ("menu_items", "id, index, price, rating, votes, purchases"),
+    "dim_places": ("places", "id, title, country, area, active"),
+    "dim_skus": ("skus", "item_id, quantity, low_stock_threshold"),
+    "dim_taxonomy_terms": ("taxonomy", "vocabulary"),
+    "dim_users": ("users", "id, orders, cltv, source, country"),
+    "fct_cash_balances": ("cash", "place_id, day, opening_balance, closing_balance"),
+    "fct_invoice_items": ("invoices", "amount, description"),
+    "fct_order_items": ("order_items", "order_id, item_id, menu_item_id, quantity, price, cost, total_cost, discount_amount, commission_amount"),
+    "fct_orders": ("orders", "id, place_id, created, total_amount, type, payment_method, source, status"),
+    "most_ordered": ("most_ordered", "item_id, place_id, order_count, item_name"),
+}
+
+
+def named_tables(t: Standins) -> dict[str, DataFrame]:
+    """Every named table, by name."""
+    return {n: getattr(t, a).withColumnRenamed("c_nationkey", "place_id").select(*c.split(", ")) for n, (a, c) in TABLES.items()}
+
+
 @dataclass(frozen=True)
 class Entry:
     run: Callable[[SparkSession, str], DataFrame]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from larder.functions import scalars
 from larder.functions.ranks import exact_percentiles, percentile_of
 from larder.operators import conversations, quality
-from larder.registry.base import query, r, rounded
+from larder.registry.base import TABLES, named_tables, query, r, rounded
 from larder.sources.orders import split_orders
 from larder.sources.stock import parse_stock, sku_to_inventory
 
@@ -100,16 +100,16 @@ def dq1(t):
     return quality.quality_report(lines.union(lines.where("order_id % 10 = 0")))
 
 
-@query(
-    "dq2_data_summary",
-    f"""SELECT 'fct_order_items' AS table_name, count(*) AS rows, 9 AS columns,
-               'order_id, item_id, menu_item_id, quantity, price, cost, total_cost, discount_amount, commission_amount' AS column_names,
-               {r('(count(*) - count(cost)) * 100.0::DOUBLE / (count(*) * 9)', 4, 'missing_pct')} FROM fct_order_items
-        UNION ALL
-        SELECT 'dim_places', count(*), 5, 'id, title, country, area, active', 0.0 FROM dim_places""",
-)
+def _summary_sql(name: str, columns: str) -> str:
+    each = columns.split(", ")
+    there = " + ".join(f'count("{c}")' for c in each)
+    return f"""SELECT '{name}' AS table_name, count(*) AS rows, {len(each)} AS columns, '{columns}' AS column_names,
+                      {r(f'CASE WHEN count(*) = 0 THEN 0 ELSE (count(*) * {len(each)} - ({there})) * 100.0::DOUBLE / (count(*) * {len(each)}) END', 4, 'missing_pct')} FROM {name}"""
+
+
+@query("dq2_data_summary", " UNION ALL ".join(_summary_sql(n, c) for n, (_, c) in TABLES.items()))
 def dq2(t):
-    return rounded(quality.data_summary({"fct_order_items": t.order_items, "dim_places": t.places}), missing_pct=4)
+    return rounded(quality.data_summary(named_tables(t)), missing_pct=4)
 
 
 # The test tables are clean, so prices and totals are shifted to give the checks something to find.

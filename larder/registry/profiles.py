@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from larder.operators import profiles
-from larder.registry.base import query, r, rounded
+from larder.registry.base import TABLES, named_tables, query, r, rounded
 
 
 def metrics(source: str, **expressions: str) -> str:
@@ -249,21 +249,9 @@ def pf13(t):
     return profiles.profile_taxonomy(t.taxonomy)
 
 
-SCHEMAS = {
-    "dim_items": "id, title, price, type, section_id, status, vat",
-    "dim_places": "id, title, country, area, active",
-    "fct_order_items": (
-        "order_id, item_id, menu_item_id, quantity, price, cost, total_cost, discount_amount, commission_amount"
-    ),
-    "fct_orders": "id, place_id, created, total_amount, type, payment_method, source, status",
-}
-
-
 @query(
     "pf14_profile_schemas",
-    union(*[f"SELECT '{n}' AS table_name, count(*) AS rows, '{c}' AS columns FROM {n}" for n, c in SCHEMAS.items()]),
+    union(*[f"SELECT '{n}' AS table_name, count(*) AS rows, '{c}' AS columns FROM {n}" for n, (_, c) in TABLES.items()]),
 )
 def pf14(t):
-    return profiles.profile_schemas(
-        {"dim_items": t.items, "dim_places": t.places, "fct_order_items": t.order_items, "fct_orders": t.orders}
-    )
+    return profiles.profile_schemas(named_tables(t))

@@ -7,10 +7,11 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from larder.functions.scalars import require_columns
-from larder.operators import inventory, menu
-from larder.registry.base import query, r, rounded
+from larder.operators import behavior, clusters, forecast, inventory, menu, prediction
+from larder.registry.base import TABLES, named_tables, query, r, rounded
 from larder.registry.inventory import analysis
 from larder.registry.menu import classified, performance
+from larder.registry.models import _clusters, _predictors, fitted
 from larder.session import scratch_path, written
 from larder.sources import schemas, sinks, tables
 from larder.sources.orders import append_menu_items, append_orders, append_restaurants
@@ -33,14 +34,10 @@ def src1(t):
     return tables.load_table(t.spark, base, "fct_orders")
 
 
-@query(
-    "src2_load_catalog",
-    """SELECT 'dim_items' AS table_name, count(*) AS rows FROM dim_items UNION ALL
-       SELECT 'dim_places', count(*) FROM dim_places UNION ALL SELECT 'fct_order_items', count(*) FROM fct_order_items""",
-)
+@query("src2_load_catalog", " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS rows FROM {n}" for n in TABLES))
 def src2(t):
     base = scratch_path(t.spark, "catalog")
-    for name, df in (("dim_items", t.items), ("dim_places", t.places), ("fct_order_items", t.order_items)):
+    for name, df in named_tables(t).items():
         as_csv(name, df, base)
     found = tables.load_catalog(t.spark, base, views=False)
     counts = [d.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("table_name"), "rows") for n, d in found.items()]
@@ -84,33 +81,62 @@ def src5_places(t):
 
 @query(
     "snk1_export_menu_results",
-    f"SELECT item_id, item_name, order_count, {r('price', 4)}, {r('revenue', 2)}, category FROM classified",
+    f"""SELECT 'classification' AS result, item_id, category AS label, {r('revenue', 2, 'value')} FROM classified
+        UNION ALL SELECT 'clusters', item_id, 'labelled', {r('price', 2, 'value')} FROM classified
+        UNION ALL SELECT 'recommendations', c.item_id, a.action, CAST(a.priority AS DOUBLE) FROM classified c JOIN category_actions a ON c.category = a.category
+        UNION ALL SELECT 'pricing', item_id, item_name, {r('revenue_gain', 2, 'value')} FROM suggestions""",
 )
 def snk1(t):
-    paths = sinks.export_menu_results({"classification": classified(t)}, scratch_path(t.spark, "exports"))
-    schema = "item_id long, item_name string, order_count long, price double, revenue double, category string"
-    return rounded(t.spark.read.schema(schema).option("header", True).csv(paths["classification"]), price=4, revenue=2)
+    """All four results, written as CSV and read back."""
+    found = classified(t)
+    results = {
+        "classification": found,
+        "clusters": clusters.item_clusters(fitted(_clusters, t), found),
+        "recommendations": menu.menu_recommendations(found),
+        "pricing": menu.pricing_suggestions(found),
+    }
+    paths = sinks.export_menu_results(results, scratch_path(t.spark, "exports"))
+    wanted = {
+        "classification": (F.col("category"), "revenue"),
+        "clusters": (F.when(F.col("cluster").between(0, 3), "labelled"), "price"),
+        "recommendations": (F.col("action"), "priority"),
+        "pricing": (F.col("item_name"), "revenue_gain"),
+    }
+    parts = []
+    for key, (label, value) in wanted.items():
+        back = t.spark.read.schema(results[key].schema).option("header", True).option("enforceSchema", False).csv(paths[key])
+        parts.append(rounded(back.select(F.lit(key).alias("result"), "item_id", label.alias("label"), F.col(value).cast("double").alias("value")), value=2))
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query(
     "snk2_export_inventory_results",
-    """SELECT 'alerts' AS result, count(*) AS rows, count(DISTINCT item_id) AS items FROM alerts UNION ALL
-       SELECT 'analysis', count(*), count(DISTINCT item_id) FROM analysis UNION ALL
-       SELECT 'counts', 1, 0""",
+    f"""SELECT 'hourly' AS result, CAST(hour AS BIGINT) AS key, {r('sum(price)', 2, 'value')} FROM order_lines GROUP BY hour
+        UNION ALL SELECT 'analysis', item_id, {r('recommended_order_qty', 2, 'value')} FROM analysis
+        UNION ALL SELECT 'alerts', item_id, {r('current_stock', 2, 'value')} FROM alerts
+        UNION ALL SELECT 'summary', critical_items, CAST(low_stock_items + excess_items AS DOUBLE) FROM alert_totals
+        UNION ALL SELECT 'importance', count(*), 1.0 FROM (SELECT unnest(['price', 'rating', 'votes', 'index', 'price_bucket', 'rating_score', 'log_price']))""",
 )
 def snk2(t):
+    """All five results, written as CSV and read back."""
     whole = written(analysis(t), "analysis")
     alerts = inventory.stock_alerts(whole)
-    found = {"analysis": whole, "alerts": alerts, "summary": inventory.alert_counts(alerts)}
-    paths = sinks.export_inventory_results(found, scratch_path(t.spark, "exports"))
-    names = {"alerts": "alerts", "analysis": "analysis", "summary": "counts"}
-
-    def sizes(key):
-        back = t.spark.read.option("header", True).csv(paths[key])
-        items = F.countDistinct("item_id") if "item_id" in back.columns else F.lit(0).cast("long")
-        return back.agg(F.count(F.lit(1)).alias("rows"), items.alias("items")).select(F.lit(names[key]).alias("result"), "rows", "items")
-
-    return reduce(DataFrame.unionByName, [sizes(key) for key in names])
+    model = fitted(_predictors, t).models["random_forest"]
+    results = {
+        "hourly": behavior.hourly_pattern(behavior.order_facts(t.order_items, t.orders)),
+        "analysis": whole,
+        "alerts": alerts,
+        "summary": inventory.alert_counts(alerts),
+        "importance": forecast.feature_importance(model, prediction.FEATURES, t.menu_items),
+    }
+    paths = sinks.export_inventory_results(results, scratch_path(t.spark, "exports"))
+    wanted = {"hourly": ("hour", "total_revenue"), "analysis": ("item_id", "recommended_order_qty"), "alerts": ("item_id", "current_stock")}
+    back = {k: t.spark.read.schema(d.schema).option("header", True).option("enforceSchema", False).csv(paths[k]) for k, d in results.items()}
+    parts = [rounded(back[k].select(F.lit(k).alias("result"), F.col(a).cast("long").alias("key"), F.col(b).cast("double").alias("value")), value=2) for k, (a, b) in wanted.items()]
+    counts = back["summary"].select(F.lit("summary").alias("result"), "critical_items", (F.col("low_stock_items") + F.col("excess_items")).cast("double"))
+    total = rounded(back["importance"].agg(F.count(F.lit(1)).alias("key"), F.sum("importance").alias("value")), value=4)
+    parts += [counts.toDF("result", "key", "value"), total.select(F.lit("importance").alias("result"), "key", "value")]
+    return reduce(DataFrame.unionByName, parts)
 
 
 SUMMARY_SQL = """SELECT (SELECT count(*) FROM dim_items) AS total_items, (SELECT count(DISTINCT place_id) FROM fct_orders) AS total_restaurants,
