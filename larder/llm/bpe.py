@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from larder.llm.columns import in_small_batches, load, needs, own_name, tidy
+from larder.llm.columns import in_small_batches, load, map_rows, needs, own_name, tidy
 from larder.llm.registered import query
 
 GROUP_BYTES = 1 << 20  # of text or tokens worked on at a time
@@ -377,7 +377,7 @@ def _mapped(docs: DataFrame, column: str, added: str, kind: T.DataType, read, wo
                 yield pa.RecordBatch.from_arrays([*kept, made], names=names)
 
     kept = docs.select(*[f"`{n}`" for n in names[:-1]], docs[f"`{column}`"].alias(source))
-    return in_small_batches(kept).mapInArrow(tidy(run, _release), schema)
+    return map_rows(kept, tidy(run, _release), schema)
 
 
 def encode(

@@ -10,6 +10,7 @@ from functools import lru_cache, wraps
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +63,21 @@ def in_small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def map_rows(df: DataFrame, run: Callable, schema: T.StructType) -> DataFrame:
+    """``run`` over Arrow batches of ``df``, whose columns it takes by position; the result has the names of ``schema``.
+
+    Inside, columns have plain names: Spark's own call does not take names with dots.
+    """
+
+    def renamed(batches: Iterator) -> Iterator:
+        for batch in run(batches):
+            yield pa.RecordBatch.from_arrays(batch.columns, names=[f"c{i}" for i in range(len(schema.fields))])
+
+    plain = in_small_batches(df).toDF(*[f"c{i}" for i in range(len(df.columns))])
+    inner = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(schema.fields)])
+    return plain.mapInArrow(renamed, inner).toDF(*schema.names)
+
+
 @lru_cache(1)
 def _trim() -> Callable[[int], int]:
     try:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larder.llm.columns import in_small_batches, load, needs, own_name, tidy
+from larder.llm.columns import in_small_batches, load, map_rows, needs, own_name, tidy
 from larder.llm.registered import query
 
 DIMENSIONS = 4096
@@ -213,7 +213,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
 
     text = docs[f"`{text_col}`"]
     given = docs.select(*[f"`{c}`" for c in kept], text.alias(source), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias(letters))
-    return in_small_batches(given).mapInArrow(tidy(run), schema)
+    return map_rows(given, tidy(run), schema)
 
 
 @query("op10_language_id")
