@@ -42,6 +42,7 @@ _CHUNK = 1000  # documents of a cluster compared with as many at a time
 _CHUNK_VALUES = 1_000_000  # shingles of such a chunk
 _SLAB = 4096  # columns of the matrices compared
 _MARKS = (1 << 23) - 15  # marks of the bitmap that picks documents; a prime, a megabyte
+_FULL = _MARKS // 4  # with more marks set the bitmap lets too many documents through, and ids are joined instead
 
 
 def _multipliers(coordinates: int) -> np.ndarray:
@@ -86,13 +87,14 @@ def _signatures(size: int, coordinates: int):
     return run
 
 
-def _sets(size: int, marked: np.ndarray):
+def _sets(size: int, marked: np.ndarray | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(marked, bitorder="little")
+        bits = None if marked is None else np.unpackbits(marked, bitorder="little")
         for batch in batches:
             batch = batch.filter(batch.column("doc_id").is_valid())
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-            batch = batch.filter(pa.array(bits[ids % _MARKS].astype(bool)))
+            if bits is not None:
+                ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+                batch = batch.filter(pa.array(bits[ids % _MARKS].astype(bool)))
             found = list(shingle_sets(batch.column("text").to_pylist(), size))
             offsets = np.concatenate(([0], np.cumsum([len(v) for v in found]))).astype(np.int32)
             flat = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
@@ -139,7 +141,8 @@ def _sets_of(nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     """(node, members): full shingle sets of the documents that ``nodes`` (doc_id) names, and of a few others.
 
     The ids are marked in a bitmap of fixed size (``_MARKS`` bits) that goes to the tasks, so texts are filtered where they are
-    read and never shuffled. Where two ids share a mark the other document's set is made, too; the joins drop it.
+    read and never shuffled. Where two ids share a mark the other document's set is made, too; the joins drop it. Once more
+    than ``_FULL`` marks are set, that would be most documents: then the ids are joined, and only texts they name are shuffled.
     """
     mark = F.pmod(F.col("doc_id"), F.lit(_MARKS)) + 1
     parts = nodes.groupBy(F.bitmap_bucket_number(mark).alias("bucket")).agg(
@@ -148,6 +151,8 @@ def _sets_of(nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     marked = np.zeros(_MARKS // 8 + 4096, dtype=np.uint8)
     for bucket, bits in parts.collect():  # at most _MARKS / 32768 rows of 4 KB
         marked[(bucket - 1) * 4096 : bucket * 4096] |= np.frombuffer(bits, dtype=np.uint8)
+    if np.unpackbits(marked).sum(dtype=np.int64) > _FULL:
+        docs, marked = docs.join(nodes.select("doc_id").distinct(), "doc_id", "left_semi"), None
     return in_small_batches(docs).mapInArrow(tidy(_sets(size, marked)), "node long, members array<long>")
 
 

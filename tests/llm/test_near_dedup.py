@@ -140,3 +140,20 @@ def test_a_connected_cluster_is_not_compared_with_itself(spark, monkeypatch):
     chunked = near_dedup._chunked(spark.createDataFrame(rows, "node long, cluster long, component long, n long")).collect()
     pairs = {(r.cluster, min(r.chunk, o), max(r.chunk, o)) for r in chunked for o in r.others}
     assert sum(len(r.others) for r in chunked) == 400 + 41 and pairs == {(0, 0, i) for i in range(41)}
+
+
+@pytest.mark.parametrize("long_list", [128, 4])
+def test_a_full_bitmap_gives_way_to_a_join(spark, monkeypatch, long_list):
+    monkeypatch.setattr(near_dedup, "_FULL", 0)
+    rows = _corpus(11, groups=6, hot=15) + [(None, "a b c d e f"), (2, "a b c d e f"), (2, "g h i j k l"), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = near_duplicates(docs, size=2, long_list=long_list).collect()
+    assert len(got) == len(rows)
+    assert {r.doc_id: r.component_id for r in got if r.doc_id is not None} == _brute([r for r in rows if r[0] is not None], 2)
+
+
+def test_the_join_makes_only_the_sets_asked_for(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "_FULL", 0)
+    docs = spark.createDataFrame([(i, f"a b c {i}") for i in range(50)], "doc_id long, text string")
+    asked = spark.createDataFrame([(3,), (3,), (41,), (999,)], "doc_id long")
+    assert sorted(r.node for r in near_dedup._sets_of(asked, docs, 2).collect()) == [3, 41]
