@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from larder.functions.calendar import order_calendar
 from larder.functions.ranks import exact_percentiles
@@ -34,12 +34,37 @@ def dashboard_hourly(orders: DataFrame, order_items: DataFrame) -> DataFrame:
     )
 
 
+def _mean_value() -> Column:
+    return F.bround(F.avg(number("total_amount")), 2).alias("avg_order_value")
+
+
+def _median_value(orders: DataFrame) -> Column:
+    return F.bround(exact_percentiles(orders, {"m": ("total_amount", 0.5)}).scalar(), 2).alias("median_order_value")
+
+
+def _per_day() -> Column:
+    at = event_time("created")
+    seconds = F.unix_timestamp(F.max(at)) - F.unix_timestamp(F.min(at))
+    days = F.greatest(F.floor(seconds / 86400), F.lit(1))
+    return F.bround(F.count(F.lit(1)) / days, 1).alias("avg_orders_per_day")
+
+
+def _peaks() -> list[Column]:
+    """Over orders with their calendar; orders without a time count for none of them."""
+    return [
+        F.mode("hour", True).alias("peak_hour"),
+        F.mode("day_name", True).alias("peak_day"),
+        F.bround(F.avg(F.col("is_weekend").cast("double")) * 100, 1).alias("weekend_pct"),
+    ]
+
+
+def _hour_of_peak() -> Column:
+    return F.format_string("%d:00", "peak_hour").alias("peak_hour_label")
+
+
 def order_value_stats(orders: DataFrame) -> DataFrame:
     """One row: mean and median order total, rounded to 2."""
-    median = exact_percentiles(orders, {"m": ("total_amount", 0.5)}).scalar()
-    return orders.agg(F.bround(F.avg(number("total_amount")), 2).alias("avg_order_value")).withColumn(
-        "median_order_value", F.bround(median, 2)
-    )
+    return orders.agg(_mean_value()).select("avg_order_value", _median_value(orders))
 
 
 def lines_per_order(order_items: DataFrame) -> DataFrame:
@@ -52,20 +77,12 @@ def lines_per_order(order_items: DataFrame) -> DataFrame:
 
 def orders_per_day(orders: DataFrame) -> DataFrame:
     """One row: orders over the whole days between the first and the last one, at least one day."""
-    at = event_time("created")
-    seconds = F.unix_timestamp(F.max(at)) - F.unix_timestamp(F.min(at))
-    days = F.greatest(F.floor(seconds / 86400), F.lit(1))
-    return orders.agg(F.bround(F.count(F.lit(1)) / days, 1).alias("avg_orders_per_day"))
+    return orders.agg(_per_day())
 
 
 def peak_by_mode(orders: DataFrame) -> DataFrame:
     """One row: commonest hour and day name of orders (lowest on ties), percent of weekend orders."""
-    timed = order_calendar(orders).where("order_datetime IS NOT NULL")
-    return timed.agg(
-        F.mode("hour", True).alias("peak_hour"),
-        F.mode("day_name", True).alias("peak_day"),
-        F.bround(F.avg(F.col("is_weekend").cast("double")) * 100, 1).alias("weekend_pct"),
-    ).select("peak_hour", F.format_string("%d:00", "peak_hour").alias("peak_hour_label"), "peak_day", "weekend_pct")
+    return order_calendar(orders).agg(*_peaks()).select("peak_hour", _hour_of_peak(), "peak_day", "weekend_pct")
 
 
 def dashboard_summary(
@@ -75,8 +92,13 @@ def dashboard_summary(
     alert_counts: DataFrame,
     model_metrics: DataFrame | None = None,
 ) -> DataFrame:
-    """One row with all headline figures; model scores only when there are any."""
-    totals = orders.agg(F.count(F.lit(1)).alias("total_orders"), F.countDistinct("place_id").alias("restaurants"))
+    """One row with all headline figures; model scores only when there are any.
+
+    The orders are read once for all figures but the median, which needs a pass of its own.
+    """
+    totals = order_calendar(orders).agg(
+        F.count(F.lit(1)).alias("total_orders"), F.countDistinct("place_id").alias("restaurants"), *_peaks(), _per_day(), _mean_value()
+    )
     # One pass over the lines: their number is the sum of the lines per order.
     per_order = order_items.groupBy("order_id").agg(F.count(F.lit(1)).alias("lines"), F.coalesce(F.sum("quantity"), F.lit(0.0)).alias("quantity"))
     known = F.col("order_id").isNotNull()
@@ -87,15 +109,12 @@ def dashboard_summary(
     )
     parts = {
         "menu": dim_items.agg(F.count(F.lit(1)).alias("menu_items")),
-        "peak": peak_by_mode(orders),
-        "rate": orders_per_day(orders),
         "lines": lines,
-        "amount": order_value_stats(orders),
         "alerts": alert_counts,
     }
     columns = ["total_orders", "lines.total_order_items", "restaurants", "menu.menu_items"]
-    columns += [*(f"{name}.*" for name in ("peak", "rate")), "lines.avg_items_per_order", "lines.avg_quantity_per_order"]
-    columns += [f"{name}.*" for name in ("amount", "alerts")]
+    columns += ["peak_hour", _hour_of_peak(), "peak_day", "weekend_pct", "avg_orders_per_day"]
+    columns += ["lines.avg_items_per_order", "lines.avg_quantity_per_order", "avg_order_value", _median_value(orders), "alerts.*"]
     if model_metrics is not None:
         parts["model"] = model_metrics
         columns += [F.col(f"model.{c}").alias(f"model_{c}") for c in ("r2", "mae", "rmse")]

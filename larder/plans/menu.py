@@ -6,6 +6,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from larder.operators import clusters, menu, prediction
+from larder.plans.report import Report
 
 
 def menu_report(
@@ -14,8 +15,8 @@ def menu_report(
     live_menu_items: DataFrame | None = None,
     with_clusters: bool = True,
     with_prediction: bool = False,
-) -> dict[str, DataFrame]:
-    """All results by name. The per-item performance feeds every one of them and is kept in memory or on disk."""
+) -> Report:
+    """All results by name, with the models fitted. The per-item performance feeds every one and is kept until released."""
     items = menu.item_performance(tables["most_ordered"], tables["dim_items"])
     if live_order_items is not None and live_menu_items is not None:
         items = menu.combined_item_performance(items, menu.live_item_performance(live_order_items, live_menu_items))
@@ -32,12 +33,13 @@ def menu_report(
         "pricing": pricing,
         "opportunity": menu.pricing_opportunity(pricing),
     }
+    models = {}
     if with_clusters:
-        fitted = clusters.fit_clusters(classified)
+        fitted = models["clusters"] = clusters.fit_clusters(classified)
         results["clusters"] = clusters.item_clusters(fitted, classified)
         results["cluster_summary"] = clusters.cluster_summary(results["clusters"])
         results["cluster_profiles"] = clusters.cluster_profiles(fitted, classified)
     if with_prediction:
-        predictors = prediction.train_predictors(tables["dim_menu_items"])
+        predictors = models["predictors"] = prediction.train_predictors(tables["dim_menu_items"])
         results["prediction_metrics"] = prediction.predictor_metrics(predictors, classified)
-    return results
+    return Report(results, models, [items])

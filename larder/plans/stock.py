@@ -6,6 +6,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from larder.operators import behavior, dashboard, forecast, inventory
+from larder.plans.report import Report
 
 
 def restock_list(
@@ -26,8 +27,9 @@ def analysed_stock(
 
 def stock_report(
     tables: dict[str, DataFrame], current: DataFrame, with_forecaster: bool = False, **policy
-) -> dict[str, DataFrame]:
-    """All results by name. Order facts and daily demand are shared and kept in memory or on disk."""
+) -> Report:
+    """All results by name, with the forecaster if one is fitted. Order facts, daily demand and the analysis are shared and
+    kept until released."""
     orders, order_items, items = tables["fct_orders"], tables["fct_order_items"], tables["dim_items"]
     keep = StorageLevel.MEMORY_AND_DISK
     facts = behavior.order_facts(order_items, orders).persist(keep)
@@ -50,9 +52,11 @@ def stock_report(
         "policy_summary": inventory.optimization_summary(planned),
         "summary": dashboard.inventory_summary(orders, order_items, items, insights, baskets, counts),
     }
+    models, kept = {}, [facts, daily, analysis]
     if with_forecaster:
         demand = forecast.demand_features(order_items, orders).persist(keep)
-        fitted = forecast.train_forecaster(forecast.feature_matrix(demand))
+        kept.append(demand)
+        fitted = models["forecaster"] = forecast.train_forecaster(forecast.feature_matrix(demand))
         results["metrics"] = forecast.forecaster_metrics(fitted, demand)
         results["importance"] = forecast.feature_importance(fitted.model, fitted.features, demand)
-    return results
+    return Report(results, models, kept)

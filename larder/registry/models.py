@@ -15,12 +15,12 @@ from larder.sources.standins import Standins
 
 
 @lru_cache(maxsize=4)
-def _predictors(application: str, sf_dir: str):
+def _predictors(application: str, version: str, sf_dir: str):
     return prediction.train_predictors(_tables(sf_dir).menu_items)
 
 
 @lru_cache(maxsize=4)
-def _forecaster(application: str, sf_dir: str):
+def _forecaster(application: str, version: str, sf_dir: str):
     t = _tables(sf_dir)
     demand = written(forecast.demand_features(t.order_items, t.orders), "demand")
     matrix = forecast.feature_matrix(demand)
@@ -28,7 +28,7 @@ def _forecaster(application: str, sf_dir: str):
 
 
 @lru_cache(maxsize=4)
-def _clusters(application: str, sf_dir: str):
+def _clusters(application: str, version: str, sf_dir: str):
     return clusters.fit_clusters(performance(_tables(sf_dir)))
 
 
@@ -36,9 +36,15 @@ def _tables(sf_dir: str) -> Standins:
     return Standins(SparkSession.getActiveSession(), sf_dir)
 
 
+def _version(t) -> str:
+    """One number over names, sizes and times of the folder's files; their content is not read."""
+    files = t.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(t.sf_dir)
+    return str(files.agg(F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(30,0)"))).first()[0])
+
+
 def fitted(kind, t):
-    """A model is fitted once per application and data folder and shared by the queries on it."""
-    return kind(t.spark.sparkContext.applicationId, t.sf_dir)
+    """A model is fitted once per application and state of the data folder and shared by the queries on it."""
+    return kind(t.spark.sparkContext.applicationId, _version(t), t.sf_dir)
 
 
 Z = "({c} - (SELECT avg({c}) FROM item_performance)) / (SELECT stddev_pop({c}) FROM item_performance)"

@@ -4,8 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from larder.functions import labels as L
-from larder.operators import behavior, conversations, forecast, inventory
+from larder.operators import behavior, conversations, dashboard, forecast, inventory
 from larder.plans.menu import menu_report
+from larder.plans.models import load_fitted
 from larder.plans.stock import stock_report
 from larder.registry import ENTRIES
 
@@ -116,6 +117,37 @@ def test_stock_report(tables):
     assert results["hourly"].count() == 24
 
 
+def test_reports_return_models_and_release_frames(spark, tables, tmp_path):
+    with menu_report({"most_ordered": tables.most_ordered, "dim_items": tables.items}) as report:
+        assert report["performance"].storageLevel.useMemory and set(report.models) == {"clusters"}
+        labels = {r.item_id: r.cluster for r in report["clusters"].collect()}
+        report.save_models(str(tmp_path))
+    assert not report["performance"].storageLevel.useMemory
+    again = load_fitted(spark, f"{tmp_path}/clusters")
+    assert again.features == report.models["clusters"].features and len(again.centres) == len(report.models["clusters"].centres)
+    assert {r.item_id: r.cluster for r in report["clusters"].collect()} == labels
+
+
+def test_headline_figures_read_the_orders_twice(spark, tmp_path):
+    """Once for all figures but the median."""
+    orders = spark.createDataFrame(
+        [(1, 1, 0, 10.0), (2, 1, 3600 * 30, 20.0), (3, None, 3600 * 30, None), (4, 2, None, 40.0)],
+        "id long, place_id long, created long, total_amount double",
+    )
+    lines = spark.createDataFrame([(1, 1, 2.0), (1, 2, 1.0), (None, 1, 5.0)], "order_id long, item_id long, quantity double")
+    orders.write.parquet(f"{tmp_path}/orders")
+    stored = spark.read.parquet(f"{tmp_path}/orders")
+    counts = spark.sql("SELECT 1L AS critical_items, 2L AS low_stock_items, 3L AS excess_items")
+    summary = dashboard.dashboard_summary(stored, lines, spark.range(3), counts)
+    scans = [x for x in plan(summary).split("Scan parquet")[1:] if "/orders" in x]
+    assert len(scans) == 2
+    row = summary.first().asDict()
+    apart = {**dashboard.peak_by_mode(orders).first().asDict(), **dashboard.order_value_stats(orders).first().asDict(), **dashboard.orders_per_day(orders).first().asDict()}
+    assert {k: row[k] for k in apart} == apart
+    assert (row["total_orders"], row["restaurants"], row["total_order_items"], row["menu_items"]) == (4, 2, 3, 3)
+    assert (row["peak_hour"], row["weekend_pct"], row["avg_order_value"], row["median_order_value"]) == (6, 0.0, 23.33, 20.0)
+
+
 def test_menu_report(tables):
     results = menu_report({"most_ordered": tables.most_ordered, "dim_items": tables.items})
     n = results["performance"].count()
