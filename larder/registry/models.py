@@ -227,7 +227,8 @@ def fc11(t):
 @query("fc12_predict_demand")
 def fc12(t):
     base = lines(t)
-    asked = t.most_ordered.select("item_id", "place_id", F.lit("2001-08-03").cast("date").alias("date"))
+    week = F.sequence(F.lit("2001-07-30").cast("date"), F.lit("2001-08-05").cast("date"))
+    asked = t.most_ordered.select("item_id", "place_id", F.explode(week).alias("date"))
     return forecast.predict_demand(fitted(_forecaster, t), asked, forecast.item_stats(base), forecast.place_stats(base))
 
 
