@@ -10,7 +10,7 @@ from check import compare, open_tables
 
 SF = "/root/testdata/sf0.001"
 #: Entries that fit models at full size: check.py runs them, and RUN_SLOW=1 here.
-FITTED = ("fc9 fc11 fc12_predict fc13_forecast_all fc13_every pr3 pr5 pr6_predict pr6_every me14 snk4_reloaded cl2 cl3 cl4 cl6 cl7").split()
+FITTED = ("fc9 fc11 fc12_predict fc12_reloaded fc13_forecast_all fc13_every pr3 pr5 pr6_predict pr6_every me14 snk4_reloaded cl2 cl3 cl4 cl6 cl7").split()
 CHECKED = sorted(n for n in oracle_sql() if n != "pipeline" and not re.match(r"op\d+_", n))
 
 
