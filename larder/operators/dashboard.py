@@ -94,7 +94,7 @@ def dashboard_summary(
 ) -> DataFrame:
     """One row with all headline figures; model scores only when there are any.
 
-    The orders are read once for all figures but the median, which needs a pass of its own.
+    The orders are read once for all figures but the median, which needs passes of its own: one when called, one or more in the plan.
     """
     totals = order_calendar(orders).agg(
         F.count(F.lit(1)).alias("total_orders"), F.countDistinct("place_id").alias("restaurants"), *_peaks(), _per_day(), _mean_value()

@@ -128,8 +128,8 @@ def test_reports_return_models_and_release_frames(spark, tables, tmp_path):
     assert {r.item_id: r.cluster for r in report["clusters"].collect()} == labels
 
 
-def test_headline_figures_read_the_orders_twice(spark, tmp_path):
-    """Once for all figures but the median."""
+def test_headline_figures_share_one_scan_of_the_orders(spark, tmp_path):
+    """One scan for all figures but the median, whose own is the second one in the plan."""
     orders = spark.createDataFrame(
         [(1, 1, 0, 10.0), (2, 1, 3600 * 30, 20.0), (3, None, 3600 * 30, None), (4, 2, None, 40.0)],
         "id long, place_id long, created long, total_amount double",
