@@ -32,19 +32,25 @@ def _small_star(edges: DataFrame) -> DataFrame:
     )
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether every edge leads straight to a root: no node has two edges down, or one down and one from above."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("down")).union(edges.select("b", F.lit(0)))
+    held = ends.groupBy("node").agg(F.sum("down").alias("down"), F.min("down").alias("least"))
+    return held.where("down > 1 OR (down = 1 AND least = 0)").count() == 0
+
+
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) for the nodes of ``links`` (a long, b long): component is the least node that can be reached.
 
     Nodes that are linked to none but themselves are left out. Repeated links, loops and links with a null end are allowed
-    and ignored. Each round is written to the shared folder, which cuts the lineage; rounds grow with the logarithm of
-    the longest path. A node with very many links is combined on the map side and its rows are split by the adaptive join.
+    and ignored. The links, computed once, and each round are written to the shared folder, which cuts the lineage; rounds
+    grow with the logarithm of the longest path. A node with very many links is combined on the map side and its rows are
+    split by the adaptive join.
     """
-    edges = written(links.select("a", "b").where("a <> b").distinct(), "links")
+    edges = written(links.select("a", "b").where("a <> b"), "links")
     for _ in range(most_rounds):
         edges = written(_small_star(_large_star(edges)), "stars")
-        parents = edges.select(F.col("b").alias("a")).distinct()
-        twice = edges.groupBy("a").count().where("count > 1").select("a")
-        if parents.join(edges.select("a"), "a", "left_semi").union(twice).isEmpty():
+        if _settled(edges):
             break
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")

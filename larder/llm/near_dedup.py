@@ -265,6 +265,11 @@ def _cluster_links(members: DataFrame, docs: DataFrame, size: int, percent: int)
     return blocks.groupBy("cluster", "low", "high").applyInArrow(run, "a long, b long")
 
 
+def _stars(reached: DataFrame) -> DataFrame:
+    """The links that (node, component) stands for: one a node, instead of all that were confirmed."""
+    return reached.select(F.col("node").alias("a"), F.col("component").alias("b"))
+
+
 def near_duplicates(
     docs: DataFrame,
     size: int = 5,
@@ -316,8 +321,7 @@ def near_duplicates(
         .distinct()
     )
     first = written(met.join(left, "a").join(right, "b").where(alike).select("a", "b"), "pairs")
-    links = written(_confirmed(first, given, size, percent).union(same_id), "confirmed")
-    reached = components(links)
+    reached = components(_confirmed(first, given, size, percent).union(same_id))
 
     # What is left: members of one list that are still apart.
     now = prefixes.join(reached, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -342,8 +346,7 @@ def near_duplicates(
         "apart",
     )
     if not apart.isEmpty():
-        links = written(_confirmed(apart, given, size, percent).union(links), "confirmed")
-        reached = components(links)
+        reached = components(_confirmed(apart, given, size, percent).union(_stars(reached)))
 
     long = mixed.where("is_long").select("pair", "head")
     if not long.isEmpty():
@@ -355,7 +358,7 @@ def near_duplicates(
             .withColumn("component", F.coalesce("component", "node"))
             .join(signed.select("node", "n"), "node")
         )
-        reached = components(_cluster_links(written(members, "clusters"), given, size, percent).union(links))
+        reached = components(_cluster_links(written(members, "clusters"), given, size, percent).union(_stars(reached)))
     return (
         rows.join(reached, "node", "left")
         .withColumn("component", F.coalesce("component", "node", "doc_id"))
