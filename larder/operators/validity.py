@@ -2,7 +2,8 @@
 
 Neither multiplies facts. The as-of join has no join at all: facts and dated values are ordered together, in time buckets, so a key with
 a third of the rows is spread over its buckets. The interval join meets a period in the few buckets that it touches; a period
-that touches more, or never ends, is joined by its key alone and stands there once.
+that touches more, or never ends, is joined by its key alone and stands there once. Where only the number of periods in force and the
+best of them are wanted, ``standing`` tells both per moment, and facts meet the moments by an as-of join instead of the periods.
 """
 
 from __future__ import annotations
@@ -74,17 +75,59 @@ def in_force(facts: DataFrame, periods: DataFrame, key: str, at: str, start: str
     return in_bucket.unionByName(lasting).drop("_key", "_pkey", "_at", "_start", "_end", "_bucket")
 
 
+LEVELS = 45  # two to this power is more than all seconds that a timestamp can tell
+EARLIEST = -9_223_372_036_854  # the first whole second of a timestamp
+
+
+def standing(periods: DataFrame, key: str, start: str, end: str, rank: Column) -> DataFrame:
+    """Per ``key`` the moments at which a period starts or ends, as ``since``, with ``periods``, the number in force from then on, and
+    ``best``, the greatest ``rank`` among them.
+
+    Null ends and keys count as in ``in_force``. No moment meets all periods of its key: a period is cut into aligned spans of 1, 2, 4, ...
+    seconds, at most two of each length; their counts and greatest ranks are summed up per span, and a moment looks up the one span
+    of each length that it lies in. Rows grow with the periods alone, whatever they overlap.
+    """
+    origin = 1 << (LEVELS - 1)
+    dated = periods.where(F.col(key).isNotNull()).select(
+        F.col(key).alias("_key"),
+        (F.coalesce(_seconds(F.col(start)), F.lit(EARLIEST)) + origin).alias("_from"),
+        F.coalesce(_seconds(F.col(end)) + origin, F.lit(1 << LEVELS)).alias("_to"),
+        rank.alias("_rank"),
+    )
+    dated = dated.where("_from < _to")
+    levels = F.explode(F.sequence(F.lit(0), F.lit(LEVELS))).alias("_level")
+    first, after = F.expr("shiftright(_from + shiftleft(1L, _level) - 1, _level)"), F.expr("shiftright(_to, _level)")
+    spans = (
+        dated.select("*", levels)
+        .withColumns({"_first": first, "_after": after})
+        .where("_first < _after")
+        .select("_key", "_level", "_rank", F.explode(F.array(F.when(F.col("_first") % 2 == 1, F.col("_first")), F.when(F.col("_after") % 2 == 1, F.col("_after") - 1))).alias("_span"))
+        .where("_span IS NOT NULL")
+        .groupBy("_key", "_level", "_span")
+        .agg(F.count(F.lit(1)).alias("_periods"), F.max("_rank").alias("_best"))
+    )
+    moments = dated.select("_key", F.explode(F.array("_from", "_to")).alias("_at")).where(F.col("_at") < 1 << LEVELS).distinct()
+    inside = moments.select("*", levels).withColumn("_span", F.expr("shiftright(_at, _level)"))
+    return (
+        inside.join(spans, ["_key", "_level", "_span"], "left")
+        .groupBy("_key", "_at")
+        .agg(F.coalesce(F.sum("_periods"), F.lit(0)).alias("periods"), F.max("_best").alias("best"))
+        .select(F.col("_key").alias(key), F.timestamp_seconds(F.col("_at") - origin).alias("since"), "periods", "best")
+    )
+
+
 def campaign_at_order(orders: DataFrame, campaigns: DataFrame) -> DataFrame:
     """Per order: campaigns in force at its place when it was placed, and the best of them (greatest discount, then least id).
 
     ``orders``: id, place_id, placed. ``campaigns``: campaign_id, place_id, discount, starts, ends. Orders without a campaign have a
-    null campaign_id and 0 campaigns.
+    null campaign_id and 0 campaigns; orders that share an id share their campaigns. Orders never meet single campaigns: they take
+    what stands since the last moment at which one of their place's campaigns started or ended.
     """
-    found = in_force(orders.select("id", "place_id", "placed"), campaigns.select("campaign_id", "place_id", "discount", "starts", "ends"), "place_id", "placed", "starts", "ends")
-    best = found.groupBy("id").agg(
-        F.count(F.lit(1)).alias("campaigns"), F.max(F.struct("discount", (-F.col("campaign_id")).alias("least"))).alias("best")
-    )
-    return orders.select("id", "place_id", "placed").join(best, "id", "left").select(
+    heads = orders.select("id", "place_id", "placed")
+    rank = F.struct("discount", (-F.col("campaign_id")).alias("least"))
+    found = as_of(heads, standing(campaigns, "place_id", "starts", "ends", rank), "place_id", "placed", "since")
+    best = found.where("id IS NOT NULL AND periods > 0").groupBy("id").agg(F.sum("periods").alias("campaigns"), F.max("best").alias("best"))
+    return heads.join(best, "id", "left").select(
         "id", "place_id", F.coalesce("campaigns", F.lit(0)).alias("campaigns"), (-F.col("best.least")).alias("campaign_id"), F.col("best.discount").alias("discount")
     )
 

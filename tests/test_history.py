@@ -86,6 +86,46 @@ def test_an_open_period_stands_once(spark, monkeypatch):
     assert short.count("Generate explode") == 1
 
 
+def test_campaigns_at_orders_against_pairs(spark, monkeypatch):
+    """Ties, repeated ids and campaigns, nulls everywhere; orders are never paired with campaigns."""
+    monkeypatch.setattr(validity, "in_force", None)
+    draw = random.Random(3)
+    orders = [(draw.choice([None, *[draw.randrange(900)] * 30]), draw.choice([None, 1, 1, 1, 2, 3]), draw.choice([None, *[draw.randrange(9000)] * 9])) for _ in range(1200)]
+    campaigns = []
+    for c in range(150):
+        start = draw.choice([None, draw.randrange(9000), draw.randrange(9000)])
+        length = draw.choice([None, 0, -5, 1, 24, 24 * 30, 24 * 200])
+        row = (draw.choice([c, c, None]), draw.choice([None, 1, 2, 4]), draw.choice([None, 5, 6, 7]), start, None if None in (start, length) else start + length)
+        campaigns += [row] * draw.choice([1, 1, 2])
+    got = validity.campaign_at_order(
+        spark.createDataFrame([(i, k, _day(h)) for i, k, h in orders], "id long, place_id long, placed timestamp"),
+        spark.createDataFrame([(c, k, d, _day(a), _day(b)) for c, k, d, a, b in campaigns], "campaign_id long, place_id long, discount int, starts timestamp, ends timestamp"),
+    )
+    met = Counter()
+    best = {}
+    low = lambda v: (v is not None, v or 0)
+    for i, k, h in orders:
+        for c, k2, d, a, b in campaigns:
+            if None not in (i, k, h) and k == k2 and (a is None or a <= h) and (b is None or h < b):
+                met[i] += 1
+                best[i] = max(best.get(i, (low(None), low(None))), (low(d), low(None if c is None else -c)))
+    plain = lambda v: v[1] if v[0] else None
+    want = []
+    for i, k, _ in orders:
+        d, c = (plain(v) for v in best.get(i, (low(None), low(None))))
+        want.append((i, k, met[i], None if c is None else -c, d))
+    order = lambda r: tuple(map(str, r))
+    assert sorted(map(tuple, got.collect()), key=order) == sorted(want, key=order)
+
+
+def test_moments_grow_with_the_periods_alone(spark):
+    """A thousand periods that all overlap: two moments each, whose count is right; none is held for every other."""
+    periods = spark.range(1000).select(F.lit(1).alias("k"), (F.lit(BEGIN) + F.make_dt_interval(F.lit(0), F.col("id").cast("int"))).alias("starts"), (F.lit(BEGIN) + F.make_dt_interval(F.lit(200), F.col("id").cast("int"))).alias("ends"), "id")
+    rows = validity.standing(periods, "k", "starts", "ends", F.col("id")).orderBy("since").collect()
+    assert [r.periods for r in rows] == [*range(1, 1001), *range(999, -1, -1)]
+    assert [r.best for r in rows] == [*range(1000), *[999] * 999, None]
+
+
 def _snapshots(spark, seed):
     draw = random.Random(seed)
     row = lambda: (draw.choice([None, *range(6)]), draw.choice([None, "a", "b"]), draw.choice([None, 1.5, 2.0]))
