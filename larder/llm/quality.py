@@ -5,8 +5,9 @@ function of the difference of the two scores, and a score is a weighted sum of f
 from the logistic loss on feature differences (Newton steps with a small ridge). The scores are then cut at a quantile:
 the share of rejected documents among all labelled ones falls below the cut, and a shift maps the cut to ``threshold``.
 
-Learning uses a bounded sample of labelled rows (``per_class`` of each label, by the least hash of the id); their features are
-made in tasks, and the driver fits on that many short rows. Scoring is one pass over the whole texts without a shuffle.
+All labelled rows take part. Their features are made in tasks; documents are dealt into groups that hold both labels and are paired
+there, and a Newton step sums slope and curvature over the groups, so the driver sees numbers of the weights' size only. The cut is
+narrowed by counts. Scoring is one pass over the whole texts without a shuffle.
 """
 
 from __future__ import annotations
@@ -14,22 +15,27 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larder.llm.columns import in_small_batches, load, map_rows, needs, own_name, tidy
 from larder.llm.registered import query
+from larder.session import written
 
 FEATURES = (
     "log_bytes log_words word_length long_words upper digits marks shouts bars other_marks lines line_words "
     "distinct_words top_word twin_words distinct_lines sentence_words sentences_ended packing short_text"
 ).split()
 _PACK = 1 << 16  # bytes compressed at a time
+FEW_IDS = 200_000  # up to so many labelled ids go to all tasks, so that only their texts are read closely
+GROUP_RARE, GROUP_COMMON = 1000, 4000  # documents of the rarer and of the other label that are paired together
+MOST_VALUES = 10_000  # scores around the cut that are ordered on the driver
 
 
 def features(text: str | None) -> list[float]:
@@ -94,25 +100,96 @@ def _expanded(rows: np.ndarray, centre: np.ndarray, scale: np.ndarray) -> np.nda
     return np.hstack([z, z * z])
 
 
-def bradley_terry(better: np.ndarray, worse: np.ndarray, ridge: float = 1.0, steps: int = 30) -> np.ndarray:
-    """Weights w that minimise the sum of log(1 + exp(-w . (better - worse))) and ridge / 2 * |w|^2."""
-    gaps = better - worse
-    w = np.zeros(gaps.shape[1])
+def _newton(sums: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], size: int, ridge: float, steps: int) -> np.ndarray:
+    """Weights by Newton steps; ``sums`` gives the summed gaps by chance of error, and the summed curvature, for given weights."""
+    w = np.zeros(size)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(np.clip(gaps @ w, -30, 30)))
-        slope = -gaps.T @ p + ridge * w
-        curve = (gaps * (p * (1 - p))[:, None]).T @ gaps + ridge * np.eye(len(w))
-        step = np.linalg.solve(curve, slope)
+        slope, curve = sums(w)
+        step = np.linalg.solve(curve + ridge * np.eye(size), ridge * w - slope)
         w = w - step
         if np.abs(step).max() < 1e-8:
             break
     return w
 
 
+def _slope_and_curve(gaps: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    p = 1 / (1 + np.exp(np.clip(gaps @ w, -30, 30)))
+    return gaps.T @ p, (gaps * (p * (1 - p))[:, None]).T @ gaps
+
+
+def bradley_terry(better: np.ndarray, worse: np.ndarray, ridge: float = 1.0, steps: int = 30) -> np.ndarray:
+    """Weights w that minimise the sum of log(1 + exp(-w . (better - worse))) and ridge / 2 * |w|^2."""
+    gaps = better - worse
+    return _newton(lambda w: _slope_and_curve(gaps, w), gaps.shape[1], ridge, steps)
+
+
+def _values(table: pa.Table) -> np.ndarray:
+    return np.array(table.column("f").to_pylist(), dtype=float).reshape(table.num_rows, -1)
+
+
+def _labelled_features(docs: DataFrame, chosen: DataFrame, few: bool) -> DataFrame:
+    """(id, label, f) for the (id, label) of ``chosen`` that have a document. No text is shuffled: short rows meet the labels."""
+    if few:
+        docs = docs.join(F.broadcast(chosen.select("id").distinct()), "id", "left_semi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = pa.array([features(t) for t in batch.column("text").to_pylist()], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("hash"), rows], names=["id", "hash", "f"])
+
+    given = in_small_batches(docs.where("id IS NOT NULL").select("id", F.xxhash64("text").alias("hash"), "text"))
+    made = given.mapInArrow(tidy(run), f"id {docs.schema['id'].dataType.simpleString()}, hash long, f array<double>")
+    return made.join(chosen, "id").groupBy("id", "label").agg(F.min_by("f", F.struct("hash", "f")).alias("f"))
+
+
+def _dealt(rows: DataFrame, counts: dict[int, int]) -> DataFrame:
+    """``rows`` in groups ``part`` of bounded size with both labels: the rarer label stands in as many groups as the other one needs."""
+    rare = 0 if counts[0] <= counts[1] else 1
+    groups = max(1, counts[rare] // GROUP_RARE)
+    times = math.ceil(counts[1 - rare] / (groups * GROUP_COMMON))
+    spread = F.pmod(F.xxhash64("id"), F.lit(groups * times))
+    own = F.transform(F.sequence(F.lit(0), F.lit(times - 1)), lambda k: F.pmod(spread, F.lit(groups)) + k * groups)
+    parts = F.when(F.col("label") == rare, own).otherwise(F.array(spread))
+    return rows.withColumn("part", F.explode(parts)).repartition("part")
+
+
+def _cut(scored: DataFrame, counts: dict[int, int], shares: dict[int, int]) -> float:
+    """The middle between the score at which the share of rejected documents is reached, each label weighted as often as it
+    occurs, and the next one. Ranges of scores are counted until few scores are left, which are ordered."""
+
+    def reached(bad: int, good: int) -> bool:
+        return bad * shares[0] / counts[0] + good * shares[1] / counts[1] >= shares[0] - 1e-9 * (shares[0] + shares[1])
+
+    low, high = scored.agg(F.min("raw"), F.max("raw")).first()
+    before, n = [0, 0], counts[0] + counts[1]
+    r = {"bad": counts[0], "good": counts[1]}
+    while n > MOST_VALUES and low < high:
+        here = scored.where(F.col("raw").between(low, high))
+        bin_ = F.least(F.floor((F.col("raw") - low) * (256 / (high - low))), F.lit(255)).alias("bin")
+        found = here.groupBy(bin_).agg(F.count_if(F.col("label") == 0).alias("bad"), F.count_if(F.col("label") == 1).alias("good"), F.min("raw").alias("low"), F.max("raw").alias("high")).orderBy("bin").collect()
+        for r in found:
+            if reached(before[0] + r["bad"], before[1] + r["good"]) or r is found[-1]:
+                low, high, n = r["low"], r["high"], r["bad"] + r["good"]
+                break
+            before = [before[0] + r["bad"], before[1] + r["good"]]
+    if n > MOST_VALUES:  # all the same: the next score is another one only if the last of them is what it takes
+        raw, last = low, r["good"] > 0
+        alone = not reached(before[0] + r["bad"] - (not last), before[1] + r["good"] - last)
+    else:
+        values = sorted((v["raw"], v["label"]) for v in scored.where(F.col("raw").between(low, high)).collect())
+        for at, (raw, label) in enumerate(values):
+            before[label] += 1
+            if reached(*before):
+                break
+        alone = at + 1 == len(values)
+    following = scored.where(F.col("raw") > high).agg(F.min("raw")).first()[0] if alone else raw if n > MOST_VALUES else values[at + 1][0]
+    return float((raw + (raw if following is None else following)) / 2)
+
+
 def fit(
     docs: DataFrame,
     labels: DataFrame,
-    per_class: int = 3000,
+    per_class: int | None = None,
     pairs_each: int = 4,
     threshold: float = 0.3,
     id_col: str = "doc_id",
@@ -121,10 +198,10 @@ def fit(
 ) -> Ranking:
     """A ranking from ``labels`` (id, 0 or 1; other values and nulls are ignored) of ``docs``.
 
-    At most ``per_class`` ids of each label take part; each rejected document is compared with ``pairs_each`` preferred ones.
-    Ids that are labelled both ways, or more than once, count once for each label; of rows that repeat an id, the text with the
-    least hash takes part, so that at most 2 * ``per_class`` rows reach the driver and a repeated fit is the same. Raises ValueError unless both labels
-    have documents.
+    All labelled documents take part, or those of the ``per_class`` ids of each label with the least hash, if that is given; each
+    document of the commoner label in a group is compared with ``pairs_each`` of the other. Ids that are labelled both ways, or more
+    than once, count once for each label; of rows that repeat an id, the text with the least hash takes part, so that a repeated fit
+    is the same. Raises ValueError unless both labels have documents.
     """
     needs(docs, id_col, text_col)
     needs(labels, id_col, label_col)
@@ -132,45 +209,56 @@ def fit(
         F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")
     )
     shares = {r["label"]: r["n"] for r in marked.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    # A sort with a limit keeps its ``per_class`` rows per partition: nothing grows with the labels.
-    chosen = [marked.where(F.col("label") == k).distinct().orderBy(F.xxhash64("id"), "id").limit(per_class) for k in (0, 1)]
-    chosen = F.broadcast(chosen[0].union(chosen[1]))  # at most 2 * per_class short rows
-    sample = (
-        docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-        .join(chosen, "id")
-        .groupBy("id", "label")
-        .agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
-    )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [features(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("label"), pa.array(rows, pa.list_(pa.float64()))], names=["id", "label", "f"]
-            )
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = in_small_batches(sample).mapInArrow(tidy(run), f"id {kind}, label int, f array<double>").collect()
-    rows.sort(key=lambda r: (r["label"], str(r["id"]), r["f"]))
-    values = np.array([r["f"] for r in rows]).reshape(len(rows), -1)
-    good = np.array([r["label"] == 1 for r in rows], dtype=bool)
-    if not good.any() or good.all():
+    chosen = marked.distinct()
+    if per_class is not None:
+        # A sort with a limit keeps its ``per_class`` rows per partition: nothing grows with the labels.
+        limited = [chosen.where(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(per_class) for k in (0, 1)]
+        chosen = limited[0].union(limited[1])
+    given = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = written(_labelled_features(given, chosen, sum(shares.values()) <= FEW_IDS), "quality-features")
+    each = [F.col("f")[i] for i in range(len(FEATURES))]
+    counted = rows.agg(F.count_if(F.col("label") == 0), F.count_if(F.col("label") == 1), F.array(*map(F.avg, each)), F.array(*map(F.stddev_pop, each))).first()
+    counts = {0: counted[0], 1: counted[1]}
+    if not all(counts.values()):
         raise ValueError("documents of both labels are needed")
-    centre, scale = values.mean(axis=0), np.maximum(values.std(axis=0), 1e-6)
-    z = _expanded(values, centre, scale)
-    better, worse = z[good], z[~good]
-    draw = np.random.default_rng(11)
-    left = np.concatenate([draw.permutation(np.arange(max(len(better), len(worse))) % len(better)) for _ in range(pairs_each)])
-    right = np.tile(np.arange(max(len(better), len(worse))) % len(worse), pairs_each)
-    weights = bradley_terry(better[left], worse[right])
-    # The quantile is taken over the sample with each label weighted as often as it occurs.
-    raw = z @ weights
-    weight = np.where(good, shares[1] / good.sum(), shares[0] / (~good).sum())
-    order = np.argsort(raw, kind="stable")
-    below = np.cumsum(weight[order]) / weight.sum()
-    at = min(int(np.searchsorted(below, shares[0] / (shares[0] + shares[1]))), len(raw) - 1)
-    upper = raw[order[min(at + 1, len(raw) - 1)]]
-    return Ranking(weights, centre, scale, float((raw[order[at]] + upper) / 2), threshold)
+    centre, scale = np.array(counted[2]), np.maximum(np.array(counted[3]), 1e-6)
+    size = 2 * len(FEATURES)
+    dealt = _dealt(rows, counts).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def sums(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        def run(table: pa.Table) -> pa.Table:
+            ids, labels_ = table.column("id").to_pylist(), table.column("label").to_pylist()
+            order = sorted(range(len(ids)), key=lambda i: (labels_[i], str(ids[i])))
+            z, good = _expanded(_values(table), centre, scale)[order], np.array(labels_)[order] == 1
+            better, worse = z[good], z[~good]
+            n = max(len(better), len(worse))
+            total = np.zeros(size + size * size)
+            if len(better) and len(worse):
+                draw = np.random.default_rng(11)
+                left = np.concatenate([draw.permutation(np.arange(n) % len(better)) for _ in range(pairs_each)])
+                slope, curve = _slope_and_curve(better[left] - worse[np.tile(np.arange(n) % len(worse), pairs_each)], w)
+                total = np.concatenate([slope, curve.ravel()])
+            return pa.table({"sums": pa.array([total.tolist()], pa.list_(pa.float64()))})
+
+        parts = dealt.groupBy("part").applyInArrow(run, "sums array<double>").select(F.posexplode("sums").alias("at", "v"))
+        found = parts.groupBy("at").agg(F.sum("v").alias("v")).collect()  # one number for each weight and pair of weights
+        total = np.zeros(size + size * size)
+        for r in found:
+            total[r["at"]] = r["v"]
+        return total[:size], total[size:].reshape(size, size)
+
+    try:
+        weights = _newton(sums, size, 1.0, 30)
+    finally:
+        dealt.unpersist()
+
+    def raw_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = _expanded(_values(batch), centre, scale) @ weights
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(raw, pa.float64())], names=["label", "raw"])
+
+    scored = rows.select("label", "f").mapInArrow(tidy(raw_scores), "label int, raw double")
+    return Ranking(weights, centre, scale, _cut(scored, counts, shares), threshold)
 
 
 def score(docs: DataFrame, ranking: Ranking, text_col: str = "text") -> DataFrame:

@@ -98,3 +98,23 @@ def test_a_repeated_fit_is_the_same(spark):
     labels = spark.createDataFrame([(i, int(i < 10)) for i in range(20)], "doc_id long, quality int")
     fits = [quality.fit(spark.createDataFrame(rows[::step], "doc_id long, text string").repartition(n), labels, per_class=10) for step, n in ((1, 3), (-1, 5))]
     assert np.allclose(fits[0].weights, fits[1].weights)
+
+
+def test_all_labelled_rows_are_learnt_from(spark, monkeypatch):
+    """Centre and cut are those of all rows, not of some thousands; groups hold both labels and every row."""
+    rows = [(i, ("plain words " * (1 + i % 40)) + "x" * (i % 7)) for i in range(9000)] + [(i, "JUNK!! 99 " * (1 + i % 50)) for i in range(9000, 10_500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 9000)) for i in range(10_500)], "doc_id long, quality int")
+    ranking = quality.fit(docs, labels)
+    values = np.array([quality.features(t) for _, t in rows])
+    assert np.allclose(ranking.centre, values.mean(axis=0))
+    raw = np.sort(ranking.raw(values))
+    assert ranking.cut == pytest.approx((raw[1499] + raw[1500]) / 2)
+    monkeypatch.setattr(quality, "FEW_IDS", 0)
+    monkeypatch.setattr(quality, "MOST_VALUES", 10)
+    again = quality.fit(docs, labels)
+    assert np.allclose(again.weights, ranking.weights) and again.cut == pytest.approx(ranking.cut)
+    dealt = quality._dealt(labels.select(F.col("doc_id").alias("id"), F.col("quality").alias("label")), {0: 1500, 1: 9000})
+    assert dealt.where("label = 1").count() == 9000 and dealt.select("id").distinct().count() == 10_500
+    sizes = dealt.groupBy("part", "label").count().collect()
+    assert len(sizes) == 2 * 3 and max(r["count"] for r in sizes) < 2 * quality.GROUP_COMMON
