@@ -258,7 +258,7 @@ def sq3(t):
 
 def _stored(t, file_format="parquet"):
     name, base = f"kept_{uuid.uuid4().hex[:12]}", scratch_path(t.spark, "stored")
-    return (*stored.store_orders(t.spark, t.orders, t.order_items, name, base, 8, file_format), name, base)
+    return (*stored.store_orders(t.spark, t.orders, t.order_items, name, base, stored.buckets_for(t.order_items), file_format), name, base)
 
 
 @query(

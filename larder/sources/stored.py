@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from larder.functions.scalars import event_time
 
 
+ROWS_PER_BUCKET = 400_000  # a bucket is sorted and joined by one task
+
+
+def buckets_for(df: DataFrame, least: int = 8) -> int:
+    """Buckets for a table of as many rows as ``df``: no more rows in each, on average, however large it is. Counts the rows."""
+    return max(least, math.ceil(df.count() / ROWS_PER_BUCKET))
+
+
 def store_bucketed(df: DataFrame, table: str, key: str, buckets: int, path: str, file_format: str = "parquet") -> DataFrame:
     """``df`` as a catalogue table with its rows dealt into ``buckets`` by ``key`` and sorted by it inside them.
 
@@ -19,8 +29,11 @@ def store_bucketed(df: DataFrame, table: str, key: str, buckets: int, path: str,
 
 
 def store_partitioned(df: DataFrame, table: str, by: str, path: str, file_format: str = "parquet", rows_per_file: int = 5_000_000) -> DataFrame:
-    """``df`` as a catalogue table with a folder per value of ``by``; a filter on it reads those folders alone."""
-    writer = df.write.format(file_format).partitionBy(by).option("path", path).option("maxRecordsPerFile", rows_per_file)
+    """``df`` as a catalogue table with a folder per value of ``by``; a filter on it reads those folders alone.
+
+    Rows of a value are brought together first, into as many tasks as their bytes call for, so that files do not multiply by tasks.
+    """
+    writer = df.hint("rebalance", F.col(by)).write.format(file_format).partitionBy(by).option("path", path).option("maxRecordsPerFile", rows_per_file)
     writer.mode("overwrite").saveAsTable(table)
     return df.sparkSession.table(table)
 

@@ -197,3 +197,14 @@ def test_bucketed_tables_join_without_an_exchange(spark, tables, tmp_path, file_
             spark.conf.set(n, old[n])
         for name in ("orders", "lines", "demand"):
             spark.sql(f"DROP TABLE IF EXISTS {prefix}_{name}")
+
+
+def test_buckets_and_files_follow_the_rows(spark, tmp_path, monkeypatch):
+    """More rows, more buckets; a value's rows stand in few files, however many tasks hold them."""
+    assert stored.buckets_for(spark.range(1000)) == 8
+    monkeypatch.setattr(stored, "ROWS_PER_BUCKET", 100)
+    assert stored.buckets_for(spark.range(1001)) == 11
+    rows = spark.range(0, 400, 1, 8).select("id", (F.col("id") % 3).alias("part"))
+    kept = stored.store_partitioned(rows, "kept_by_part", "part", str(tmp_path / "kept"))
+    assert kept.count() == 400 and len(list((tmp_path / "kept").glob("part=*/*.parquet"))) == 3
+    spark.sql("DROP TABLE kept_by_part")
