@@ -154,3 +154,12 @@ def test_menu_report(tables):
     assert results["classification"].count() == results["recommendations"].count() == results["clusters"].count() == n
     assert results["category_metrics"].agg(F.sum("item_count")).first()[0] == n
     assert results["opportunity"].first()["items_to_reprice"] == results["pricing"].count()
+
+
+def test_tasks_read_little_however_large_the_tables(spark, tmp_path):
+    """Files are cut and shuffled rows are dealt by bytes; a shuffle starts finer than the session says and merges what is small."""
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == "16MB" and spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "4MB"
+    rows = spark.range(6_000_000).select("id", F.xxhash64("id").alias("k"))
+    kept = rows.groupBy("k").agg(F.max("id").alias("id"))
+    sizes = kept.groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in sizes) == 6_000_000 and len(sizes) > 8 and max(r["count"] for r in sizes) < 500_000
