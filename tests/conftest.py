@@ -15,6 +15,7 @@ def spark(tmp_path_factory):
             "spark.driver.memory": "8g",
             "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")),
             "spark.log.level": "ERROR",
+            "spark.sql.maxMetadataStringLength": "1000",  # plans show the paths they read, however deep the temp folder lies
         },
     )
     yield session

@@ -127,6 +127,26 @@ def test_predictors(spark, menu_items, tmp_path):
     )
 
 
+def test_predictors_learn_from_a_few_tasks(spark, monkeypatch):
+    """A pass of a fit takes two tasks a core at most, however many partitions the items come in, and every item."""
+    seen, wide = {}, 2 * spark.sparkContext.defaultParallelism + 30
+    fit_together = prediction.fit_together
+
+    def watched(session, fits, *rest):
+        vectors = fits[0].args[0]
+        seen.update(tasks=vectors.rdd.getNumPartitions(), rows=vectors.count())
+        return fit_together(session, fits, *rest)
+
+    monkeypatch.setattr(prediction, "fit_together", watched)
+    n = F.col("id")
+    items = spark.range(0, 4000, 1, wide).select(
+        "id", n.alias("index"), (5.0 + n % 40).alias("price"), (3.0 + n % 3).alias("rating"), (n % 90).alias("votes"), (n % 7 + 1).alias("purchases")
+    )
+    fitted = prediction.train_predictors(items, trees=2)
+    assert seen["tasks"] <= wide - 30 and seen["rows"] == items.where(forecast.in_training(["id"])).count()
+    assert fitted.models["gradient_boosting"].stages[-1].getNumTrees == 2
+
+
 def test_thresholds_survive_saving(spark, items, tmp_path):
     edges = menu.menu_thresholds(items)
     sinks.save_thresholds(edges, str(tmp_path / "t"))
