@@ -42,21 +42,24 @@ BLOCK = 32  # bytes of a block
 TOKENS_AT_ONCE = 1 << 18  # of one text that are decoded together
 _SHIFT = 1 << 32
 
-# Ranks are positive and below 2**31, so rank * 2**32 + position orders pairs by rank, then from the left. Positions are
-# counted anew each turn, so a token's neighbour is at the next number. A word without a pair leaves the recursion.
+# Ranks are positive and below 2**31, so rank * 2**32 + position orders pairs by rank, then from the left. A row knows the token
+# after its own (-1: none), so a turn finds its pairs without joining the rows to each other: of the two rows of a pair the right
+# one becomes the new token, as it knows what follows, and the row before learns its new neighbour. Positions are counted anew
+# each turn. A word without a pair leaves the recursion.
 _ENCODE = f"""
-WITH RECURSIVE state(word, pos, tok, done) AS (
-  SELECT word, pos, tok, false FROM pieces
+WITH RECURSIVE state(word, pos, tok, next_tok, done) AS (
+  SELECT word, pos, tok, next_tok, false FROM pieces
   UNION ALL
   (WITH least AS (
-     SELECT a.word, min(m.id::BIGINT * {_SHIFT} + a.pos) AS pair
-     FROM state a JOIN state b ON b.word = a.word AND b.pos = a.pos + 1 JOIN merges m ON m.l = a.tok AND m.r = b.tok
-     WHERE NOT a.done AND NOT b.done
-     GROUP BY a.word)
+     SELECT s.word, min(m.id::BIGINT * {_SHIFT} + s.pos) AS pair
+     FROM state s JOIN merges m ON m.l = s.tok AND m.r = s.next_tok
+     WHERE NOT s.done
+     GROUP BY s.word)
    SELECT s.word, CASE WHEN s.pos > p.pair % {_SHIFT} THEN s.pos - 1 ELSE s.pos END,
-          CASE WHEN s.pos = p.pair % {_SHIFT} THEN (p.pair // {_SHIFT})::INTEGER ELSE s.tok END, p.pair IS NULL
+          CASE WHEN s.pos = p.pair % {_SHIFT} + 1 THEN (p.pair // {_SHIFT})::INTEGER ELSE s.tok END,
+          CASE WHEN s.pos = p.pair % {_SHIFT} - 1 THEN (p.pair // {_SHIFT})::INTEGER ELSE s.next_tok END, p.pair IS NULL
    FROM state s LEFT JOIN least p ON s.word = p.word
-   WHERE NOT s.done AND (p.pair IS NULL OR s.pos <> p.pair % {_SHIFT} + 1))
+   WHERE NOT s.done AND (p.pair IS NULL OR s.pos <> p.pair % {_SHIFT}))
 )
 SELECT word, pos, tok FROM state WHERE done ORDER BY word, pos
 """
@@ -184,15 +187,17 @@ class Tokenizer:
         finally:
             self._db.unregister(name)
 
-    def _contract(self, words: list[bytes]) -> Iterator[np.ndarray]:
-        """The tokens of each word: short ones by one query, others by another."""
+    def _contract(self, words: list[bytes]) -> tuple[np.ndarray, list[int]]:
+        """The tokens of all words end to end, and where each word's begin and end: short words by one query, others by another."""
         flat = np.frombuffer(b"".join(words), dtype=np.uint8)
         lengths = np.array([len(w) for w in words], dtype=np.int64)
         word = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
         pos = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         rows = pa.table({"word": word, "pos": pos.astype(np.int32), "tok": self._byte[flat]})
         if lengths.max() < LONG:
-            rows = self._query(_ENCODE, "pieces", rows)
+            after = np.append(self._byte[flat[1:]], np.int32(-1))
+            after[np.cumsum(lengths) - 1] = -1
+            rows = self._query(_ENCODE, "pieces", rows.append_column("next_tok", pa.array(after, pa.int32())))
         else:
             before = -1
             while before != rows.num_rows:
@@ -200,22 +205,25 @@ class Tokenizer:
                 rows = self._query(_ENCODE_LONG, "pieces", rows, turns=max(1, min(64, 1_000_000 // before)))
         tokens = rows["tok"].to_numpy().astype("<i4")
         ends = np.cumsum(np.bincount(rows["word"].to_numpy(), minlength=len(words))).tolist()
-        return (tokens[a:b] for a, b in zip([0, *ends], ends))
+        return tokens, [0, *ends]
 
-    def _contract_all(self, words: Iterable[bytes]) -> dict[bytes, np.ndarray]:
-        """The tokens of distinct words, queried in parts of bounded size, short ones first."""
-        out: dict[bytes, np.ndarray] = {}
+    def _in_parts(self, words: Iterable[bytes]) -> Iterator[tuple[list[bytes], np.ndarray, list[int]]]:
+        """Distinct words in parts of bounded size, short ones first, each with the tokens of its words and their bounds."""
         part: list[bytes] = []
         held = 0
         for word in sorted(set(words), key=len):
-            if part and (len(part) == WORDS_AT_ONCE or held + len(word) > BYTES_AT_ONCE or (len(word) < LONG) != (len(part[-1]) < LONG)):
-                out.update(zip(part, self._contract(part)))
+            size = len(word)
+            if part and (len(part) == WORDS_AT_ONCE or held + size > BYTES_AT_ONCE or (size >= LONG and len(part[-1]) < LONG)):
+                yield part, *self._contract(part)
                 part, held = [], 0
             part.append(word)
-            held += len(word)
+            held += size
         if part:
-            out.update(zip(part, self._contract(part)))
-        return out
+            yield part, *self._contract(part)
+
+    def _contract_all(self, words: Iterable[bytes]) -> dict[bytes, np.ndarray]:
+        """The tokens of distinct words."""
+        return {w: tokens[a:b] for part, tokens, at in self._in_parts(words) for w, (a, b) in zip(part, pairwise(at))}
 
     def _bytes_of(self, tokens: np.ndarray) -> bytes:
         return b"".join([self._pieces[t] for t in tokens.tolist()])
@@ -250,11 +258,11 @@ class Tokenizer:
 
     def _learned(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
         """(piece, ids) of distinct pieces not seen before."""
-        short = [w for w in words if len(w) < LONG]
-        long = [w for w in words if len(w) >= LONG]
-        for made in (self._contract_all(short), self._contract_long(long)):
-            for word, tokens in made.items():
-                yield word, tokens.tobytes()
+        for part, tokens, at in self._in_parts(w for w in words if len(w) < LONG):
+            packed = tokens.tobytes()
+            yield from zip(part, [packed[4 * a : 4 * b] for a, b in pairwise(at)])
+        for word, tokens in self._contract_long([w for w in words if len(w) >= LONG]).items():
+            yield word, tokens.tobytes()
 
     def _cut(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Where the pieces of texts laid end to end start."""
@@ -290,7 +298,7 @@ class Tokenizer:
             own = bounds[a : b + 1]
             pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer(own), pa.py_buffer(joined)])
             coded = pieces.dictionary_encode()
-            words, known = coded.dictionary.to_pylist(), self._known
+            words, known = _values(coded.dictionary), self._known
             new = [w for w in words if w not in known]
             if len(known) + len(new) > KNOWN_WORDS:
                 known = self._known = {w: known[w] for w in words if w in known}  # what this group uses stays
@@ -355,6 +363,13 @@ def _grouped(sizes: list[int]) -> Iterator[tuple[int, int]]:
         yield begin, len(sizes)
 
 
+def _values(column: pa.LargeBinaryArray) -> list[bytes]:
+    """The values of an array without nulls, cut from one copy of its bytes."""
+    offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
+    packed = memoryview(column.buffers()[2])[offsets[0] : offsets[-1]].tobytes()
+    return [packed[a:b] for a, b in pairwise((offsets - offsets[0]).tolist())]
+
+
 def _texts(column: pa.Array) -> list[bytes]:
     return [b"" if v is None else v for v in column.cast(pa.large_binary()).to_pylist()]
 

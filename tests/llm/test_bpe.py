@@ -5,6 +5,7 @@ import time
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -112,3 +113,19 @@ def test_rows_of_every_kind(spark, library):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert bpe.encode(docs, PATH).count() == 0 and bpe.digests(docs, PATH).count() == 0
+
+
+def test_a_turn_joins_the_tokens_with_the_merges_alone():
+    """A row knows the token after its own, so a turn has one join with the merges and one with the pairs it chose."""
+    turn = bpe._ENCODE.split("UNION ALL")[1]
+    assert turn.count("JOIN") == 2
+    assert "state a JOIN state b" not in turn
+    tool = bpe.tokenizer(PATH, public_tokenizers.PATTERN)
+    tokens, bounds = tool._contract([b"x", b"the", b"zqzq"])
+    assert [tokens[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [t.tolist() for t in tool.encode([b"x", b"the", b"zqzq"])]
+
+
+def test_values_of_a_slice():
+    values = pa.array([b"a", b"", b"xyz", b"bc"], pa.large_binary())
+    assert bpe._values(values) == [b"a", b"", b"xyz", b"bc"]
+    assert bpe._values(values.slice(1, 2)) == [b"", b"xyz"]
