@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from larder.llm.columns import load, needs
+from larder.llm.columns import in_small_batches, load, needs, tidy
 from larder.llm.registered import query
 from larder.session import written
 
@@ -33,6 +33,7 @@ _WRITTEN = re.compile(r"\\(.)", re.S)
 _SEGMENT = re.compile(r"<turn ((?:[^\\<>]|\\.)*)>\n((?:[^\\<]|\\.)*)</turn>\n", re.S)
 
 _KEY = ("conv_id", "message", "part")
+_EVENT = (*_KEY, "seq", "kind", "role", "body")
 _LONG, _TEXT = pa.int64(), pa.string()
 _MESSAGE = {"conv_id": _LONG, "message": _LONG, "part": _LONG, "role": _TEXT, "text": _TEXT}
 _RENDERED = {"conv_id": _LONG, "message": _LONG, "part": _LONG, "segment": _TEXT, "loss_start": _LONG, "loss_end": _LONG}
@@ -78,16 +79,20 @@ def _rows(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
 
 
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Events sorted by conversation, message and sequence become one row per message that is left."""
+    """Events sorted by all their columns become one row per message that is left; an event like the one before it is a repeat."""
     done: list[tuple] = []
-    key, role, parts, live = None, "", [], False
+    key, role, parts, live, before = None, "", [], False, None
 
     def close():
         if live:
             done.append((*key, role, "".join(parts)))
 
     for batch in batches:
-        for *at, kind, by, body in _rows(batch, *_KEY, "kind", "role", "body"):
+        for event in _rows(batch, *_EVENT):
+            if event == before:
+                continue
+            before = event
+            *at, _, kind, by, body = event
             if at != key:
                 close()
                 key, role, parts, live = at, "", [], False
@@ -116,15 +121,9 @@ def final_messages(events: DataFrame) -> DataFrame:
     are left out; a null role, body or text is empty. A null conversation or message number is a number of its own, before
     all others. An event delivered twice under its seq counts once.
     """
-    columns = [*_KEY, "seq", "kind", "role", "body"]
-    needs(events, *columns)
-    return (
-        events.select(*columns)
-        .repartition(*_KEY)
-        .dropDuplicates(columns)
-        .sortWithinPartitions(*columns)
-        .mapInArrow(_fold, _ddl(_MESSAGE))
-    )
+    needs(events, *_EVENT)
+    ordered = events.select(*_EVENT).repartition(*_KEY).sortWithinPartitions(*_EVENT)
+    return in_small_batches(ordered).mapInArrow(tidy(_fold), _ddl(_MESSAGE))
 
 
 def format_messages(messages: DataFrame) -> DataFrame:
@@ -136,7 +135,7 @@ def format_messages(messages: DataFrame) -> DataFrame:
             rows = [(*at, *render(role or "", text or "")) for *at, role, text in _rows(batch, *_MESSAGE)]
             yield _batch(rows, _RENDERED)
 
-    return messages.select(*_MESSAGE).mapInArrow(run, _ddl(_RENDERED))
+    return in_small_batches(messages.select(*_MESSAGE)).mapInArrow(tidy(run), _ddl(_RENDERED))
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,12 +172,8 @@ def conversation_digests(formatted: DataFrame) -> DataFrame:
     only one segment is held however long the conversation is.
     """
     needs(formatted, *_RENDERED)
-    return (
-        formatted.select(*_RENDERED)
-        .repartition("conv_id")
-        .sortWithinPartitions(*_KEY)
-        .mapInArrow(_digest, _ddl(_DIGEST))
-    )
+    ordered = formatted.select(*_RENDERED).repartition("conv_id").sortWithinPartitions(*_KEY)
+    return in_small_batches(ordered).mapInArrow(tidy(_digest), _ddl(_DIGEST))
 
 
 def conversations_as_log(turns: DataFrame, piece: int = 120) -> DataFrame:

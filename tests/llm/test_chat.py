@@ -52,3 +52,12 @@ def test_empty_table(spark):
     turns = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     messages = chat.final_messages(chat.conversations_as_log(turns))
     assert messages.count() == 0 and chat.conversation_digests(chat.format_messages(messages)).count() == 0
+
+
+def test_repeats_are_left_out_while_folding(spark):
+    """Repeats stand next to each other in the sorted log, also over several batches: no aggregate holds whole events for them."""
+    log = [(1, 0, 0, 0, "start", "user", None)] + [(1, 0, 0, 1, "delta", None, "once")] * 2500 + [(None, 0, 0, 0, "start", None, None)] * 3
+    messages = chat.final_messages(spark.createDataFrame(log, EVENT).repartition(3))
+    assert "Aggregate" not in messages._jdf.queryExecution().toString()
+    assert sorted((tuple(r) for r in messages.collect()), key=str) == [(1, 0, 0, "user", "once"), (None, 0, 0, "", "")]
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
