@@ -201,3 +201,21 @@ def test_metrics(spark):
     row = forecast.regression_metrics(df).first()
     assert row["mae"] == pytest.approx(4 / 3) and row["rmse"] == pytest.approx((10 / 3) ** 0.5)
     assert row["r2"] == pytest.approx(1 - 10 / 8)
+
+
+def test_passes_of_clustering_run_in_few_tasks(spark, monkeypatch):
+    """Rows of 64 small partitions go to two tasks a core; groups and scores are those of one partition."""
+    seen = []
+    fit = clusters.KMeans._fit
+    monkeypatch.setattr(clusters.KMeans, "_fit", lambda self, rows: seen.append(rows.rdd.getNumPartitions()) or fit(self, rows))
+    rows = [(i, float(100 * (i % 4) + i % 7), float(10 * (i % 4) + i % 3), float(1000 * (i % 4) + i % 11)) for i in range(400)]
+    items = spark.createDataFrame(rows, "item_id long, order_count double, price double, revenue double")
+    few, many = items.coalesce(1), items.repartition(64)
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    groups = []
+    for given in (few, many):
+        labelled = clusters.assign_cluster(clusters.fit_clusters(given), items).collect()
+        groups.append({frozenset(r.item_id for r in labelled if r.cluster == k) for k in range(4)})
+    clusters.elbow(many, range(2, 4))
+    assert groups[0] == groups[1]
+    assert seen == [1] + [min(tasks, 64)] * 3
