@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from larder.session import configure
+from larder.session import configure, shuffles_for
 from larder.sources.standins import Standins
 
 
@@ -50,7 +50,9 @@ def query(name: str, sql: str | None = None):
 
     def register(fn: Callable[[Standins], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(Standins(configure(spark), sf_dir))
+            t = Standins(configure(spark), sf_dir)
+            shuffles_for(spark, t.stored_bytes())
+            return fn(t)
 
         if name in ENTRIES:
             raise ValueError(f"{name} is registered twice")

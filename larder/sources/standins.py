@@ -20,6 +20,12 @@ class Standins:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def stored_bytes(self) -> int:
+        """Bytes of the files of the order tables; their content is not read."""
+        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(self.sf_dir)
+        own = files.where(F.col("path").rlike(r"/(customer|orders|lineitem|part|supplier|events)\.parquet"))
+        return own.agg(F.sum("length")).first()[0] or 0
+
     @cached_property
     def orders(self) -> DataFrame:
         seconds = F.unix_timestamp(F.col("o_orderdate").cast("timestamp"))
