@@ -147,6 +147,29 @@ def test_predictors_learn_from_a_few_tasks(spark, monkeypatch):
     assert fitted.models["gradient_boosting"].stages[-1].getNumTrees == 2
 
 
+def test_boosting_passes_over_few_rows_take_few_tasks(spark, monkeypatch):
+    """Boosting takes its hundreds of passes over every item in as few tasks as the rows call for, and learns the same."""
+    seen, fit_together = {}, prediction.fit_together
+
+    def watched(session, fits, *rest):
+        vectors = fits[1].args[0]
+        seen.update(tasks=vectors.rdd.getNumPartitions(), rows=vectors.count())
+        return fit_together(session, fits, *rest)
+
+    monkeypatch.setattr(prediction, "fit_together", watched)
+    n = F.col("id")
+    items = spark.range(0, 4000, 1, 8).select(
+        "id", n.alias("index"), (5.0 + n % 40).alias("price"), (3.0 + n % 3).alias("rating"), (n % 90).alias("votes"), (n % 7 + n % 40).alias("purchases")
+    )
+    training = items.where(forecast.in_training(["id"])).count()
+    learned = []
+    for rows, tasks in ((1000, 4), (1, 8)):  # the second: as many tasks as there are partitions
+        monkeypatch.setattr("larder.session.BOOST_ROWS", rows)
+        learned.append(prediction.train_predictors(items, trees=3).metrics["gradient_boosting"])
+        assert seen["tasks"] == tasks and seen["rows"] <= training and seen["rows"] > 0.9 * training
+    assert learned[0] == pytest.approx(learned[1])
+
+
 def test_thresholds_survive_saving(spark, items, tmp_path):
     edges = menu.menu_thresholds(items)
     sinks.save_thresholds(edges, str(tmp_path / "t"))
