@@ -162,9 +162,10 @@ def test_boosting_passes_over_few_rows_take_few_tasks(spark, monkeypatch):
         "id", n.alias("index"), (5.0 + n % 40).alias("price"), (3.0 + n % 3).alias("rating"), (n % 90).alias("votes"), (n % 7 + n % 40).alias("purchases")
     )
     training = items.where(forecast.in_training(["id"])).count()
+    monkeypatch.setattr("larder.session.BOOST_ROWS", 1000)
     learned = []
-    for rows, tasks in ((1000, 4), (1, 8)):  # the second: as many tasks as there are partitions
-        monkeypatch.setattr("larder.session.BOOST_ROWS", rows)
+    for sampled_from, tasks in ((100, 4), (10_000, 8)):  # the second: so few rows stay as they come
+        monkeypatch.setattr(prediction, "SAMPLED_FROM", sampled_from)
         learned.append(prediction.train_predictors(items, trees=3).metrics["gradient_boosting"])
         assert seen["tasks"] == tasks and seen["rows"] <= training and seen["rows"] > 0.9 * training
     assert learned[0] == pytest.approx(learned[1])
